@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import nearest
 from .common import table
 from .exact_dedup import exact_dedup
 from .langid import identify
@@ -44,6 +45,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -61,7 +66,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_url_filter, op3_language_id, op4_license_scan, op7_exact_dedup, op8_secret_scan, op9_packing, op10_mixing)
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_url_filter, op3_language_id, op4_license_scan, op6_nearest_neighbours, op7_exact_dedup, op8_secret_scan, op9_packing, op10_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {
