@@ -12,6 +12,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .langid import identify
 from .licenses import scan_licenses
+from .line_dedup import judge_lines
 from .minhash import near_duplicates
 from .mixing import mix
 from .packing import pack_texts
@@ -45,6 +46,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_lines(table(spark, sf_dir, "documents"))
+
+
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
@@ -66,7 +71,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_url_filter, op3_language_id, op4_license_scan, op6_nearest_neighbours, op7_exact_dedup, op8_secret_scan, op9_packing, op10_mixing)
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_url_filter, op3_language_id, op4_license_scan, op5_line_dedup, op6_nearest_neighbours, op7_exact_dedup, op8_secret_scan, op9_packing, op10_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {
