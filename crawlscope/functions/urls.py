@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 
-_URL = r"(?is)\A(https?)://(?:([^/?#@]*)@)?([^/?#:@\x{20}]+)(?::([0-9]*))?([/\\][^?#]*)?(\?[^#]*)?(#.*)?\z"
+_URL = r"(?is)\A(https?)://(?:([^/?#@]*)@)?((?:\[[0-9a-f:.]+\]|[^/?#:@\x{20}\[\]<>|^%\\]+))(?::([0-9]*))?([/\\][^?#]*)?(\?[^#]*)?(#.*)?\z"
 
 #: First path segments of category pages.
 CATEGORIES = ("c", "category", "categories", "tag", "tags", "topic", "topics")

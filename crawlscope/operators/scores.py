@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 
 def page_weight() -> Column:
+    """Weight of a page in hundredths: integers, so that sums don't depend on their order."""
     t = F.col("page_type")
     return (
-        F.when(t.isin("home", "static"), 1.0)
-        .when(t.isin("category", "source"), 0.75)
-        .when(t.isin("category_page", "archive", "canvas"), 0.35)
-        .when(t.isin("cluster", "story", "generated"), 0.25)
-        .otherwise(0.5)
+        F.when(t.isin("home", "static"), 100)
+        .when(t.isin("category", "source"), 75)
+        .when(t.isin("category_page", "archive", "canvas"), 35)
+        .when(t.isin("cluster", "story", "generated"), 25)
+        .otherwise(50)
     )
 
 
@@ -58,22 +59,22 @@ def site_scores(sites: DataFrame, pages: DataFrame, page_issues: DataFrame, site
     preview = profile == "preview"
     missing = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     deep = F.col("deep_checked") if preview else F.lit(True)
-    w = F.lit(1.0) if preview else page_weight()
+    w = F.lit(100) if preview else page_weight()
     facts = pages.groupBy("site").agg(
         F.count("*").alias("n"),
         F.count_distinct("section").alias("sections"),
         F.sum(w).alias("w_all"),
-        F.sum(F.when(deep, w).otherwise(0.0)).alias("w_deep"),
-        F.sum(F.when(deep & missing("title"), w).otherwise(0.0)).alias("w_title"),
-        F.sum(F.when(deep & missing("description"), w).otherwise(0.0)).alias("w_desc"),
-        F.sum(F.when(missing("lastmod"), w).otherwise(0.0)).alias("w_lastmod"),
+        F.sum(F.when(deep, w).otherwise(0)).alias("w_deep"),
+        F.sum(F.when(deep & missing("title"), w).otherwise(0)).alias("w_title"),
+        F.sum(F.when(deep & missing("description"), w).otherwise(0)).alias("w_desc"),
+        F.sum(F.when(missing("lastmod"), w).otherwise(0)).alias("w_lastmod"),
     )
     if preview:
         page_issues = page_issues.join(pages.where("deep_checked").select("site", "url"), ["site", "url"], "left_semi")
     issues = _severities(page_issues.select("site", "severity").unionByName(site_issues.select("site", "severity")))
     own = site_issues.groupBy("site").agg(F.count_if(F.col("severity") == "error").alias("site_errors"))
     df = sites.select("site").join(facts, "site", "left").join(issues, "site", "left").join(own, "site", "left").na.fill(0)
-    share = lambda part, whole, points: round_half_up(F.col(part) / F.greatest(F.col(whole), F.lit(1.0)) * points)
+    share = lambda part, whole, points: round_half_up(F.col(part) / F.greatest(F.col(whole), F.lit(100)) * points)
     depth = depth_penalty(F.col("n"))
     index = 100 - depth - share("w_title", "w_deep", 20)
     if not preview:

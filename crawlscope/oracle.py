@@ -141,8 +141,8 @@ sissues AS (SELECT site,'warning' AS severity,'SINGLE_URL_SITEMAP' AS code,'Only
   UNION ALL SELECT site,'warning','ROBOTS_SITEMAP_CONFLICTS',concat(blocked,' sitemap URL(s) are advertised in the sitemap but disallowed by robots.txt.') FROM blocked),
 allissues AS (SELECT site,severity,code FROM pissues UNION ALL SELECT site,severity,code FROM sissues),
 sev AS (SELECT site,count(*) FILTER (WHERE severity='error') AS errors,count(*) FILTER (WHERE severity='warning') AS warnings,count(*) FILTER (WHERE severity='notice') AS notices FROM allissues GROUP BY site),
-w AS (SELECT *,CASE WHEN page_type IN ('home','static') THEN 1.0::DOUBLE WHEN page_type IN ('category','source') THEN 0.75::DOUBLE WHEN page_type IN ('category_page','archive','canvas') THEN 0.35::DOUBLE WHEN page_type IN ('cluster','story','generated') THEN 0.25::DOUBLE ELSE 0.5::DOUBLE END AS w FROM kept),
-agg AS (SELECT site,count(*) AS n,count(DISTINCT section) AS sections,greatest(sum(w),1.0::DOUBLE) AS w_all,coalesce(sum(w) FILTER (WHERE title IS NULL),0.0::DOUBLE) AS w_t,coalesce(sum(w) FILTER (WHERE description IS NULL),0.0::DOUBLE) AS w_d,coalesce(sum(w) FILTER (WHERE lastmod IS NULL),0.0::DOUBLE) AS w_l FROM w GROUP BY site)
+w AS (SELECT *,CASE WHEN page_type IN ('home','static') THEN 100 WHEN page_type IN ('category','source') THEN 75 WHEN page_type IN ('category_page','archive','canvas') THEN 35 WHEN page_type IN ('cluster','story','generated') THEN 25 ELSE 50 END AS w FROM kept),
+agg AS (SELECT site,count(*) AS n,count(DISTINCT section) AS sections,greatest(sum(w),100)::DOUBLE AS w_all,coalesce(sum(w) FILTER (WHERE title IS NULL),0)::DOUBLE AS w_t,coalesce(sum(w) FILTER (WHERE description IS NULL),0)::DOUBLE AS w_d,coalesce(sum(w) FILTER (WHERE lastmod IS NULL),0)::DOUBLE AS w_l FROM w GROUP BY site)
 """
 
 PENALTY = "CASE WHEN n=1 THEN 35 WHEN n BETWEEN 2 AND 4 THEN 20 WHEN n<10 THEN 10 ELSE 0 END"
@@ -250,7 +250,7 @@ ORACLE_SQL: dict[str, str] = {
     "j_visible_count": _with("", "SELECT count(*) AS n FROM kept WHERE section='en'"),
     "j_priority_list": _with("", "SELECT site,url,count(*) FILTER (WHERE severity='error') AS n_errors,count(*) FILTER (WHERE severity='warning') AS n_warnings,count(*) FILTER (WHERE severity='notice') AS n_notices FROM pissues GROUP BY 1,2"),
     "j_type_breakdown": _with("", "SELECT site,page_type,count(*) AS n FROM kept GROUP BY 1,2"),
-    "a_csv_rows": _with("", "SELECT k.url,coalesce(title,'') AS title,coalesce(lastmod,'') AS lastmod,coalesce(status::VARCHAR,'') AS status,'0' AS redirects,coalesce(n,0)::VARCHAR AS issue_count,coalesce(l,'') AS issues FROM kept k LEFT JOIN (SELECT site,url,count(*) AS n,string_agg(concat(severity,':',code),'|' ORDER BY stage,ord) AS l FROM pissues GROUP BY 1,2) i USING (site,url)"),
+    "a_csv_rows": _with("", "SELECT k.url,coalesce(title,'') AS title,coalesce(lastmod,'') AS lastmod,coalesce(status::VARCHAR,'') AS status,'0' AS redirects,coalesce(i.n,0)::VARCHAR AS issue_count,coalesce(l,'') AS issues FROM kept k LEFT JOIN (SELECT site,url,count(*) AS n,string_agg(concat(severity,':',code),'|' ORDER BY stage,ord) AS l FROM pissues GROUP BY 1,2) i USING (site,url)"),
     "a_run_counters": "SELECT count(*) AS runs, sum(CAST(user_id % 500 AS BIGINT))::BIGINT AS pages FROM events",
     "r_compare_crawls": _with("", "SELECT coalesce(a.site,b.site) AS site,coalesce(a.url,b.url) AS url,CASE WHEN a.url IS NULL THEN 'added' WHEN b.url IS NULL THEN 'removed' WHEN a.title IS NOT DISTINCT FROM b.title AND a.description IS NOT DISTINCT FROM b.description AND a.canonical IS NOT DISTINCT FROM b.canonical AND a.status IS NOT DISTINCT FROM b.status AND a.lastmod IS NOT DISTINCT FROM b.lastmod THEN 'same' ELSE 'changed' END AS change FROM (SELECT * FROM meta WHERE length(url)%5<>0) a FULL JOIN (SELECT site,url,title,description,canonical,status,CASE WHEN length(url)%7=1 THEN '2025-01-01' ELSE lastmod END AS lastmod FROM meta WHERE length(url)%5<>3) b USING (site,url)"),
 }
