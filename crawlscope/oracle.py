@@ -232,6 +232,26 @@ ORACLE_SQL: dict[str, str] = {
     "i_stats": _with("", "SELECT site,n AS pages,sections,errors,warnings,notices FROM agg JOIN sev USING (site)"),
     "i_page_weight": _with("", "SELECT page_type,w,count(*) AS n FROM w GROUP BY 1,2"),
     "i_scores_full": _with("", f"SELECT a.site,{_clamp(f'100-({PENALTY})-{_round("w_t/w_all*20")}-2*greatest(0,10-sections)')} AS index,{_clamp(f'100.0::DOUBLE-errors*10.0::DOUBLE-warnings*1.25::DOUBLE-notices*0.15::DOUBLE-{_round("w_d/w_all*12")}')} AS seo,{_clamp(f'100-({PENALTY})-{_round("w_l/w_all*10")}')} AS sitemap FROM agg a JOIN sev USING (site)"),
+    "f_deep_sample": _with("", "SELECT site,url,row_number() OVER (PARTITION BY site ORDER BY url)<=3 AS deep_checked FROM meta"),
+    "i_scores_preview": _with(
+        """pg AS (SELECT *,row_number() OVER (PARTITION BY site ORDER BY url)<=3 AS deep FROM meta),
+pv AS (SELECT site,severity FROM checks SEMI JOIN (SELECT site,url FROM pg WHERE deep) USING (site,url) UNION ALL SELECT site,severity FROM sissues),
+ps AS (SELECT site,count(*) FILTER (WHERE severity='error') AS errors,count(*) FILTER (WHERE severity='warning') AS warnings,count(*) FILTER (WHERE severity='notice') AS notices FROM pv GROUP BY site),
+pa AS (SELECT site,count(*) AS n,count(*) FILTER (WHERE deep)::DOUBLE AS nd,count(*) FILTER (WHERE deep AND title IS NULL)::DOUBLE AS t,count(*) FILTER (WHERE deep AND description IS NULL)::DOUBLE AS d,count(*) FILTER (WHERE lastmod IS NULL)::DOUBLE AS l FROM pg GROUP BY site)""",
+        f"SELECT pa.site,{_clamp(f'100-({PENALTY})-{_round("t/greatest(nd,1)*20")}')} AS index,{_clamp(f'100.0::DOUBLE-coalesce(errors,0)*10.0::DOUBLE-coalesce(warnings,0)*1.25::DOUBLE-coalesce(notices,0)*0.15::DOUBLE-{_round("d/greatest(nd,1)*12")}')} AS seo,{_clamp(f'100-({PENALTY})-{_round("l/greatest(n::DOUBLE,1)*10")}')} AS sitemap FROM pa LEFT JOIN ps USING (site)",
+    ),
+    "i_verdict": _with(
+        "vf AS (SELECT site,n_entries AS all_n,CASE WHEN length(site)%10=3 THEN 0 ELSE n_entries END AS n,length(site)%2 AS loaded,length(site)%3 AS failed,CASE WHEN length(site)%4=0 THEN n_entries*2 ELSE 0 END AS errs FROM facts)",
+        """SELECT site,CASE WHEN n=0 AND loaded>0 THEN 'Sitemap references were found, but no usable URL entries could be extracted.'
+ WHEN n=0 THEN 'Not compatible yet: no accessible XML sitemap URLs were found.' WHEN n=1 THEN 'Single-page sitemap detected: metadata is available, but the sitemap only exposes one URL.'
+ WHEN n<5 THEN concat('Thin sitemap detected: only ',n,' URLs were indexed.')
+ WHEN errs>greatest(10.0,n*0.5) THEN 'Partially compatible: sitemap URLs were indexed, but many sampled pages could not be fetched.'
+ WHEN failed>0 THEN 'Mostly compatible: some sitemap files failed, but usable URLs were indexed.' ELSE 'Compatible: sitemap URLs were indexed and sampled page metadata was accessible.' END AS verdict,
+ CASE WHEN n=0 THEN concat(site,' did not expose usable sitemap URLs to this run.')
+ WHEN n=1 THEN concat(site,' exposed only one sitemap URL. The page may be healthy, but the sitemap inventory is thin unless this is intentionally a one-page site.')
+ WHEN n<5 THEN concat(site,' exposed ',n,' sitemap URLs. This shallow inventory should be compared against the real public pages.')
+ ELSE concat(site,' exposed ',format('{:,}',n),' sitemap URLs. This preview sampled ',format('{:,}',least(all_n,40)),' pages for metadata and kept the rest as index-only rows.') END AS summary FROM vf""",
+    ),
     "i_score_tones": _with("", f"SELECT a.site,CASE WHEN s>=85 THEN 'good' WHEN s>=65 THEN 'warn' ELSE 'bad' END AS tone FROM (SELECT site,{_clamp(f'100-({PENALTY})-{_round("w_l/w_all*10")}')} AS s FROM agg) a"),
     "i_inventory_sections": inventory_sql(f"site,count(*) AS pages,count(DISTINCT {_section('url')}) AS sections", "GROUP BY site"),
     "j_search": _with("", "SELECT site,url FROM kept WHERE contains(lower(concat_ws(' ',title,url,path,display_path,section,page_type,description)),'page=2')"),

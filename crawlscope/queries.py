@@ -207,6 +207,31 @@ def i_scores_full(s: Stage) -> DataFrame:
     return scores.site_scores(s.sites, s.kept, s.issues, s.site_issues)
 
 
+def f_deep_sample(s: Stage) -> DataFrame:
+    return checks.deep_sample(s.entries.select("site", "url"), 3)
+
+
+def i_scores_preview(s: Stage) -> DataFrame:
+    """The preview's scores, of the same checks, with three deep pages a site."""
+    pages = checks.deep_sample(s.checked, 3)
+    return scores.site_scores(s.sites, pages, checks.page_issues(s.checked), s.site_issues, "preview")
+
+
+def i_verdict(s: Stage) -> DataFrame:
+    """Verdict and summary from facts that reach most outcomes."""
+    n = F.col("n_entries")
+    facts = s.counts.select(
+        "site",
+        F.col("site").alias("host"),
+        (n - F.when(F.length("site") % 10 == 3, n).otherwise(0)).alias("n_entries"),
+        (F.length("site") % 2).alias("n_loaded"),
+        (F.length("site") % 3).alias("n_failed"),
+        F.when(F.length("site") % 4 == 0, n * 2).otherwise(0).alias("deep_errors"),
+        F.least(n, F.lit(40)).alias("n_deep"),
+    )
+    return scores.site_verdict(facts)
+
+
 def i_score_tones(s: Stage) -> DataFrame:
     return i_scores_full(s).select("site", scores.score_tone(F.col("sitemap")).alias("tone"))
 
@@ -307,6 +332,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "i_stats": _stage(i_stats),
     "i_page_weight": _stage(i_page_weight),
     "i_scores_full": _stage(i_scores_full),
+    "f_deep_sample": _stage(f_deep_sample),
+    "i_scores_preview": _stage(i_scores_preview),
+    "i_verdict": _stage(i_verdict),
     "i_score_tones": _stage(i_score_tones),
     "i_inventory_sections": i_inventory_sections,
     "j_search": _stage(lambda s: reports.search_pages(s.kept, s.issues, q=" PAGE=2").select("site", "url")),
