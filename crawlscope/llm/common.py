@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from urllib.parse import urlparse
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows a side may have to be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+from ..scratch import BROADCAST_ROWS, Scratch, scratch_root, small
+
+__all__ = ["BLANKS", "BROADCAST_ROWS", "Scratch", "lower_ascii", "scratch_root", "small", "table"]
 
 #: White space of the word rule `[^\x20\x09-\x0D]+`.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -20,51 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for written intermediate tables.
-
-    The cluster names it in ``spark.checkpoint.dir``; where that is unset (local tests) a
-    temporary folder is made once per session.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        known = spark.sparkContext.getCheckpointDir()
-        if not known:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="crawlscope-"))
-            known = spark.sparkContext.getCheckpointDir()
-        root = known
-    return root.rstrip("/") if urlparse(root).path != "/" else root
-
-
-class Scratch:
-    """Tables written to the shared folder to cut lineage; superseded ones are deleted."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-        self.n = 0
-
-    def write(self, df: DataFrame) -> DataFrame:
-        """``df`` as a table read back from the shared folder."""
-        self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        path = getattr(df, "_scratch_path", None)
-        if path:
-            jpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jpath, True)
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows; else unchanged."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
