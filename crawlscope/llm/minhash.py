@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, small
@@ -23,8 +23,10 @@ MANTISSA = 10
 #: A pair is checked on full sets if its estimate is not this far below the threshold. The
 #: estimate's standard deviation at 0.8 is 0.023, so this is eight of them.
 SLACK = 0.18
-#: Star rounds before what is left within buckets is compared across components.
+#: Rounds of comparison with one leader a bucket, before members of differing components meet.
 STAR_ROUNDS = 2
+#: In the last comparison, shingles that at most so many of the remaining documents have are rare.
+RARE = 12
 
 CHUNK = 1 << 20
 _MASK = (1 << 64) - 1
@@ -175,13 +177,14 @@ def _sketch(words: int):
 
 
 def _sets(words: int):
-    schema = pa.schema([("rep", pa.int64()), ("shingles", pa.binary())])
+    schema = pa.schema([("rep", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py(), words).tobytes() for t in part.column(1)], pa.binary())], schema=schema)
+                sets = [shingle_set(t.as_py(), words).view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], schema=schema)
 
     return run
 
@@ -199,20 +202,6 @@ def _estimated(least: float):
     return run
 
 
-def _verified(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
-
-    return run
-
-
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Near-duplicate component of every row: (doc_id, n_shingles, component_id, kept).
 
@@ -220,10 +209,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     ``words``-word shingles, confirmed on full sets of 64-bit hashes; component_id is the smallest
     doc_id that links reach, and the document that bears it is kept.
 
-    Equal sets are collapsed to the smallest doc_id before banding. Within the bucket of a band key,
-    members are compared with one leader, in :data:`STAR_ROUNDS` rounds of differing leaders; then
-    members whose components still differ are compared with one another, so that no link between
-    components is lost while copies are never expanded into all pairs.
+    Equal sets are collapsed to the smallest doc_id before banding, and documents that share no band
+    key with another end there. Of the others' shingles, those that stand in one document only can
+    be in no intersection: their number bounds the similarity of every pair. Within the bucket of a
+    band key, members are compared with one leader, at first the one with the smallest share of
+    shingles of its own, for STAR_ROUNDS rounds; then members whose components still differ are
+    compared with one another where the bound allows a link: those that share a rare shingle meet
+    there, and the others' bound leaves rare shingles out. So no link between components is lost,
+    while copies are never expanded into all pairs.
 
     Null, empty and blank texts have no shingles and are linked with nothing. Rows that repeat a
     doc_id are one node. A null doc_id is linked with nothing: its component_id is null, kept false.
@@ -243,7 +236,31 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     buckets = reps.select("rep", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("key")
     active = scratch.write(buckets.join(shared, "key"))
-    side = reps.select("rep", "n_shingles", "regs")
+    wanted = active.select(F.col("rep").alias("doc_id")).distinct()
+    full = scratch.write(texts.join(small(wanted), "doc_id", "left_semi").mapInArrow(_sets(words), "rep long, shingles array<long>"))
+    lone = (
+        full.select("rep", F.explode("shingles").alias("s"))
+        .groupBy("s")
+        .agg(F.count("*").alias("n"), F.min("rep").alias("rep"))
+        .where("n = 1")
+        .groupBy("rep")
+        .agg(F.count("*").alias("lone"))
+    )
+    side = scratch.write(reps.join(wanted, reps["rep"] == wanted["doc_id"], "left_semi").join(lone, "rep", "left").select("rep", "n_shingles", "regs", (F.col("n_shingles") - F.coalesce("lone", F.lit(0))).alias("shared")))
+    # A set of which less than this can be shared is similar to none.
+    sizes = side.where(100 * F.col("shared") >= percent * F.col("n_shingles")).select("rep", F.col("n_shingles").alias("n"), "shared")
+    members_of = scratch.write(active.join(sizes, "rep"))
+
+    def may_link(one: str, two: str) -> Column:
+        """The bound on the similarity of ``one`` and ``two``, structs of n and shared."""
+        both = F.least(F.col(f"{one}.shared"), F.col(f"{two}.shared"))
+        return 100 * both >= percent * (F.col(f"{one}.n") + F.col(f"{two}.n") - both)
+
+    def meet(rows: DataFrame, key: str) -> DataFrame:
+        """(rep, other) of the members ``m`` of differing components that share a key and may link."""
+        one, two = rows.select(key, F.col("m").alias("one")), rows.select(key, F.col("m").alias("two"))
+        both = one.join(two, key).where((F.col("one.comp") < F.col("two.comp")) & may_link("one", "two"))
+        return both.select(F.col("one.rep").alias("rep"), F.col("two.rep").alias("other"))
 
     def links(pairs: DataFrame) -> DataFrame:
         """Those of ``pairs(a, b)`` that hold on full sets."""
@@ -251,43 +268,47 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         likely = scratch.write(
             pairs.join(a, "a")
             .join(b, "b")
-            .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
             .select("a", "b", "regs_a", "regs_b", "n_a", "n_b")
             .mapInArrow(_estimated(percent / 100 - SLACK), "a long, b long")
         )
-        wanted = scratch.write(likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct())
-        full = scratch.write(texts.join(small(wanted), "doc_id", "left_semi").mapInArrow(_sets(words), "rep long, shingles binary"))
         x, y = (full.select(F.col("rep").alias(c), F.col("shingles").alias(f"set_{c}")) for c in ("a", "b"))
-        out = scratch.write(likely.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b").mapInArrow(_verified(percent), "a long, b long").distinct())
-        scratch.drop(full)
-        return out
+        both = F.size(F.array_intersect("set_a", "set_b"))
+        similar = 100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)
+        return scratch.write(likely.join(x, "a").join(y, "b").where(similar).select("a", "b").distinct())
 
     found, comp, tested = None, None, None
     for turn in range(STAR_ROUNDS + 1):
-        members = active
         if comp is None:
-            members = members.withColumn("comp", F.col("rep"))
+            members = members_of.withColumn("comp", F.col("rep"))
         else:
-            members = members.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        lead = F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", F.lit(turn))) if turn else F.min(F.struct("rep", "comp"))
+            members = members_of.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        members = members.select("key", F.struct("rep", "comp", "n", "shared").alias("m"))
+        rank = F.struct(F.xxhash64("m.rep", F.lit(turn))) if turn else F.struct(-F.col("m.shared") / F.col("m.n"), "m.rep")
         open_keys = (
             members.groupBy("key")
-            .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), lead.alias("lead"))
+            .agg(F.min("m.comp").alias("lo"), F.max("m.comp").alias("hi"), F.min_by("m", rank).alias("lead"))
             .where("lo < hi")
-            .select("key", F.col("lead.rep").alias("lead"), F.col("lead.comp").alias("lead_comp"))
+            .select("key", "lead")
         )
         if turn < STAR_ROUNDS:
-            ends = members.join(open_keys, "key").where("comp <> lead_comp").select("rep", F.col("lead").alias("other"))
+            ends = members.join(open_keys, "key").where((F.col("m.comp") != F.col("lead.comp")) & may_link("m", "lead")).select(F.col("m.rep").alias("rep"), F.col("lead.rep").alias("other"))
         else:
-            still = members.join(open_keys, "key", "left_semi")
-            one, two = (still.select("key", F.col("rep").alias(r), F.col("comp").alias(f"c_{r}")) for r in ("rep", "other"))
-            ends = one.join(two, "key").where("c_rep < c_other").select("rep", "other")
+            still = scratch.write(members.join(open_keys, "key", "left_semi"))
+            tokens = still.select("m").distinct().join(full, F.col("m.rep") == F.col("rep")).select("m", F.explode("shingles").alias("s"))
+            few = tokens.groupBy("s").agg(F.count("*").alias("df")).where(F.col("df") <= RARE)
+            rare = scratch.write(tokens.join(few, "s").select("s", "m", "df"))
+            # Two that share a rare shingle meet at it; two that share none are bounded without them.
+            scarce = rare.groupBy(F.col("m.rep").alias("rep")).agg(F.count("*").alias("scarce"))
+            lean = still.join(scarce, F.col("m.rep") == F.col("rep"), "left").select(
+                "key", F.struct("m.rep", "m.comp", "m.n", (F.col("m.n") - F.coalesce("scarce", F.lit(0))).alias("shared")).alias("m")
+            )
+            ends = meet(rare.where("df > 1"), "s").union(meet(lean.where(100 * F.col("m.shared") >= percent * F.col("m.n")), "key"))
         pairs = ends.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.write(pairs)
         if pairs.isEmpty():
-            break
+            continue
         tested = pairs if tested is None else tested.unionByName(pairs)
         new = links(pairs)
         found = new if found is None else found.unionByName(new)
