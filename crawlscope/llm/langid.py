@@ -129,21 +129,25 @@ def train(labelled: DataFrame, per_lang: int = SAMPLE_PER_LANG, alpha: float = 0
     executors; at most MAX_LANGS * (2**BITS + 1) counts reach the driver.
     """
     rows = labelled.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= per_lang)
-    ids = ids.select("doc_id", "lang")
-    langs = ids.select("lang").distinct().limit(MAX_LANGS + 1).count()
+    counts = rows.groupBy("lang").agg(F.count("*").alias("__all"))
+    langs = counts.limit(MAX_LANGS + 1).count()
     if langs > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
+    # A range of the hash that holds more than enough, so that no window sees a whole language.
+    span = F.lit(float(1 << 31))
+    low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
+    some = rows.select("doc_id", "lang").join(F.broadcast(counts), "lang").where(low * F.col("__all") < span * (1.5 * per_lang + 100))
+    first = Window.partitionBy("lang").orderBy(low, "doc_id")
+    ids = some.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= per_lang).select("doc_id", "lang")
     if langs * per_lang <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
     sample = rows.join(ids, ["doc_id", "lang"], "left_semi").select("lang", "text")
-    counts = sample.mapInArrow(_counting, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    names = sorted(set(counts["lang"].to_pylist()))
+    grams = sample.mapInArrow(_counting, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    names = sorted(set(grams["lang"].to_pylist()))
     n = np.zeros((len(names), 1 << BITS))
     prior = np.zeros(len(names))
-    row = np.searchsorted(names, counts["lang"].to_pylist()) if names else np.empty(0, dtype=int)
-    bucket, value = counts["bucket"].to_numpy(), counts["n"].to_numpy()
+    row = np.searchsorted(names, grams["lang"].to_pylist()) if names else np.empty(0, dtype=int)
+    bucket, value = grams["bucket"].to_numpy(), grams["n"].to_numpy()
     real = bucket >= 0
     n[row[real], bucket[real]] = value[real]
     prior[row[~real]] = value[~real]
