@@ -256,10 +256,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         both = F.least(F.col(f"{one}.shared"), F.col(f"{two}.shared"))
         return 100 * both >= percent * (F.col(f"{one}.n") + F.col(f"{two}.n") - both)
 
-    def meet(rows: DataFrame, key: str) -> DataFrame:
+    def meet(rows: DataFrame, key: str, also: Column | None = None) -> DataFrame:
         """(rep, other) of the members ``m`` of differing components that share a key and may link."""
         one, two = rows.select(key, F.col("m").alias("one")), rows.select(key, F.col("m").alias("two"))
-        both = one.join(two, key).where((F.col("one.comp") < F.col("two.comp")) & may_link("one", "two"))
+        both = one.join(two, key).where((F.col("one.comp") < F.col("two.comp")) & may_link("one", "two") & (F.lit(True) if also is None else also))
         return both.select(F.col("one.rep").alias("rep"), F.col("two.rep").alias("other"))
 
     def links(pairs: DataFrame) -> DataFrame:
@@ -299,10 +299,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
             rare = scratch.write(tokens.join(few, "s").select("s", "m", "df"))
             # Two that share a rare shingle meet at it; two that share none are bounded without them.
             scarce = rare.groupBy(F.col("m.rep").alias("rep")).agg(F.count("*").alias("scarce"))
-            lean = still.join(scarce, F.col("m.rep") == F.col("rep"), "left").select(
-                "key", F.struct("m.rep", "m.comp", "m.n", (F.col("m.n") - F.coalesce("scarce", F.lit(0))).alias("shared")).alias("m")
+            keys = still.groupBy(F.col("m.rep").alias("rep")).agg(F.collect_set("key").alias("keys")).join(scarce, "rep", "left")
+            lean = still.join(keys, F.col("m.rep") == F.col("rep")).select(
+                "key", F.struct("m.rep", "m.comp", "m.n", (F.col("m.n") - F.coalesce("scarce", F.lit(0))).alias("shared"), "keys").alias("m")
             )
-            ends = meet(rare.where("df > 1"), "s").union(meet(lean.where(100 * F.col("m.shared") >= percent * F.col("m.n")), "key"))
+            # A pair meets in the least of the keys it shares, once.
+            once = F.col("key") == F.array_min(F.array_intersect("one.keys", "two.keys"))
+            ends = meet(rare.where("df > 1"), "s").union(meet(lean.where(100 * F.col("m.shared") >= percent * F.col("m.n")), "key", once))
         pairs = ends.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
