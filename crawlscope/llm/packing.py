@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +18,8 @@ LIMIT = 4096
 END_ID = 2
 #: Examples that compete for the places of a sequence.
 POOL = 1024
-#: Words whose ids a Python worker remembers, and the longest of them.
-MEMO, MEMO_CHARS = 300_000, 64
+#: Words whose ids a Python worker remembers between pools.
+MEMO = 700_000
 
 _memo: dict[str, dict[str, bytes]] = {}
 
@@ -116,11 +118,21 @@ class Packer:
             yield out
 
 
+def _words(text: str) -> list[str]:
+    """Pieces between white space as the tokenizer sees it: four separators count as text."""
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return [w for w in re.split(r"[^\S\x1c-\x1f]+", text) if w]
+    return text.split()
+
+
 class Ids:
     """Token ids of texts as little-endian unsigned 32-bit bytes, through a bounded word memo.
 
     The tokenizer drops white space and never joins across it, so that a text's ids are those of its
-    words one after another; a frequent word is encoded once per worker.
+    words one after another; a frequent word is encoded once per worker. It also lower-cases and
+    parts letters from marks, so that a Latin word shares the entry of its lower case, and one
+    before a stop has the entries of both. New lower-case words are encoded many at a time: each of
+    them ends with the only token of its own that bears the end-of-word mark.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -129,28 +141,60 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(path)
         self.memo = _memo.setdefault(path, {})
         self.end = np.array([end_id], dtype="<u4").tobytes()
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _each(self, words: list[str]) -> None:
+        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self.memo[w] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def _together(self, words: list[str]) -> None:
+        for at in range(0, len(words), 2_000):
+            part = words[at : at + 2_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(cuts) != len(part) or cuts[-1] != 4 * len(ids):
+                self._each(part)
+                continue
+            data, start = ids.tobytes(), 0
+            for w, end in zip(part, cuts.tolist(), strict=True):
+                self.memo[w] = data[start:end]
+                start = end
+
+    def _learn(self, new: set[str]) -> set[str]:
+        """Enter ``new`` in the memo; returns all that was entered."""
+        memo, plain, other, made = self.memo, set(), [], []
+        for w in new:
+            low, tail = w.lower(), ""
+            if low[-1] in ".,;:!?":
+                low, tail = low[:-1], low[-1]
+            if low.isalpha() and max(w) < "\u0250":
+                if low not in memo:
+                    plain.add(low)
+                if tail or low != w:
+                    made.append((w, low, tail))
+            else:
+                other.append(w)
+        stops = [c for c in ".,;:!?" if c not in memo]
+        self._each(other + stops)
+        self._together(sorted(plain))
+        for w, low, tail in made:
+            memo[w] = memo[low] + (memo[tail] if tail else b"")
+        return new | plain
 
     def of(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").split() for t in texts]
-        new = set().union(*split) - self.memo.keys()
-        extra: dict[str, bytes] = {}
-        new = sorted(new)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            extra.update(zip(part, self._encode(part), strict=True))
-        for w, ids in extra.items():
-            if len(self.memo) >= MEMO:
-                break
-            if len(w) <= MEMO_CHARS:
-                self.memo[w] = ids
+        split = [_words(t or "") for t in texts]
         memo = self.memo
-        out = []
-        for words in split:
-            ids = [memo.get(w) for w in words] if not extra else [memo.get(w) or extra[w] if w in memo or w in extra else b"" for w in words]
-            out.append(b"".join(ids) + self.end)
+        new = set(chain.from_iterable(split)).difference(memo)
+        entered = self._learn(new) if new else new
+        get = memo.__getitem__
+        out = [b"".join(map(get, words)) + self.end for words in split]
+        over = len(memo) - MEMO
+        if over > 0:
+            # Frequent words come early and stay.
+            for w in islice(entered, over):
+                del memo[w]
         return out
 
 
