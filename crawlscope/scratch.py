@@ -42,6 +42,14 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def release(self) -> None:
+        """Lets Spark's cleaner remove the shuffle files of steps whose result is written.
+
+        It does so when the driver collects its garbage, which may be hours apart, while the files
+        fill the executors' disks.
+        """
+        self.spark._jvm.java.lang.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_scratch_path", None)
         if path:
