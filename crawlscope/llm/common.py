@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lower_ascii(text: Column) -> Column:
-    """A-Z lower-cased, every other character as it is."""
+    """A-Z lower-cased, every other character as it is.
+
+    ``lower`` does the same, and much faster, where no other character has a lower case;
+    characters that the pattern does not know (``Cn``) may have one.
+    """
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.translate(text, upper, upper.lower())
+    plain = (F.octet_length(text) == F.char_length(text)) | ~text.rlike(r"[\p{IsUppercase}\p{Lt}\p{Cn}&&[^A-Z]]")
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))

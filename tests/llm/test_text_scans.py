@@ -6,8 +6,10 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crawlscope.llm.common import lower_ascii
 from crawlscope.llm.licenses import PHRASES, scan_licenses
 from crawlscope.llm.secrets import scan_secrets
 
@@ -131,3 +133,11 @@ def test_licenses_documents(spark, sf_dir):
 def test_schema_has_no_foreign_columns(spark, run):
     out = run(spark.createDataFrame(SECRETS[:1], DOCS))
     assert isinstance(out.schema, T.StructType) and "source" not in out.columns
+
+
+def test_lower_ascii_on_every_character(spark):
+    rows = [(f"aAzZ{chr(c)}Q",) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    texts = spark.createDataFrame(rows, "t string").select("t", lower_ascii(F.col("t")).alias("low"))
+    assert texts.where(F.col("low") != F.translate("t", upper, upper.lower())).count() == 0
+    assert spark.createDataFrame([(None,)], "t string").select(lower_ascii(F.col("t"))).first()[0] is None
