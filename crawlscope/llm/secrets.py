@@ -18,7 +18,8 @@ METHOD = "random"
 ORDER = [*KINDS, METHOD]
 
 #: Strings that the models judge: 16 or more characters of keys and tokens, a letter and a digit among them.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+={0,2}+"
+#: An equals sign before them assigns them; behind them it is base64 padding if no value follows.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+(?:={1,2}+(?![A-Za-z0-9+/_=-]))?+"
 #: What the model of ordinary identifiers learns from.
 IDENTIFIER = r"(?<![A-Za-z0-9_-])[A-Za-z][A-Za-z0-9_-]{7,}+"
 #: Bounds on the labelled sample: secrets, and documents that give identifiers, by hash order.

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from crawlscope.llm.common import lower_ascii
 from crawlscope.llm.licenses import PHRASES, scan_licenses
-from crawlscope.llm.secrets import scan_secrets
+from crawlscope.llm.secrets import scan_secrets, train
 
 DOCS = "doc_id long, text string, source string, row string, kind string"
 
@@ -73,6 +73,22 @@ def test_random_strings_are_found(spark):
     assert all(not rows[i] for i in range(30))
 
 
+def test_assigned_values_are_found(spark):
+    words = ["identifier_number_1", "extract_metadata_2_columns", "ordinary", "stands_before_3_faces"]
+    samples = [(hashlib.sha256(str(i).encode()).hexdigest()[:24], 1) for i in range(300)] + [(w, 0) for w in words * 50]
+    model = train(spark.createDataFrame(samples, "value string, label int"))
+    value = hashlib.sha256(b"x").hexdigest()[:24]
+    padded = value[:22] + "=="
+    before = ["AWS_SECRET_ACCESS_KEY=", "client_key=", "https://h/p?sig=", "https://h/p?a=1&sig=", "run --key=", "NAME==", "identifier_number_12345=", "see "]
+    rows = [(200 + i, b + value + " end", "s", "r", "k") for i, b in enumerate(before)] + [(300 + i, b + padded + ";x", "s", "r", "k") for i, b in enumerate(before)]
+    rows += [(1, "extract_metadata=identifier_number_77 and ?id=identifier_number_78", "s", "r", "k")]
+    spans = {r.doc_id: r.spans for r in scan_secrets(spark.createDataFrame(rows, DOCS), model).collect()}
+    for i, b in enumerate(before):
+        assert spans[200 + i] == f"random:{len(b)}:{len(b + value)}"
+        assert spans[300 + i] == f"random:{len(b)}:{len(b + padded)}"
+    assert not spans[1]
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], DOCS)
     assert scan_secrets(empty).count() == 0
