@@ -35,12 +35,10 @@ TEMPLATES = (
 
 #: Template words that never are anchors: they are common in any English text.
 FUNCTION_WORDS = frozenset("a and any are as for in is it not of or that the this to with you may use".split())
-#: Anchors of a file: so many of its highest-IDF licence words.
+#: Anchors of a template in a file: so many of the template's highest-IDF words that the file has.
 ANCHORS = 8
 #: Share of a template's anchor words that must stand at one relative position.
 ALIGNED = 0.6
-#: Licence words in a larger share of the documents than this are no anchors.
-COMMON_SHARE = 0.2
 
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -74,11 +72,12 @@ def _vocabulary() -> list[str]:
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Licence labels of every row: (doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score).
 
-    Base labels come from the places where a phrase of PHRASES stands word by word. For templates,
-    the documents' licence words are looked up in the templates' postings, rarest first by document
-    frequencies over all rows; a template's label is added if at least ALIGNED of its anchor words
-    stand at one position relative to it and its mandatory key phrase stands in the text. The score
-    is the best aligned share of a found template, 1 with a base label, else 0.
+    Base labels come from the places where a phrase of PHRASES stands word by word. A template whose
+    mandatory key phrase stands in the text has as anchors its own words that the text has, rarest
+    first by document frequencies over all rows, ANCHORS at most; their places are looked up in its
+    postings, and its label is added if at least ALIGNED of them stand at one position relative to
+    it. Neither other notices in the text nor a word's frequency takes an anchor away. The score is
+    the best aligned share of a found template, 1 with a base label, else 0.
 
     A null text is empty: no words, no labels (empty strings), null first_word and last_word.
     Repeated rows and null ids each get their row. No rows give no rows. Other columns are ignored,
@@ -113,29 +112,26 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         )
         .drop("line")
     )
-    n = facts.count()
     df = {r[0]: r[1] for r in facts.select(F.explode("known").alias("w")).groupBy("w").agg(F.count("*")).collect()}  # at most the templates' words
-    eligible = sorted((w for w in _vocabulary() if df.get(w, 0) <= max(COMMON_SHARE * n, 1)), key=lambda w: (df.get(w, 0), w))
-    postings = [(w, t, i) for t, (_, _, text) in enumerate(TEMPLATES) for i, w in enumerate(text.split()) if w in set(eligible)]
-    own = {t: sum(p[1] == t for p in postings) for t in range(len(TEMPLATES))}
-    index = spark.createDataFrame(postings, "word string, template int, place int")
-    about = spark.createDataFrame([(t, label, key, own[t]) for t, (label, key, _) in enumerate(TEMPLATES)], "template int, label string, key string, own int")
-    # Rarest first: the vocabulary in order of document frequency, cut to what the file has.
-    order = F.array(*[F.lit(w) for w in eligible]).cast("array<string>")
-    anchors = F.slice(F.array_intersect(order, F.col("known")), 1, ANCHORS)
+    about, postings = [], []
+    for t, (label, key, text) in enumerate(TEMPLATES):
+        own = sorted(set(text.split()) - FUNCTION_WORDS, key=lambda w: (df.get(w, 0), w))
+        about.append((t, label, key, own))
+        postings += [(t, w, i) for i, w in enumerate(text.split()) if w in own]
+    index = spark.createDataFrame(postings, "template int, word string, place int")
+    known = facts.where(F.size("keys") > 0).select("row", "known", F.arrays_zip("hit_word", "hit_at").alias("hits"), F.explode("keys").alias("key"))
     hits = (
-        facts.where(F.size("keys") > 0)
-        .select("row", "keys", anchors.alias("anchors"), F.explode(F.arrays_zip("hit_word", "hit_at")).alias("h"))
-        .where(F.array_contains("anchors", F.col("h.hit_word")))
-        .select("row", "keys", F.col("h.hit_word").alias("word"), F.col("h.hit_at").alias("at"), F.size("anchors").alias("n_anchors"))
+        known.join(F.broadcast(spark.createDataFrame(about, "template int, label string, key string, own array<string>")), "key")
+        .select("row", "template", "label", "hits", F.slice(F.array_intersect("own", "known"), 1, ANCHORS).alias("anchors"))
+        .select("row", "template", "label", F.size("anchors").alias("n_anchors"), F.explode(F.filter("hits", lambda h: F.array_contains("anchors", h["hit_word"]))).alias("h"))
+        .select("row", "template", "label", "n_anchors", F.col("h.hit_word").alias("word"), F.col("h.hit_at").alias("at"))
     )
     found = (
-        hits.join(F.broadcast(index), "word")
-        .groupBy("row", "keys", "template", (F.col("at") - F.col("place")).alias("shift"))
-        .agg(F.count("*").alias("votes"), F.max("n_anchors").alias("n_anchors"))
-        .join(F.broadcast(about), "template")
-        .withColumn("share", F.least(F.col("votes") / F.least("own", "n_anchors"), F.lit(1.0)))
-        .where((F.col("votes") >= 2) & (F.col("share") >= ALIGNED) & F.array_contains("keys", F.col("key")))
+        hits.join(F.broadcast(index), ["template", "word"])
+        .groupBy("row", "template", "label", "n_anchors", (F.col("at") - F.col("place")).alias("shift"))
+        .agg(F.size(F.collect_set("word")).alias("votes"))
+        .withColumn("share", F.col("votes") / F.col("n_anchors"))
+        .where((F.col("votes") >= 2) & (F.col("share") >= ALIGNED))
         .groupBy("row")
         .agg(F.array_sort(F.collect_set("label")).alias("added"), F.max("share").alias("best"))
     )

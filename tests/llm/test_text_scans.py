@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crawlscope.llm.common import lower_ascii
-from crawlscope.llm.licenses import PHRASES, scan_licenses
+from crawlscope.llm.licenses import PHRASES, TEMPLATES, scan_licenses
 from crawlscope.llm.secrets import scan_secrets, train
 
 DOCS = "doc_id long, text string, source string, row string, kind string"
@@ -145,6 +145,26 @@ def test_licenses_documents(spark, sf_dir):
     check_licenses(scan_licenses(docs).collect(), [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
 
 
+def labels_of(spark, texts):
+    rows = [(i, t, "s", "r", "k") for i, t in enumerate(texts)]
+    return [r.labels for r in sorted(scan_licenses(spark.createDataFrame(rows, DOCS)).collect(), key=lambda r: r.doc_id)]
+
+
+def test_licence_of_a_third_of_the_rows(spark):
+    notice = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    labels = labels_of(spark, [notice if i % 3 == 0 else f"words without a notice {i}" for i in range(60)])
+    assert labels == ["mit" if i % 3 == 0 else "" for i in range(60)]
+    assert labels_of(spark, [notice] * 5) == ["mit"] * 5
+
+
+def test_three_notices_in_a_file(spark):
+    text = {label: template for label, _, template in TEMPLATES if not any(p in template for p in PHRASES)}
+    some = ["bsd", "isc", "mpl-2.0"]
+    other = " filler ".join(f"person charge file source grant {i} copy" for i in range(50))
+    labels = labels_of(spark, [f" {other} ".join(text[x] for x in some), *text.values(), other])
+    assert labels == [",".join(some), *text, ""]
+
+
 @pytest.mark.parametrize("run", [scan_licenses, scan_secrets])
 def test_schema_has_no_foreign_columns(spark, run):
     out = run(spark.createDataFrame(SECRETS[:1], DOCS))
