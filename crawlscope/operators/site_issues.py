@@ -14,8 +14,8 @@ def site_issues(facts: DataFrame, failed: DataFrame, profile: str = "full", max_
 
     ``facts(site, from_robots, input_mode, n_entries, n_loaded, dropped, blocked)``: entries before
     cap and dedupe, pages dropped by dedupe, and pages that robots block. ``failed(site,
-    sitemap_url, depth, bfs_pos)`` are files that couldn't be loaded; ``notes(site, message)`` are
-    the preview's discovery notes.
+    sitemap_url, depth, bfs_pos)`` are files that couldn't be loaded; ``notes(site,
+    depth, bfs_pos, kind, message)`` are the notes on the preview's sitemaps.
     """
     preview = profile == "preview"
     n, loaded = F.col("n_entries"), F.col("n_loaded")
@@ -56,6 +56,6 @@ def site_issues(facts: DataFrame, failed: DataFrame, profile: str = "full", max_
         files.select("site", (F.col("n") + 10).alias("ord"), F.lit("warning" if preview else "error").alias("severity"), F.lit("SITEMAP_FETCH_FAILED").alias("code"), F.concat(F.lit("Could not load sitemap: "), "sitemap_url").alias("message"))
     )
     if preview and notes is not None:
-        told = notes.withColumn("n", F.row_number().over(Window.partitionBy("site").orderBy("message"))).where(F.col("n") <= MAX_NOTES)
+        told = notes.withColumn("n", F.row_number().over(Window.partitionBy("site").orderBy("depth", "bfs_pos", "kind"))).where(F.col("n") <= MAX_NOTES)
         out = out.unionByName(told.select("site", (F.col("n") + 1000).alias("ord"), F.lit("notice").alias("severity"), F.lit("DISCOVERY_NOTE").alias("code"), "message"))
     return out

@@ -15,6 +15,10 @@ LOC = r"(?i)<loc[^>]*>\s*([^<\s]+)\s*</loc>"
 LASTMOD = r"(?i)<lastmod[^>]*>\s*([^<\s]+)\s*</lastmod>"
 #: Characters before and after a recovered loc among which its lastmod is looked for.
 NEAR = (600, 1200)
+#: What a page of bot protection says near its beginning.
+BLOCKED = r"(?i)cloudflare|access denied|captcha|bot detection|verify you are human|akamai|perimeterx|blocked|forbidden"
+#: Markup that ends; the parser gives up only at markup that doesn't, not at elements left open.
+MARKUP = r"""(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<(?!!--|!\[CDATA\[|\?)[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+>"""
 INDEX_SCHEMA = "sitemap array<struct<loc:string>>"
 URLSET_SCHEMA = "url array<struct<loc:string,lastmod:string,changefreq:string,priority:string>>"
 
@@ -63,6 +67,61 @@ def discovery_notes(directives: DataFrame, limit: int = 10) -> DataFrame:
     )
 
 
+def sitemap_notes(files: DataFrame, docs: DataFrame) -> DataFrame:
+    """(site, depth, bfs_pos, kind, message): what went wrong with the preview's ``files``, in order.
+
+    Kinds: 0 looks blocked, 1 the parser gave up, 2 nothing of the host that is new was found, 3 not
+    fetched. A child is new if no file visited up to then is that child.
+    """
+    met = files.join(docs.select(F.col("url").alias("sitemap_url"), "status", "body", "error"), "sitemap_url", "left")
+    body = F.col("body")
+    blocked = F.col("status").isin(403, 429) | F.substring(body, 1, 1200).rlike(BLOCKED)
+    left = F.regexp_extract(F.regexp_replace(body, MARKUP, ""), r"(?s)<.{0,3}", 0)
+    told = F.array_compact(
+        F.array(
+            F.when(F.col("loaded") & blocked, F.struct(F.lit(0).alias("kind"), F.lit(" looks blocked or challenged by bot protection.").alias("text"))),
+            F.when(F.col("loaded") & (left != ""), F.struct(F.lit(1).alias("kind"), F.concat(F.lit(" XML parser fallback used: "), _unclosed(left)).alias("text"))),
+            F.when(~F.col("loaded"), F.struct(F.lit(3).alias("kind"), F.concat(F.lit(" failed: "), _reason()).alias("text"))),
+        )
+    )
+    place = ["site", "depth", "bfs_pos", "sitemap_url"]
+    stated = met.select(*place, F.inline(told))
+    ours = lambda u: F.coalesce(U.same_host(u, _site_url()), F.lit(False))
+    none = F.array().cast("array<string>")
+    parsed = structured(met.where("loaded"))
+    items, children = F.coalesce(F.col("items.loc"), none), F.coalesce("children", none)
+    bare = (
+        parsed.select(*place, items.alias("items"), children.alias("children"), recovered_locs(body).alias("locs"))
+        .where(~F.exists("items", ours) & ~F.exists("locs", lambda u: ours(u) & U.is_page_url(u)))
+        .select(*place, F.transform(F.filter(F.concat("children", "locs"), lambda u: ours(u) & U.is_sitemap_url(u)), U.norm_url).alias("below"))
+    )
+    seen = files.select("site", F.col("sitemap_url").alias("child"), F.struct("depth", "bfs_pos").alias("at"))
+    new = (
+        bare.select("site", "sitemap_url", F.struct("depth", "bfs_pos").alias("here"), F.explode("below").alias("child"))
+        .join(seen, ["site", "child"], "left")
+        .where(F.col("at").isNull() | (F.col("at") > F.col("here")))
+        .select("site", "sitemap_url")
+    )
+    empty = bare.join(new, ["site", "sitemap_url"], "left_anti").select(*place, F.lit(2).alias("kind"), F.lit(" loaded but produced 0 same-host sitemap children or URL entries.").alias("text"))
+    return stated.unionByName(empty).select("site", "depth", "bfs_pos", "kind", F.concat("sitemap_url", "text").alias("message"))
+
+
+def _reason() -> Column:
+    return F.coalesce("error", F.lit("fetch failed"))
+
+
+def _unclosed(left: Column) -> Column:
+    """What the reference's parser says of markup that begins so and never ends."""
+    return (
+        F.when(left.startswith("<!--"), "Comment is not closed.")
+        .when(left.startswith("<!["), "CDATA is not closed.")
+        .when(left.startswith("<!D"), "Unclosed DOCTYPE")
+        .when(left.startswith("<?"), "Pi Tag is not closed.")
+        .when(left.startswith("</"), "Closing Tag is not closed.")
+        .otherwise("Tag is not closed.")
+    )
+
+
 def recovered_locs(body: Column) -> Column:
     """Distinct normal forms of every ``<loc>`` of a body, in order of their first place."""
     found = F.regexp_extract_all(body, F.lit(LOC), F.lit(1))

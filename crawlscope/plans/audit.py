@@ -121,7 +121,7 @@ def run_audit(sites: DataFrame, fetch_log: DataFrame, config: AuditConfig = Audi
     )
     facts = counts.join(blocked, "site", "left")
     facts = facts.join(dropped, "site", "left") if dropped is not None else facts.withColumn("dropped", F.lit(0))
-    notes = sitemaps.discovery_notes(directives).join(own, "site", "left_semi") if preview else None
+    notes = scratch.write(sitemaps.sitemap_notes(site_files, docs)) if preview else None
     root = scratch.write(site_level.site_issues(facts, sitemaps.failed_sitemaps(site_files), config.profile, config.max_pages, notes))
     pages = pages.drop("issues")
     stats = scores.site_stats(own, pages, issues, root)

@@ -281,6 +281,31 @@ def test_preview(spark):
     assert got["site.test"]["index"] == 100 - 10 - 5
 
 
+def test_discovery_notes(spark):
+    host = "https://note.test"
+    index = "<sitemapindex>" + "".join(f"<sitemap><loc>{host}/{n}.xml</loc></sitemap>" for n in ("wall", "torn", "bare", "gone", "back")) + "</sitemapindex>"
+    bodies = {
+        "/robots.txt": f"Sitemap: {host}/sitemap.xml\nSitemap: {host}/llms.txt\n",
+        "/sitemap.xml": index,
+        "/wall.xml": "<html>Please solve the CAPTCHA</html>",
+        "/torn.xml": f"<urlset><url><loc>{host}/a</loc></url><!-- cut",
+        "/bare.xml": "<urlset><url><loc>https://else.test/x</loc></url></urlset>",
+        "/back.xml": f"<sitemapindex><sitemap><loc>{host}/sitemap.xml</loc></sitemap></sitemapindex>",
+    }
+    rows = [{"url": host + p, "status": 200, "body": b} for p, b in bodies.items()] + [{"url": f"{host}/gone.xml", "status": None, "error": "timed out"}]
+    audit = run_audit(spark.createDataFrame([(host,)], "site string"), log(spark, rows), PREVIEW)
+    got = [r.message for r in audit.site_issues.where("code = 'DISCOVERY_NOTE'").orderBy("ord").collect()]
+    empty = "loaded but produced 0 same-host sitemap children or URL entries."
+    assert got == [
+        f"{host}/wall.xml looks blocked or challenged by bot protection.",
+        f"{host}/wall.xml {empty}",
+        f"{host}/torn.xml XML parser fallback used: Comment is not closed.",
+        f"{host}/bare.xml {empty}",
+        f"{host}/gone.xml failed: timed out",
+        f"{host}/back.xml {empty}",
+    ]
+
+
 def test_verdicts(spark):
     rows = [("a", "h", 0, 1, 0, 0, 0), ("b", "h", 0, 0, 1, 0, 0), ("c", "h", 1, 1, 0, 0, 1), ("d", "h", 3, 1, 0, 0, 3), ("e", "h", 20, 1, 0, 11, 20), ("f", "h", 20, 1, 2, 10, 20), ("g", "h", 5000, 1, 0, 0, 40)]
     out = scores.site_verdict(spark.createDataFrame(rows, "site string, host string, n_entries int, n_loaded int, n_failed int, deep_errors int, n_deep int"))
