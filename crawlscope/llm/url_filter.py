@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..functions import urls as U
 from .common import Scratch, lower_ascii, small
 from .components import connected_components
 
@@ -31,10 +33,17 @@ def path_of(url: Column) -> Column:
 
 
 def node_of(url: Column) -> Column:
-    """The node of a URL in the alias graph: host, path and query; scheme and fragment don't count."""
-    query = F.regexp_extract(url, r"(?s)\A.*?://[^/?#]*[^?#]*(\?[^#]*)", 1)
-    path = path_of(url)
-    return F.concat(host_of(url), F.when(path == "", F.lit("/")).otherwise(path), query)
+    """The node of a URL in the alias graph: host, path and query; scheme and fragment don't count.
+
+    A URL that parses is taken in the parser's form, as the targets of links are.
+    """
+
+    def node(u: Column) -> Column:
+        query = F.regexp_extract(u, r"(?s)\A.*?://[^/?#]*[^?#]*(\?[^#]*)", 1)
+        path = path_of(u)
+        return F.concat(host_of(u), F.when(path == "", F.lit("/")).otherwise(path), query)
+
+    return U.let(F.coalesce(U.resolve_url(url, url), url), node)
 
 
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -63,18 +72,20 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
 def page_links(pages: DataFrame) -> DataFrame:
     """(src, dst) URLs of canonical links and meta refreshes in ``pages(url, html)``.
 
-    Targets may be absolute, begin with ``//`` or ``/``, or be relative to the page's folder.
+    Entities are decoded, and targets resolved against the page's URL; a page whose URL doesn't parse
+    may state absolute targets, or such that begin with ``//`` or ``/`` or are relative to its folder.
     """
     html, url = F.col("html"), F.col("url")
     found = F.array(
-        F.regexp_extract(F.regexp_extract(html, _CANONICAL, 1), _HREF, 1),
-        F.regexp_extract(F.regexp_extract(html, _REFRESH, 1), _TARGET, 1),
+        T.decode_entities(F.regexp_extract(F.regexp_extract(html, _CANONICAL, 1), _HREF, 1)),
+        F.regexp_extract(T.decode_entities(F.regexp_extract(html, _REFRESH, 1)), _TARGET, 1),
     )
     link = F.explode(F.when(html.rlike(r"(?i)canonical|http-equiv"), F.filter(found, lambda x: x != ""))).alias("href")
     origin = F.regexp_extract(url, r"(?s)\A(.*?://[^/?#]*)", 1)
     href = F.col("href")
     target = (
-        F.when(href.contains("://"), href)
+        F.when(U.is_url(url), U.resolve_url(href, url))
+        .when(href.contains("://"), href)
         .when(href.startswith("//"), F.concat(F.regexp_extract(url, r"(?s)\A(.*?:)//", 1), href))
         .when(href.startswith("/"), F.concat(origin, href))
         .when(href.startswith("?") | href.startswith("#"), F.concat(origin, path_of(url), href))

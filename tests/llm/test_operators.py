@@ -271,3 +271,15 @@ def test_url_aliases(spark):
     rows = [(1, "http://b.org/x", '<link href="/y" rel="canonical">'), (2, "https://b.org/y", '<link rel=canonical href="https://c.net/es/1">'), (3, "http://d.org/", None)]
     out = judge_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES).collect()
     assert {r.page_id: (r.rule, r.verdict) for r in out} == {1: (None, "block"), 2: (None, "block"), 3: (None, "allow")}
+
+
+def test_url_aliases_by_entities_and_dots(spark):
+    canonical = '<link rel="canonical" href="{}">'.format
+    goal = "https://a.net/es/x?p=2&amp;r=1"
+    rows = [
+        (1, "https://a.net/es/x?p=2&r=1", None), (2, "http://b.org/d/2", canonical(goal)), (3, "http://b.org/d/e/3", canonical("../../up")), (4, "http://b.org/up", canonical(goal)),
+        (5, "http://b.org/d/5", canonical("./2")), (6, "http://b.org/d/6", f'<meta http-equiv="refresh" content="0;url={goal}">'), (7, "http://b.org/d/\u00e9 x", canonical(goal)),
+        (8, "http://b.org/d/8", canonical("http://b.org/d/\u00e9")), (9, "http://b.org/d/\u00e9", canonical(goal)), (10, "http://b.org/d/10", canonical("10?a=1&amp;b=2")), (11, "http://b.org/d/10?a=1&b=2", None),
+    ]
+    out = judge_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES).collect()
+    assert {r.page_id: r.verdict for r in out} == {i: "block" for i in range(1, 10)} | {10: "allow", 11: "allow"}
