@@ -8,25 +8,31 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows a side may have to be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes a side may have to be broadcast; beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for written intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; where that is unset (local tests) a
-    temporary folder is made once per session.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a local session makes a
+    temporary folder once; on a cluster a machine's own folder would not do, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="crawlscope-"))
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
 
 
 class Scratch:
-    """Tables written to the shared folder to cut lineage; superseded ones are deleted."""
+    """Tables written to the shared folder to cut lineage.
+
+    As a context it deletes its tables at the end, but for the one that :meth:`keep` made. Kept
+    results stay in the shared folder, for their frames read them whenever they are used.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -36,27 +42,41 @@ class Scratch:
     def write(self, df: DataFrame) -> DataFrame:
         """``df`` as a table read back from the shared folder."""
         self.n += 1
-        path = f"{self.root}/{self.n}"
+        return self._written(df, f"{self.root}/{self.n}")
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """As :meth:`write`, for the result: the table stays when the others go."""
+        return self._written(df, f"{self.root}-result{self.n}")
+
+    def _written(self, df: DataFrame, path: str) -> DataFrame:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
-    def release(self) -> None:
-        """Lets Spark's cleaner remove the shuffle files of steps whose result is written.
+    def drop(self, df: DataFrame) -> None:
+        if getattr(df, "_scratch_path", None):
+            self._delete(df._scratch_path)
 
-        It does so when the driver collects its garbage, which may be hours apart, while the files
-        fill the executors' disks.
-        """
-        self.spark._jvm.java.lang.System.gc()
+    def _delete(self, path: str) -> None:
+        jpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
-    def drop(self, df: DataFrame) -> None:
-        path = getattr(df, "_scratch_path", None)
-        if path:
-            jpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self._delete(self.root)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows; else unchanged."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: str | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows; else unchanged.
+
+    Where rows may be long, ``size`` is an expression for a row's bytes, of which ``limit`` in all
+    may be broadcast.
+    """
+    if df.limit(rows + 1).count() > rows:
+        return df
+    if size is not None and (df.agg(F.sum(F.expr(size))).first()[0] or 0) > limit:
+        return df
+    return F.broadcast(df)
