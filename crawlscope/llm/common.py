@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import BROADCAST_ROWS, Scratch, scratch_root, small
 
-__all__ = ["BLANKS", "BROADCAST_ROWS", "Scratch", "lower_ascii", "scratch_root", "small", "table"]
+__all__ = ["BLANKS", "BROADCAST_ROWS", "Scratch", "absent", "lower_ascii", "scratch_root", "small", "table"]
 
 #: White space of the word rule `[^\x20\x09-\x0D]+`.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -17,12 +17,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def absent(df: DataFrame, *names: str) -> list[str]:
+    """``names``, underscores put before them until ``df`` has no such columns."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, every other character as it is.
 
     ``lower`` does the same, and much faster, where no other character has a lower case;
-    characters that the pattern does not know (``Cn``) may have one.
+    characters that the pattern does not know (``Cn``) may have one. Few texts without capitals
+    beyond ASCII hold a character that the cheap class excludes.
     """
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    plain = (F.octet_length(text) == F.char_length(text)) | ~text.rlike(r"[\p{IsUppercase}\p{Lt}\p{Cn}&&[^A-Z]]")
+    plain = (
+        (F.octet_length(text) == F.char_length(text))
+        | ~text.rlike(r"[^\x00-\xBF\xDF-\xFF]")
+        | ~text.rlike(r"[\p{IsUppercase}\p{Lt}\p{Cn}&&[^A-Z]]")
+    )
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
