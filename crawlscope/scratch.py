@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Rows and bytes a side may have to be broadcast; beyond either the join shuffles.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
+#: Spark's setting by which a query's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for written intermediate tables.
@@ -49,7 +52,13 @@ class Scratch:
         return self._written(df, f"{self.root}-result{self.n}")
 
     def _written(self, df: DataFrame, path: str) -> DataFrame:
-        df.write.parquet(path)
+        # What is written is read from its table: the job's shuffle files are needed no longer.
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
