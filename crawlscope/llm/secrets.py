@@ -24,9 +24,12 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])
 IDENTIFIER = r"(?<![A-Za-z0-9_-])[A-Za-z][A-Za-z0-9_-]{7,}+"
 #: Bounds on the labelled sample: secrets, and documents that give identifiers, by hash order.
 SAMPLE_SECRETS, SAMPLE_DOCS = 20_000, 500
-#: Least log-likelihood ratio a transition, in nats.
-LEAST_RATIO = 0.7
-ALPHABET = 65
+#: Least log-likelihood ratio a transition, in nats: between the identifiers' and the random strings' means.
+LEAST_RATIO = 1.0
+#: Characters of candidates.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
+#: Weight of a follower's own frequency in its transition probabilities, in counts.
+BACKOFF = 8.0
 
 
 def _pieces(text: Column, pattern: str, group: int, kind: str) -> Column:
@@ -52,16 +55,21 @@ def _bigrams(df: DataFrame, value: str) -> DataFrame:
 def train(samples: DataFrame) -> DataFrame:
     """(bigram, ratio) from ``samples(value, label)``: label 1 for random strings, 0 for identifiers.
 
-    First-order transitions with add-half smoothing over ALPHABET followers; the ratio is the
-    difference of the two log-probabilities. The table has a row for each transition seen, so its
-    size is bounded by the square of the characters, not by the corpus.
+    First-order transitions, smoothed by BACKOFF counts of the follower's own frequency, so that what
+    identifiers never hold counts against them after any character; the ratio is the difference of
+    the two log-probabilities. The table has a row for each pair of ALPHABET, whatever the corpus.
     """
-    n = _bigrams(samples.where("value IS NOT NULL AND value <> ''"), "value").groupBy("bigram").agg(
-        F.sum("label").alias("n1"), F.sum(1 - F.col("label")).alias("n0")
-    )
-    before = Window.partitionBy(F.substring("bigram", 1, 1))
-    p = lambda c: F.log((F.col(c) + 0.5) / (F.sum(c).over(before) + 0.5 * ALPHABET))
-    return n.select("bigram", (p("n1") - p("n0")).alias("ratio"))
+    n = _bigrams(samples.where("value IS NOT NULL AND value <> ''"), "value").groupBy("bigram").agg(F.sum("label").alias("n1"), F.sum(1 - F.col("label")).alias("n0"))
+    of = lambda chars: F.explode(F.array(*[F.lit(c) for c in chars]))
+    grid = samples.sparkSession.range(1).select(of("^" + ALPHABET).alias("a")).select("a", of(ALPHABET).alias("b")).withColumn("bigram", F.concat("a", "b"))
+    seen = grid.join(n, "bigram", "left").na.fill(0, ["n1", "n0"])
+    after, whole = Window.partitionBy("a"), Window.partitionBy(F.lit(0))
+
+    def p(c: str) -> Column:
+        own = (F.sum(c).over(Window.partitionBy("b")) + 0.5) / (F.sum(c).over(whole) + 0.5 * len(ALPHABET))
+        return F.log((F.col(c) + BACKOFF * own) / (F.sum(c).over(after) + BACKOFF))
+
+    return seen.select("bigram", (p("n1") - p("n0")).alias("ratio"))
 
 
 def scan_secrets(docs: DataFrame, model: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -102,7 +110,9 @@ def scan_secrets(docs: DataFrame, model: DataFrame | None = None, id_col: str =
         for pattern, _, _ in KINDS.values():
             rest = F.regexp_replace(rest, pattern, " ")
         names = some.where(F.col("h") <= F.lit(cut)).select(F.explode(F.regexp_extract_all(rest, F.lit(IDENTIFIER), F.lit(0))).alias("value"), F.lit(0).alias("label"))
-        model = scratch.write(train(secrets.unionByName(names)))
+        # Long strings with digits and both cases may be secrets themselves: their label is not sure.
+        unsure = (F.length("value") >= 16) & F.col("value").rlike(r"(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])")
+        model = scratch.write(train(secrets.unionByName(names.where(~unsure))))
     sides = F.collect_list(F.struct("start", "end"))
     taken = base.groupBy("row").agg(sides.alias("taken"))
     free = (
