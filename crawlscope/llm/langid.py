@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS
+from .common import BROADCAST_ROWS, absent
 
 #: log2 of the hashed feature space.
 BITS = 16
@@ -20,12 +19,16 @@ ORDERS = (1, 2, 3)
 #: Bound on the training sample: at most so many documents of each language, those with the smallest
 #: hashes of their ids among all labelled documents of the training folds.
 SAMPLE_PER_LANG = 2_000
-#: Bound on the languages a model may have, and with it on the broadcast matrix.
-MAX_LANGS = 256
+#: Bound on the languages a model may have, those with the most documents, and with it on the broadcast matrix.
+MAX_LANGS = 128
 UNKNOWN = "und"
 
 CHUNK = 1 << 19
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def _has_letter(text: str) -> bool:
+    """Whether a character of ``text`` is of Unicode category L; fractions and numerals aren't."""
+    return any(map(str.isalpha, text))
 
 
 @lru_cache(maxsize=1)
@@ -125,21 +128,19 @@ class Model:
 def train(labelled: DataFrame, per_lang: int = SAMPLE_PER_LANG, alpha: float = 0.1) -> Model:
     """A model from ``labelled(doc_id, text, lang)``; rows with a null are left out.
 
+    Of more than MAX_LANGS languages those with the most documents are learned, ties by name.
     Counts come from at most ``per_lang`` documents of each language and are summed on the
     executors; at most MAX_LANGS * (2**BITS + 1) counts reach the driver.
     """
     rows = labelled.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("__all"))
-    langs = counts.limit(MAX_LANGS + 1).count()
-    if langs > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("__all")).orderBy(F.desc("__all"), "lang").limit(MAX_LANGS)
     # A range of the hash that holds more than enough, so that no window sees a whole language.
     span = F.lit(float(1 << 31))
     low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
     some = rows.select("doc_id", "lang").join(F.broadcast(counts), "lang").where(low * F.col("__all") < span * (1.5 * per_lang + 100))
     first = Window.partitionBy("lang").orderBy(low, "doc_id")
     ids = some.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= per_lang).select("doc_id", "lang")
-    if langs * per_lang <= BROADCAST_ROWS:
+    if MAX_LANGS * per_lang <= BROADCAST_ROWS or counts.count() * per_lang <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
     sample = rows.join(ids, ["doc_id", "lang"], "left_semi").select("lang", "text")
     grams = sample.mapInArrow(_counting, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
@@ -174,7 +175,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 texts = part.column(1).to_pylist()
-                ok = [i for i, t in enumerate(texts) if m.langs and t and _LETTER.search(t)]
+                ok = [i for i, t in enumerate(texts) if m.langs and t and _has_letter(t)]
                 lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
                 if ok:
                     p = m.score([texts[i] for i in ok])
@@ -192,7 +193,8 @@ def identify(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> DataFrame:
 
     Learns from the text and lang of documents outside the held-out fold. Repeated rows each get
     their row; a null doc_id is predicted, never learned from, and not held out. Without labelled
-    rows all is ``und``. No rows give no rows; other columns are ignored, whatever their names.
+    rows all is ``und``. Beyond MAX_LANGS distinct values of lang, as a dirty column may have, the rarer
+    ones are never predicted. No rows give no rows; other columns are ignored, whatever their names.
     """
     fold = F.coalesce(held_out(F.col("doc_id")), F.lit(True))
     model = train(docs.where(~fold).select("doc_id", "text", "lang"), per_lang)
@@ -208,5 +210,6 @@ def drop_unidentified(docs: DataFrame, least: float = 0.5, langs: tuple[str, ...
     good = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)
     if langs is not None:
         good &= F.col("lang_pred").isin(*langs)
-    verdict = identify(docs).groupBy("doc_id").agg(F.max(good).alias("ok")).where("NOT ok AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__bad"))
-    return docs.join(verdict, F.col("doc_id") == F.col("__bad"), "left_anti")
+    bad = absent(docs, "bad")[0]
+    verdict = identify(docs).groupBy("doc_id").agg(F.max(good).alias("ok")).where("NOT ok AND doc_id IS NOT NULL").select(F.col("doc_id").alias(bad))
+    return docs.join(verdict, F.col("doc_id") == F.col(bad), "left_anti")
