@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small
+from .common import Scratch, absent, small
 
 DIMS = ("source", "lang", "topic")
 #: Value of a null source, language or topic in cells and marginals.
@@ -93,10 +93,14 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topic: Col
 
     Null source, lang or topic is a value of its own, ``(missing)``. Null and blank texts have no
     tokens; they share their cell's probability, 1 where no document of the cell has a token. Rows
-    that repeat a doc_id share the hash; a null doc_id has a hash of its own. No rows give no rows.
+    that repeat a doc_id share the hash; that of a null doc_id is of its text. No rows give no rows.
     Other columns are ignored, whatever their names.
     """
-    scratch = Scratch(docs.sparkSession, "mixing")
+    with Scratch(docs.sparkSession, "mixing") as scratch:
+        return scratch.keep(_mixed(docs, targets, topic, seed, id_col, text_col, scratch).drop("text_hash"))
+
+
+def _mixed(docs: DataFrame, targets: dict[str, DataFrame] | None, topic: Column | None, seed: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     text = F.col(text_col)
     facts = scratch.write(
         docs.select(
@@ -104,17 +108,25 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topic: Col
             *[F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias(c) for c in DIMS[:2]],
             F.coalesce(topic_of(text) if topic is None else topic, F.lit(MISSING)).alias("topic"),
             n_tokens(text).alias("n_tokens"),
+            F.xxhash64(text).alias("text_hash"),
         )
     )
     cells = scratch.write(facts.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")))
     raked = rake(cells, flat_targets(cells) if targets is None else targets, scratch)
     top = raked.where("tokens > 0").agg(F.max("factor")).first()[0] or 1.0
     chance = raked.select(*DIMS, "factor", F.when(F.col("tokens") > 0, F.col("factor") / F.lit(top)).otherwise(1.0).alias("probability"))
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id"), F.lit(-1))), 11) / F.lit(float(1 << 53))
-    return facts.join(small(chance), list(DIMS)).select("doc_id", *DIMS, "n_tokens", "factor", "probability", (draw < F.col("probability")).alias("kept"))
-
-
-def sample_to_targets(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that :func:`mix` keeps, with their columns; rows with a null doc_id stay."""
-    gone = mix(docs, **options).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    own = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), F.lit("text"), "text_hash")).otherwise(F.xxhash64(F.lit(seed), "doc_id"))
+    draw = F.shiftrightunsigned(own, 11) / F.lit(float(1 << 53))
+    return facts.join(small(chance), list(DIMS)).select("doc_id", *DIMS, "n_tokens", "factor", "probability", (draw < F.col("probability")).alias("kept"), "text_hash")
+
+
+def sample_to_targets(
+    docs: DataFrame, targets: dict[str, DataFrame] | None = None, topic: Column | None = None, seed: int = 0, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` that :func:`mix` keeps, with their columns; rows are told apart by id and text."""
+    gone_id, gone_hash = absent(docs, "gone_id", "gone_hash")
+    with Scratch(docs.sparkSession, "mixing") as scratch:
+        out = _mixed(docs, targets, topic, seed, id_col, text_col, scratch)
+        gone = scratch.keep(out.where("NOT kept").select(F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_hash)).distinct())
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(gone_id)) & (F.xxhash64(F.col(text_col)) == F.col(gone_hash))
+    return docs.join(gone, same, "left_anti")
