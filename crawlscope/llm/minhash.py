@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small
+from .common import Scratch, absent, small
 from .components import connected_components
 
 #: Bands times registers a band. At a Jaccard similarity of 0.8 a pair shares no band with
@@ -219,11 +219,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     while copies are never expanded into all pairs.
 
     Null, empty and blank texts have no shingles and are linked with nothing. Rows that repeat a
-    doc_id are one node. A null doc_id is linked with nothing: its component_id is null, kept false.
+    doc_id are one node, whatever their texts. A null doc_id is linked with nothing: its component_id is null, kept false.
     No rows give no rows. Other columns are ignored, whatever their names.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "near-duplicates")
+    with Scratch(docs.sparkSession, "near-duplicates") as scratch:
+        return scratch.keep(_components(docs, words, percent, id_col, text_col, scratch))
+
+
+def _components(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketch = scratch.write(texts.mapInArrow(_sketch(words), "doc_id long, n_shingles long, set_key binary, regs binary, bands array<long>"))
     known = sketch.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
@@ -238,6 +241,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     active = scratch.write(buckets.join(shared, "key"))
     wanted = active.select(F.col("rep").alias("doc_id")).distinct()
     full = scratch.write(texts.join(small(wanted), "doc_id", "left_semi").mapInArrow(_sets(words), "rep long, shingles array<long>"))
+    # Rows that repeat an id give its sets more than once: what is counted of them bounds nothing.
+    often = full.groupBy("rep").agg(F.count("*").alias("sets")).where("sets > 1").select("rep")
     lone = (
         full.select("rep", F.explode("shingles").alias("s"))
         .groupBy("s")
@@ -245,6 +250,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         .where("n = 1")
         .groupBy("rep")
         .agg(F.count("*").alias("lone"))
+        .join(often, "rep", "left_anti")
     )
     side = scratch.write(reps.join(wanted, reps["rep"] == wanted["doc_id"], "left_semi").join(lone, "rep", "left").select("rep", "n_shingles", "regs", (F.col("n_shingles") - F.coalesce("lone", F.lit(0))).alias("shared")))
     # A set of which less than this can be shared is similar to none.
@@ -276,7 +282,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         similar = 100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)
         return scratch.write(likely.join(x, "a").join(y, "b").where(similar).select("a", "b").distinct())
 
-    found, comp, tested = None, None, None
+    # The sets of one id are one node.
+    own = known.join(classes, "set_key").select("doc_id", "rep").distinct()
+    several = own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("doc_id", "a")
+    found = scratch.write(own.join(several, "doc_id").where("a < rep").select("a", F.col("rep").alias("b")))
+    comp, tested = None, None
+    if not found.isEmpty():
+        comp = connected_components(found.select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch).select(F.col("node").alias("rep"), F.col("component").alias("comp"))
     for turn in range(STAR_ROUNDS + 1):
         if comp is None:
             members = members_of.withColumn("comp", F.col("rep"))
@@ -298,7 +310,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
             few = tokens.groupBy("s").agg(F.count("*").alias("df")).where(F.col("df") <= RARE)
             rare = scratch.write(tokens.join(few, "s").select("s", "m", "df"))
             # Two that share a rare shingle meet at it; two that share none are bounded without them.
-            scarce = rare.groupBy(F.col("m.rep").alias("rep")).agg(F.count("*").alias("scarce"))
+            scarce = rare.groupBy(F.col("m.rep").alias("rep")).agg(F.count("*").alias("scarce")).join(often, "rep", "left_anti")
             keys = still.groupBy(F.col("m.rep").alias("rep")).agg(F.collect_set("key").alias("keys")).join(scarce, "rep", "left")
             lean = still.join(keys, F.col("m.rep") == F.col("rep")).select(
                 "key", F.struct("m.rep", "m.comp", "m.n", (F.col("m.n") - F.coalesce("scarce", F.lit(0))).alias("shared"), "keys").alias("m")
@@ -314,7 +326,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
             continue
         tested = pairs if tested is None else tested.unionByName(pairs)
         new = links(pairs)
-        found = new if found is None else found.unionByName(new)
+        found = found.unionByName(new)
         comp = connected_components(found.select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch).select(F.col("node").alias("rep"), F.col("component").alias("comp"))
     out = sketch.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
     if comp is not None:
@@ -335,5 +347,6 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
     Rows with a null doc_id stay, since nothing says what they duplicate.
     """
-    gone = near_duplicates(docs, **options).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone_id = absent(docs, "gone_id")[0]
+    gone = near_duplicates(docs, **options).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(gone, F.col(options.get("id_col", "doc_id")) == F.col(gone_id), "left_anti")
