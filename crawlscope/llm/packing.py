@@ -10,14 +10,15 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LIMIT = 4096
 END_ID = 2
-#: Examples that compete for the places of a sequence.
-POOL = 1024
+#: Examples that compete for the places of a sequence, and the characters at which a pool is full.
+POOL, POOL_CHARS = 1024, 1 << 24
 #: Words whose ids a Python worker remembers between pools.
 MEMO = 700_000
 
@@ -198,6 +199,19 @@ class Ids:
         return out
 
 
+def _pools(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of at most POOL rows that end where their texts reach POOL_CHARS bytes."""
+    size = np.zeros(batch.num_rows, dtype=np.int64)
+    for column in batch.columns[1:]:
+        size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    full, at = np.cumsum(size), 0
+    while at < batch.num_rows:
+        before = full[at - 1] if at else 0
+        end = min(at + POOL, int(np.searchsorted(full, before + POOL_CHARS)) + 1, batch.num_rows)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def pack_texts(
     docs: DataFrame,
     tokenizer_path: str,
@@ -220,8 +234,8 @@ def pack_texts(
     fill gaps, and each partition's rest becomes sequences with powers of two for lengths, so that
     no padding is left unless the segment or loss limit binds.
 
-    Each partition packs its own rows as they stream by: nothing is shuffled, memory holds POOL
-    documents, and a lost task that runs again yields the same pieces and sequence ids. Null texts
+    Each partition packs its own rows as they stream by: nothing is shuffled, memory holds at most
+    POOL documents, fewer where they are long, and a lost task that runs again yields the same pieces and sequence ids. Null texts
     are empty and give ``end_id`` alone; repeated rows and null ids are packed each by itself. No
     rows give no rows; other columns are ignored, whatever their names.
     """
@@ -254,8 +268,7 @@ def pack_texts(
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols[:n], kinds[:n], strict=True)], names=names[:n])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, POOL):
-                part = batch.slice(at, POOL)
+            for part in _pools(batch):
                 doc_ids, ids = part.column(0).to_pylist(), ids_of.of(part.column(1).to_pylist())
                 prompts = [b[:-4] for b in ids_of.of(part.column(2).to_pylist())] if prompt_col else [b""] * len(ids)
                 pool = []
