@@ -20,7 +20,7 @@ END_ID = 2
 #: Examples that compete for the places of a sequence, and the characters at which a pool is full.
 POOL, POOL_CHARS = 1024, 1 << 24
 #: Words whose ids a Python worker remembers between pools.
-MEMO = 700_000
+MEMO = 450_000
 
 _memo: dict[str, dict[str, bytes]] = {}
 
