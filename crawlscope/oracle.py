@@ -81,7 +81,10 @@ CANON = "CASE WHEN canonical LIKE 'http%' THEN canonical WHEN canonical LIKE '/%
 FULL_CHECKS = [
     ("coalesce(status,0)=0", "'error'", "FETCH_FAILED", "'Page could not be fetched.'"),
     ("status>=400", "'error'", "BAD_STATUS", "concat('Page returned HTTP ',status,'.')"),
-    ("status BETWEEN 300 AND 399", "'warning'", "REDIRECT_STATUS", "concat('Page returned redirect status ',status,'.')"),
+    ("status BETWEEN 300 AND 399 AND NOT loop AND n_hops=0", "'warning'", "REDIRECT_STATUS", "concat('Page returned redirect status ',status,'.')"),
+    ("loop", "'error'", "REDIRECT_LOOP", "'Sitemap URL enters a redirect loop.'"),
+    ("NOT loop AND n_hops>=2", "'warning'", "REDIRECT_CHAIN", "concat('Sitemap URL passes through ',n_hops,' redirects before resolving.')"),
+    ("NOT loop AND n_hops=1", "'warning'", "REDIRECTED_URL", "concat('Sitemap URL resolves to ',final_url,'.')"),
     ("title IS NULL", MILD, "MISSING_TITLE", "'Page is missing a <title> tag.'"),
     ("length(title)<15", "'notice'", "SHORT_TITLE", "'Title is very short.'"),
     ("length(title)>75", MILD, "LONG_TITLE", "'Title may be too long for search results.'"),
@@ -90,14 +93,17 @@ FULL_CHECKS = [
     ("length(description)>180", MILD, "LONG_META_DESCRIPTION", "'Meta description may be too long.'"),
     ("canonical IS NULL", "'notice'", "MISSING_CANONICAL", "'Page is missing a canonical link.'"),
     (f"canon IS NOT NULL AND {_host('canon')}<>{_host('url')}", "'warning'", "CANONICAL_CROSS_HOST", "concat('Canonical points to another host: ',canon,'.')"),
-    (f"canon IS NOT NULL AND {_host('canon')}={_host('url')} AND {_norm('canon')}<>{_norm('url')}", "'notice'", "CANONICAL_MISMATCH", "concat('Canonical points to a different URL: ',canon,'.')"),
+    (f"canon IS NOT NULL AND {_host('canon')}={_host('url')} AND {_norm('canon')}<>{_norm('url')} AND {_norm('canon')} IS DISTINCT FROM {_norm('final_url')}", "'notice'", "CANONICAL_MISMATCH", "concat('Canonical points to a different URL: ',canon,'.')"),
     ("noindex", "'error'", "NOINDEX_IN_SITEMAP", "'Page appears in sitemap but has a noindex robots directive.'"),
     ("lastmod IS NULL", MILD, "MISSING_LASTMOD", "'Sitemap entry is missing lastmod.'"),
 ]
 
-BASE = f"""WITH RECURSIVE {oracle_ctes()},
-entries AS (SELECT * FROM crawl QUALIFY row_number() OVER (PARTITION BY site, url ORDER BY page_id) = 1),
-meta0 AS (SELECT site, url, lastmod, status,
+START = f"WITH RECURSIVE {oracle_ctes()},\n"
+
+#: Pages as derived: no redirects.
+PLAIN = "entries AS (SELECT *, NULL::VARCHAR AS final_url, 0 AS n_hops, false AS loop FROM crawl QUALIFY row_number() OVER (PARTITION BY site, url ORDER BY page_id) = 1),\n"
+
+PAGES = f"""meta0 AS (SELECT site, url, lastmod, status, final_url, n_hops, loop,
   {_clean("regexp_extract(html,'(?is)<title[^>]*>(.*?)</title>',1)")} AS title,
   {_clean(_meta('description'))} AS description, {_clean(_link())} AS canonical,
   coalesce(contains(lower({_clean(_meta('robots'))}),'noindex'),false) AS noindex,
@@ -105,7 +111,7 @@ meta0 AS (SELECT site, url, lastmod, status,
   {_section('url')} AS section, {_type('url')} AS page_type FROM entries),
 meta AS (SELECT *, {CANON} AS canon FROM meta0),
 checks AS (SELECT site, url, unnest(x) FROM (SELECT site, url, {_issues(FULL_CHECKS)} AS x FROM meta)),
-scored AS (SELECT *, CASE WHEN canon IS NOT NULL THEN {_norm('canon')} ELSE {_norm('url')} END AS k,
+scored AS (SELECT *, CASE WHEN canon IS NOT NULL THEN {_norm('canon')} ELSE {_norm('coalesce(final_url,url)')} END AS k,
   (title IS NOT NULL)::INT*3+(description IS NOT NULL)::INT*2+(lastmod IS NOT NULL)::INT+coalesce((status=200)::INT,0)*2 AS sc FROM meta),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY site,k ORDER BY sc DESC,url) AS n FROM scored),
 kept AS (SELECT * FROM ranked WHERE n=1),
@@ -145,6 +151,8 @@ w AS (SELECT *,CASE WHEN page_type IN ('home','static') THEN 100 WHEN page_type
 agg AS (SELECT site,count(*) AS n,count(DISTINCT section) AS sections,greatest(sum(w),100)::DOUBLE AS w_all,coalesce(sum(w) FILTER (WHERE title IS NULL),0)::DOUBLE AS w_t,coalesce(sum(w) FILTER (WHERE description IS NULL),0)::DOUBLE AS w_d,coalesce(sum(w) FILTER (WHERE lastmod IS NULL),0)::DOUBLE AS w_l FROM w GROUP BY site)
 """
 
+BASE = START + PLAIN + PAGES
+
 PENALTY = "CASE WHEN n=1 THEN 35 WHEN n BETWEEN 2 AND 4 THEN 20 WHEN n<10 THEN 10 ELSE 0 END"
 
 
@@ -174,20 +182,86 @@ cand AS (SELECT site, 0 AS recovered, i, {_norm("replace(regexp_extract(item,'<l
 mapped AS (SELECT site, url, lastmod FROM cand QUALIFY row_number() OVER (PARTITION BY site,url ORDER BY recovered,i)=1)
 """
 
-WALK = """
-hops AS (SELECT url, status, location AS nxt FROM fetch_log WHERE status BETWEEN 300 AND 399 AND coalesce(location,'')<>'' QUALIFY row_number() OVER (PARTITION BY url ORDER BY location)=1),
+def _walk(log: str, starts: str) -> str:
+    """Redirect walks of the URLs of ``starts`` over ``log``."""
+    return f"""
+hops AS (SELECT url, status, location AS nxt FROM {log} WHERE status BETWEEN 300 AND 399 AND coalesce(location,'')<>'' QUALIFY row_number() OVER (PARTITION BY url ORDER BY location)=1),
 walk AS (
- SELECT DISTINCT url AS start_url, url AS cur, []::VARCHAR[] AS visited, 0 AS n, false AS loop FROM crawl
+ SELECT DISTINCT url AS start_url, url AS cur, []::VARCHAR[] AS visited, 0 AS n, false AS loop FROM {starts}
  UNION ALL
  SELECT start_url, h.nxt, list_append(visited, cur), n+1, list_contains(visited, h.nxt) FROM walk JOIN hops h ON h.url=walk.cur WHERE NOT loop AND n<=10),
 ends AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY start_url ORDER BY n DESC)=1)
 """
 
 
+WALK = _walk("fetch_log", "crawl")
+
+#: Where the pages of whole audits end, and what is there.
+RESOLVED = _walk("site_pages", "once") + """,
+resolved AS (SELECT e.start_url, e.cur, e.loop, NOT e.loop AND e.n=11 AS truncated, NOT e.loop AND e.n<11 AND f.status IS NULL AS broken, e.n,
+  CASE WHEN e.loop THEN h.status WHEN e.n=11 THEN 310 ELSE f.status END AS status, CASE WHEN e.loop OR e.n=11 THEN '' ELSE f.body END AS html
+  FROM ends e LEFT JOIN site_pages f ON f.url=e.cur LEFT JOIN hops h ON h.url=e.visited[len(e.visited)])
+"""
+
+#: Entries of the audits' sitemaps, the files in order of their visit.
+AUDIT = (
+    START
+    + rf"""maps AS (SELECT concat('https://',site) AS site, site AS host, part, body, body LIKE '%</urlset>' AS ok FROM site_maps WHERE body LIKE '%<urlset%' AND length(site)%12 NOT IN (2,3)),
+parsed AS (SELECT site, part, generate_subscripts(l,1) AS i, unnest(l) AS item FROM (SELECT site, part, regexp_extract_all(body,'<url>.*?</url>') AS l FROM maps WHERE ok)),
+found AS (SELECT site, part, body, generate_subscripts(l,1) AS i, unnest(l) AS url FROM (SELECT site, part, body, list_filter({_recover('body')},lambda x, i: list_position({_recover('body')},x)=i) AS l FROM maps)),
+cand AS (SELECT site, part, 0 AS recovered, i, {_norm("replace(regexp_extract(item,'<loc>(.*?)</loc>',1),'&amp;','&')")} AS url, nullif(regexp_extract(item,'<lastmod>(.*?)</lastmod>',1),'') AS lastmod FROM parsed
+ UNION ALL SELECT site, part, 1, i, url, CASE WHEN instr(body,url)>0 THEN nullif(regexp_extract(substr(body,greatest(instr(body,url)-1-600,0)+1,instr(body,url)-1+1200-greatest(instr(body,url)-1-600,0)),'(?i)<lastmod[^>]*>\s*([^<\s]+)\s*</lastmod>',1),'') END FROM found),
+mapped AS (SELECT site, url, lastmod FROM cand QUALIFY row_number() OVER (PARTITION BY site,url ORDER BY part,recovered,i)=1),
+{RESOLVED},
+robots_txt AS (SELECT DISTINCT concat('https://',site) AS site, concat('User-agent: *',chr(10),'Disallow: /en/9',chr(10),'Allow: /en/9*.html$',chr(10),'Disallow: /*?utm_source=') AS body FROM once),
+entries AS (SELECT m.site, m.url, m.lastmod, CASE WHEN broken THEN NULL ELSE r.status END AS status, CASE WHEN NOT broken THEN cur END AS final_url, CASE WHEN coalesce(broken,true) THEN 0 ELSE n END AS n_hops, coalesce(loop,false) AS loop, CASE WHEN NOT broken THEN html END AS html
+  FROM mapped m LEFT JOIN resolved r ON r.start_url=m.url),
+""".replace("robots_txt AS", "own_robots AS")
+    + PAGES.replace("FROM robots_txt)", "FROM own_robots)").replace(
+        "sissues AS (SELECT site,'warning' AS severity",
+        """every AS (SELECT DISTINCT concat('https://',site) AS site, site AS host, length(site)%12 AS m FROM once),
+files AS (SELECT site, concat(site,'/sitemap.xml') AS sitemap_url, 0 AS depth, 0 AS pos, m<>9 AS loaded FROM every
+  UNION ALL SELECT e.site, concat(e.site,'/sitemap-',p,'.xml'), 1, q, EXISTS (SELECT 1 FROM site_maps s WHERE s.sitemap_url=concat(e.site,'/sitemap-',p,'.xml')) FROM every e, (VALUES ('0',1),('1',2),('2',3),('gone',4)) t(p,q) WHERE m=10),
+sissues AS (SELECT site,'notice' AS severity,'ROBOTS_NO_SITEMAP_REFERENCE' AS code,'robots.txt did not expose a Sitemap: entry; tried /sitemap.xml fallback.' AS message FROM every WHERE m=7
+  UNION ALL SELECT site,'error','SITEMAPS_FOUND_BUT_UNUSABLE','Sitemap files loaded, but no usable same-host URL entries were extracted.' FROM every WHERE m IN (2,3)
+  UNION ALL SELECT site,'error','NO_ACCESSIBLE_SITEMAP','No accessible XML sitemap could be loaded.' FROM every WHERE m=9
+  UNION ALL SELECT site,'error','SITEMAP_FETCH_FAILED',concat('Could not load sitemap: ',sitemap_url) FROM files WHERE NOT loaded
+  UNION ALL SELECT site,'warning' AS severity""",
+    ).replace("Checked first 20 pages", "Checked first 500 pages").replace("n_entries>20", "n_entries>500")
+)
+
+SUMMARY = f"""own AS (SELECT site,count(*) FILTER (WHERE severity='error') AS site_errors FROM sissues GROUP BY site),
+board AS (SELECT e.site, e.host, e.m, coalesce(a.n,0) AS n, coalesce(sections,0) AS sections, coalesce(errors,0) AS errors, coalesce(warnings,0) AS warnings, coalesce(notices,0) AS notices,
+  coalesce(w_all,100) AS w_all, coalesce(w_t,0) AS w_t, coalesce(w_d,0) AS w_d, coalesce(w_l,0) AS w_l, coalesce(site_errors,0) AS site_errors, coalesce(f.n_entries,0) AS n_entries
+  FROM every e LEFT JOIN agg a USING (site) LEFT JOIN sev USING (site) LEFT JOIN own USING (site) LEFT JOIN facts f USING (site)),
+summary AS (SELECT site, n AS pages, sections, errors, warnings, notices, {{index}} AS index, {{seo}} AS seo, {{sitemap}} AS sitemap, host, n_entries FROM board)
+"""
+
 def _with(more: str, select: str) -> str:
     return f"{BASE}{', ' + more if more else ''}\n{select}"
 
 
+def _audited(select: str, more: str = "") -> str:
+    return f"{AUDIT}{', ' + more if more else ''}\n{select}"
+
+
+SUMMARY = SUMMARY.format(
+    index=_clamp(f"100-({PENALTY})-{_round('w_t/w_all*20')}-2*greatest(0,10-sections)"),
+    seo=_clamp(f"100.0::DOUBLE-errors*10.0::DOUBLE-warnings*1.25::DOUBLE-notices*0.15::DOUBLE-{_round('w_d/w_all*12')}"),
+    sitemap=_clamp(f"100-({PENALTY})-{_round('w_l/w_all*10')}-15*site_errors"),
+)
+
+VERDICT = """CASE WHEN n=0 AND loaded>0 THEN 'Sitemap references were found, but no usable URL entries could be extracted.'
+ WHEN n=0 THEN 'Not compatible yet: no accessible XML sitemap URLs were found.' WHEN n=1 THEN 'Single-page sitemap detected: metadata is available, but the sitemap only exposes one URL.'
+ WHEN n<5 THEN concat('Thin sitemap detected: only ',n,' URLs were indexed.')
+ WHEN errs>greatest(10.0,n*0.5) THEN 'Partially compatible: sitemap URLs were indexed, but many sampled pages could not be fetched.'
+ WHEN failed>0 THEN 'Mostly compatible: some sitemap files failed, but usable URLs were indexed.' ELSE 'Compatible: sitemap URLs were indexed and sampled page metadata was accessible.' END"""
+TOLD = """CASE WHEN n=0 THEN concat(host,' did not expose usable sitemap URLs to this run.')
+ WHEN n=1 THEN concat(host,' exposed only one sitemap URL. The page may be healthy, but the sitemap inventory is thin unless this is intentionally a one-page site.')
+ WHEN n<5 THEN concat(host,' exposed ',n,' sitemap URLs. This shallow inventory should be compared against the real public pages.')
+ ELSE concat(host,' exposed ',format('{:,}',n),' sitemap URLs. This preview sampled ',format('{:,}',deep),' pages for metadata and kept the rest as index-only rows.') END"""
+
+
 def inventory_sql(columns: str, tail: str = "") -> str:
     return f"WITH {oracle_ctes()} SELECT {columns} FROM inventory {tail}"
 
@@ -273,4 +347,35 @@ pa AS (SELECT site,count(*) AS n,count(*) FILTER (WHERE deep)::DOUBLE AS nd,coun
     "a_csv_rows": _with("", "SELECT k.url,coalesce(title,'') AS title,coalesce(lastmod,'') AS lastmod,coalesce(status::VARCHAR,'') AS status,'0' AS redirects,coalesce(i.n,0)::VARCHAR AS issue_count,coalesce(l,'') AS issues FROM kept k LEFT JOIN (SELECT site,url,count(*) AS n,string_agg(concat(severity,':',code),'|' ORDER BY stage,ord) AS l FROM pissues GROUP BY 1,2) i USING (site,url)"),
     "a_run_counters": "SELECT count(*) AS runs, sum(CAST(user_id % 500 AS BIGINT))::BIGINT AS pages FROM events",
     "r_compare_crawls": _with("", "SELECT coalesce(a.site,b.site) AS site,coalesce(a.url,b.url) AS url,CASE WHEN a.url IS NULL THEN 'added' WHEN b.url IS NULL THEN 'removed' WHEN a.title IS NOT DISTINCT FROM b.title AND a.description IS NOT DISTINCT FROM b.description AND a.canonical IS NOT DISTINCT FROM b.canonical AND a.status IS NOT DISTINCT FROM b.status AND a.lastmod IS NOT DISTINCT FROM b.lastmod THEN 'same' ELSE 'changed' END AS change FROM (SELECT * FROM meta WHERE length(url)%5<>0) a FULL JOIN (SELECT site,url,title,description,canonical,status,CASE WHEN length(url)%7=1 THEN '2025-01-01' ELSE lastmod END AS lastmod FROM meta WHERE length(url)%5<>3) b USING (site,url)"),
+    "d_sitemap_files": _with("", "SELECT DISTINCT site,concat('https://',site,'/sitemap.xml') AS sitemap_url,0 AS depth,true AS loaded FROM crawl"),
+    "d_candidate_seeds": _with("", """SELECT site,cand_pos,base,CASE WHEN cand_pos=0 THEN 0 ELSE pos END AS pos,sitemap_url,cand_pos=0 AS from_robots FROM (
+ SELECT site,cand_pos,base,unnest(generate_series(0,CASE WHEN cand_pos=0 THEN 0 ELSE 4 END))::INT AS pos,concat(base,unnest(CASE WHEN cand_pos=0 THEN ['/sitemap.xml'] ELSE ['/sitemap.xml','/sitemap_index.xml','/sitemap-index.xml','/wp-sitemap.xml','/sitemap/sitemap.xml'] END)) AS sitemap_url
+ FROM (SELECT concat('https://',s) AS site,unnest([0,1])::INT AS cand_pos,unnest([concat('https://',s),CASE WHEN s LIKE 'www.%' THEN concat('https://',substr(s,5)) ELSE concat('https://www.',s) END]) AS base FROM (SELECT DISTINCT site AS s FROM crawl)))"""),
+    "e_hop_limit": _with(RESOLVED, "SELECT start_url,CASE WHEN NOT broken THEN status END AS status,CASE WHEN NOT broken THEN cur END AS final_url,CASE WHEN broken THEN 0 ELSE n END AS n_hops,loop,truncated FROM resolved"),
+    "f_preview_checks": _with("", """SELECT site,url,'notice' AS severity,'NON_HTML_RESPONSE' AS code,'Response content-type was application/pdf.' AS message FROM meta WHERE length(url)%5=1
+ UNION ALL SELECT site,url,'warning','BOT_PROTECTION_DETECTED','Page response looks like bot protection or an access challenge.' FROM entries WHERE length(url)%6=2 OR regexp_matches(substr(html,1,1200),'(?i)cloudflare|access denied|captcha|bot detection|verify you are human|akamai|perimeterx|blocked|forbidden')
+ UNION ALL SELECT site,url,'notice','FETCH_DETAIL','timed out' FROM meta WHERE length(url)%7=3"""),
+    "f_index_only": _with("", "SELECT site,url,'notice' AS severity,'INDEX_ONLY_NOT_FETCHED' AS code,'URL was indexed from sitemap but not deep-fetched in this preview.' AS message FROM meta QUALIFY row_number() OVER (PARTITION BY site ORDER BY url)>3"),
+    "h_preview_issues": _with("hf AS (SELECT site,CASE WHEN n_entries>8 THEN n_entries*300 WHEN n_entries>5 THEN n_entries*10 WHEN n_entries=5 THEN 0 ELSE n_entries END AS n,n_entries%2 AS loaded,length(site)%2=0 AS rob,length(site)%3<>0 AS as_site FROM facts)", """SELECT site,'notice' AS severity,'ROBOTS_NO_USABLE_SITEMAP_REFERENCE' AS code,'robots.txt did not expose a usable XML Sitemap directive; common sitemap paths and host variants were tried.' AS message FROM hf WHERE NOT rob AND as_site
+ UNION ALL SELECT site,'error','SITEMAPS_FOUND_BUT_UNUSABLE','Sitemap references were found, but no usable URL entries could be extracted.' FROM hf WHERE n=0 AND loaded>0
+ UNION ALL SELECT site,'error','NO_ACCESSIBLE_SITEMAP','No accessible XML sitemap could be loaded.' FROM hf WHERE n=0 AND loaded=0
+ UNION ALL SELECT site,'warning','SINGLE_URL_SITEMAP','Only 1 URL was found in the sitemap inventory. This is thin unless the site is intentionally one page.' FROM hf WHERE n=1
+ UNION ALL SELECT site,'warning','THIN_SITEMAP',concat('Only ',n,' URLs were found in the sitemap inventory.') FROM hf WHERE n BETWEEN 2 AND 4
+ UNION ALL SELECT site,'notice','URL_INDEX_LIMIT_REACHED','The preview indexed the first 1,200 URLs. Use the full profile for a complete export.' FROM hf WHERE n>=1200
+ UNION ALL SELECT site,'notice','DEEP_CHECK_LIMIT_REACHED','The preview deep checked 40 pages and kept the rest as index-only rows.' FROM hf WHERE n>40
+ UNION ALL SELECT site,'warning','SITEMAP_FETCH_FAILED',concat('Could not load sitemap: https://',site,'/gone.xml') FROM hf WHERE length(site)%4=1
+ UNION ALL SELECT site,'notice','DISCOVERY_NOTE',concat('note on ',site) FROM hf WHERE length(site)%5=1"""),
+    "audit_entries": _audited("SELECT site,url,lastmod FROM mapped"),
+    "audit_files": _audited("SELECT site,sitemap_url,depth,loaded FROM files"),
+    "audit_pages": _audited("SELECT site,url,final_url,status,nullif(n_hops,0) AS redirects,title,description,canonical,lastmod,page_type,section,NOT EXISTS (SELECT 1 FROM checks c WHERE c.site=kept.site AND c.url=kept.url AND c.severity='error') AS ok FROM kept"),
+    "audit_page_issues": _audited("SELECT site,url,stage,severity,code,message FROM pissues"),
+    "audit_site_issues": _audited("SELECT site,severity,code,message FROM sissues"),
+    "audit_summary": _audited("SELECT site,pages,sections,errors,warnings,notices,index,seo,sitemap FROM summary", SUMMARY),
+    "audit_report": _audited(
+        f"SELECT site,pages,sections,errors,warnings,notices,index,seo,sitemap,{VERDICT} AS verdict,{TOLD} AS summary,concat(site,'/robots.txt') AS robots_url,sitemap_urls,m<>7 AS from_robots,n AS n_entries,'site' AS input_mode,deep AS n_deep FROM told",
+        SUMMARY
+        + """, bad AS (SELECT site,count(DISTINCT url) AS errs FROM pissues WHERE severity='error' GROUP BY site),
+ seen AS (SELECT site,count(*) FILTER (WHERE loaded) AS loaded,count(*) FILTER (WHERE NOT loaded) AS failed,coalesce(string_agg(sitemap_url,'|' ORDER BY depth,pos) FILTER (WHERE loaded),concat(site,'/sitemap.xml')) AS sitemap_urls FROM files GROUP BY site),
+ told AS (SELECT s.* EXCLUDE (n_entries),s.n_entries AS n,s.pages AS deep,e.m,loaded,failed,sitemap_urls,coalesce(errs,0) AS errs FROM summary s JOIN every e USING (site) JOIN seen USING (site) LEFT JOIN bad USING (site))""",
+    ),
 }

@@ -275,11 +275,86 @@ def _audit(spark: SparkSession, sf_dir: str, config: AuditConfig):
 
 def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole audit in the full profile: statistics, scores and sources of each site."""
-    return _audit(spark, sf_dir, AuditConfig()).report
+    return _audit(spark, sf_dir, AuditConfig()).report.withColumn("sitemap_urls", F.array_join("sitemap_urls", "|"))
+
+
+def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line for each site, as a run prints it."""
+    return reports.summary_rows(_audit(spark, sf_dir, AuditConfig()).report)
+
+
+def audit_site_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _audit(spark, sf_dir, AuditConfig()).site_issues.select("site", "severity", "code", "message")
+
+
+def audit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sitemap files of whole audits, found from robots files or by fallback and through indexes."""
+    return _audit(spark, sf_dir, AuditConfig()).files.select("site", "sitemap_url", "depth", "loaded")
+
+
+def audit_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _audit(spark, sf_dir, AuditConfig()).entries.select("site", "url", "lastmod")
+
+
+def audit_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of whole audits after their redirects, checks and dedupe."""
+    return _audit(spark, sf_dir, AuditConfig()).pages.select("site", "url", "final_url", "status", "redirects", "title", "description", "canonical", "lastmod", "page_type", "section", "ok")
+
+
+def e_hop_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Redirect walks of pages of which some go on beyond the limit."""
+    starts = derived.once(spark, sf_dir).select(F.col("url").alias("start_url"))
+    out = redirects.resolve_redirects(starts, fetch_log_of(derived.site_log(spark, sf_dir)))
+    return out.select("start_url", "status", "final_url", "n_hops", "loop", "truncated")
+
+
+def d_candidate_seeds(s: Stage) -> DataFrame:
+    """The preview's seeds of each host variant, of robots files that only the sites' own hosts have."""
+    sites = s.sites.select(F.concat(F.lit("https://"), "site").alias("site"))
+    directives = robots.sitemap_directives(derived.robots_txt(s.spark, s.sf_dir)).withColumn("site", F.concat(F.lit("https://"), "site"))
+    return sitemaps.seed_sitemaps(sites, directives, "preview").select("site", "cand_pos", "base", "pos", "sitemap_url", "from_robots")
+
+
+def f_preview_checks(s: Stage) -> DataFrame:
+    """The preview's own checks, of responses whose type, error and challenge are derived from the URL's length."""
+    n = F.length("url")
+    told = s.entries.withColumns(
+        {
+            "html": F.when(n % 6 == 2, F.concat(F.lit("<html>Access Denied</html>"), "html")).otherwise(F.col("html")),
+            "content_type": F.when(n % 5 == 1, "application/pdf").when(n % 5 == 2, "text/html"),
+            "error": F.when(n % 7 == 3, "timed out"),
+        }
+    )
+    checked = checks.check_pages(checks.extract_metadata(told, "html"), "preview")
+    return checks.page_issues(checked).where(F.col("code").isin("NON_HTML_RESPONSE", "BOT_PROTECTION_DETECTED", "FETCH_DETAIL")).select("site", "url", "severity", "code", "message")
+
+
+def f_index_only(s: Stage) -> DataFrame:
+    """Pages beyond the deep sample, with their one issue."""
+    rest = checks.deep_sample(s.entries.select("site", "url", "lastmod"), 3).where("NOT deep_checked")
+    return checks.page_issues(checks.index_only(rest)).select("site", "url", "severity", "code", "message")
+
+
+def h_preview_issues(s: Stage) -> DataFrame:
+    """The preview's site issues, of facts that reach its bounds."""
+    n = F.col("n_entries")
+    facts = s.counts.select(
+        "site",
+        F.when(n > 8, n * 300).when(n > 5, n * 10).when(n == 5, 0).otherwise(n).alias("n_entries"),
+        (n % 2).alias("n_loaded"),
+        (F.length("site") % 2 == 0).alias("from_robots"),
+        F.when(F.length("site") % 3 == 0, "sitemap").otherwise("site").alias("input_mode"),
+        F.lit(0).alias("dropped"),
+        F.lit(0).alias("blocked"),
+    )
+    place = [F.lit(0).alias("depth"), F.array(F.lit(0)).alias("bfs_pos")]
+    failed = s.sites.where(F.length("site") % 4 == 1).select("site", F.concat(F.lit("https://"), "site", F.lit("/gone.xml")).alias("sitemap_url"), *place)
+    notes = s.sites.where(F.length("site") % 5 == 1).select("site", *place, F.lit(3).alias("kind"), F.concat(F.lit("note on "), "site").alias("message"))
+    return site_issues(facts, failed, "preview", None, notes).drop("ord")
 
 
 def audit_page_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _audit(spark, sf_dir, AuditConfig()).page_issues
+    return _audit(spark, sf_dir, AuditConfig()).page_issues.select("site", "url", "stage", "severity", "code", "message")
 
 
 def audit_preview_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -356,6 +431,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "a_csv_rows": _stage(a_csv_rows),
     "a_run_counters": a_run_counters,
     "r_compare_crawls": _stage(r_compare_crawls),
+    "d_candidate_seeds": _stage(d_candidate_seeds),
+    "e_hop_limit": e_hop_limit,
+    "f_preview_checks": _stage(f_preview_checks),
+    "f_index_only": _stage(f_index_only),
+    "h_preview_issues": _stage(h_preview_issues),
+    "audit_summary": audit_summary,
+    "audit_site_issues": audit_site_issues,
+    "audit_files": audit_files,
+    "audit_entries": audit_entries,
+    "audit_pages": audit_pages,
     "audit_report": audit_report,
     "audit_page_issues": audit_page_issues,
     "audit_preview_report": audit_preview_report,

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 CRAWL = """
-SELECT page_id, regexp_extract(url,'^([^#]*)',1) AS url, regexp_extract(url,'^https?://([^/?#]+)',1) AS site,
+SELECT page_id, CASE WHEN page_id % 13 = 6 THEN concat(regexp_extract(url,'^(https?://[^/?#]+)',1),'/p',CAST(page_id AS string)) ELSE regexp_extract(url,'^([^#]*)',1) END AS url, regexp_extract(url,'^https?://([^/?#]+)',1) AS site,
  CASE WHEN page_id % 7 = 0 THEN NULL ELSE concat('2024-',lpad(CAST(1 + page_id % 12 AS string),2,'0'),'-',lpad(CAST(1 + page_id % 28 AS string),2,'0')) END AS lastmod,
  CASE WHEN page_id % 50 = 13 THEN 404 WHEN page_id % 50 = 29 THEN NULL WHEN page_id % 50 = 41 THEN 304 ELSE 200 END AS status,
- replace(html,'</head>',concat(
-  CASE WHEN page_id % 5 = 0 THEN '' ELSE concat('<meta name="description" content="',substr(repeat(concat('Page ',CAST(page_id % 40 AS string),' summary text '),12),1,CAST(20 + (page_id * 13) % 220 AS int)),'">') END,
+ replace(CASE WHEN page_id % 19 = 5 THEN regexp_replace(html,'<title>[^<]*</title>','') WHEN page_id % 19 = 7 THEN regexp_replace(html,'<title>[^<]*</title>',concat('<title>',repeat('Long title words ',6),'</title>')) ELSE html END,'</head>',concat(
+  CASE WHEN page_id % 5 = 0 THEN '' WHEN page_id % 10 = 3 THEN '<meta name="description" content="One summary that several pages of a site have in common, word for word.">' ELSE concat('<meta name="description" content="',substr(repeat(concat('Page ',CAST(page_id % 40 AS string),' summary text '),12),1,CAST(20 + (page_id * 13) % 220 AS int)),'">') END,
   CASE WHEN page_id % 11 = 0 THEN '' WHEN page_id % 11 = 1 THEN '<link rel="canonical" href="https://other.example.org/x">' WHEN page_id % 11 = 2 THEN '<link rel="canonical" href="/en/shared">' ELSE concat('<link rel="canonical" href="',regexp_extract(url,'^([^#]*)',1),'">') END,
   CASE WHEN page_id % 17 = 0 THEN '<meta name="robots" content="noindex, follow">' ELSE '' END,
   '</head>')) AS html FROM {pages}
@@ -25,6 +25,35 @@ UNION ALL SELECT concat(url,'-m1'), CASE WHEN page_id % 9 = 4 THEN 200 ELSE 301
 UNION ALL SELECT concat(url,'-m2'), 200, NULL, html FROM {crawl} WHERE page_id % 9 = 5
 """
 
+#: One row for each URL.
+ONCE = """
+SELECT page_id, url, site, lastmod, status, html FROM (SELECT *, row_number() OVER (PARTITION BY site, url ORDER BY page_id) AS n FROM {crawl}) x WHERE n = 1
+"""
+
+#: Pages whose redirects go on beyond every limit.
+LONG_CHAINS = """
+SELECT CASE WHEN i = 0 THEN url ELSE concat(url,'-h',CAST(i AS string)) END AS url, 301 AS status, concat(url,'-h',CAST(i + 1 AS string)) AS location, CAST(NULL AS string) AS body
+FROM {once} JOIN (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8 UNION ALL SELECT 9 UNION ALL SELECT 10 UNION ALL SELECT 11 UNION ALL SELECT 12) t ON page_id % 27 = 17
+"""
+
+#: Robots files of which some state no sitemap.
+SITE_ROBOTS = """
+SELECT site, concat('User-agent: *',chr(10),'Disallow: /en/9',chr(10),'Allow: /en/9*.html$',chr(10),'Disallow: /*?utm_source=',chr(10),CASE WHEN length(site) % 12 = 7 THEN '' ELSE concat('Sitemap: https://',site,'/sitemap.xml',chr(10)) END) AS body
+FROM (SELECT DISTINCT site FROM {once}) x
+"""
+
+#: Sitemaps of four kinds by the length of a site's name: an index of three parts and a missing file (10 modulo
+#: 12), none (9), one of foreign URLs alone (2, 3) and a plain one, truncated where 4 divides the length.
+SITE_MAPS = """
+SELECT site, part, concat('https://',site,CASE WHEN part < 0 THEN '/sitemap.xml' ELSE concat('/sitemap-',CAST(part AS string),'.xml') END) AS sitemap_url,
+ concat('<?xml version="1.0" encoding="UTF-8"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">', {agg}, CASE WHEN length(site) % 4 = 0 THEN '' ELSE '</urlset>' END) AS body
+FROM (SELECT site, page_id, CASE WHEN length(site) % 12 = 10 THEN page_id % 3 ELSE -1 END AS part,
+ concat('<url><loc>',CASE WHEN length(site) % 12 IN (2,3) THEN concat('https://elsewhere.example/',CAST(page_id AS string)) ELSE replace(url,'&','&amp;') END,'</loc>',CASE WHEN lastmod IS NULL THEN '' ELSE concat('<lastmod>',lastmod,'</lastmod>') END,'</url>') AS u
+ FROM {once} WHERE length(site) % 12 <> 9) x GROUP BY site, part
+UNION ALL SELECT DISTINCT site, CAST(-1 AS BIGINT), concat('https://',site,'/sitemap.xml'), concat('<?xml version="1.0" encoding="UTF-8"?><sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><sitemap><loc>https://',site,'/sitemap-0.xml</loc></sitemap><sitemap><loc>https://',site,'/sitemap-1.xml</loc></sitemap><sitemap><loc>https://',site,'/sitemap-2.xml</loc></sitemap><sitemap><loc>https://',site,'/sitemap-gone.xml</loc></sitemap></sitemapindex>')
+FROM {once} WHERE length(site) % 12 = 10
+"""
+
 ROBOTS_TXT = """
 SELECT site, concat('# robots for ',site,chr(10),'User-agent: otherbot',chr(10),'Disallow: /',chr(10),chr(10),'User-agent: *',chr(10),'Disallow: /en/9',chr(10),'Allow: /en/9*.html$',chr(10),'Disallow: /*?utm_source=',chr(10),'Disallow:',chr(10),'Crawl-delay: 5',chr(10),'Sitemap: https://',site,'/sitemap.xml',chr(10),'Sitemap: https://',site,'/llms.txt',chr(10)) AS body
 FROM (SELECT DISTINCT site FROM {crawl}) x
@@ -66,6 +95,15 @@ def sitemap_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(text, crawl=crawl(spark, sf_dir))
 
 
+def once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(ONCE, crawl=crawl(spark, sf_dir))
+
+
+def site_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sitemaps of whole audits: (site, part, sitemap_url, body)."""
+    return spark.sql(SITE_MAPS.replace("{agg}", "listagg(u, '') WITHIN GROUP (ORDER BY page_id)"), once=once(spark, sf_dir))
+
+
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A URL inventory of the size of lineitem, without HTML."""
     return spark.sql(INVENTORY, lineitem=read(spark, sf_dir, "lineitem"))
@@ -73,9 +111,13 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def site_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One fetch log with pages, robots files and sitemaps, for whole audits."""
-    robots = robots_txt(spark, sf_dir).selectExpr("concat('https://', site, '/robots.txt') AS url", "200 AS status", "CAST(NULL AS string) AS location", "body")
-    maps = sitemap_xml(spark, sf_dir).selectExpr("sitemap_url AS url", "200 AS status", "CAST(NULL AS string) AS location", "body")
-    return fetch_log(spark, sf_dir).unionByName(robots).unionByName(maps)
+    pages = once(spark, sf_dir)
+    log = spark.sql(FETCH_LOG, crawl=pages)
+    long = spark.sql(LONG_CHAINS, once=pages)
+    log = log.join(long.select("url"), "url", "left_anti").select(*long.columns).unionByName(long)
+    robots = spark.sql(SITE_ROBOTS, once=pages).selectExpr("concat('https://', site, '/robots.txt') AS url", "200 AS status", "CAST(NULL AS string) AS location", "body")
+    maps = site_maps(spark, sf_dir).selectExpr("sitemap_url AS url", "200 AS status", "CAST(NULL AS string) AS location", "body")
+    return log.unionByName(robots).unionByName(maps)
 
 
 def oracle_ctes() -> str:
@@ -89,5 +131,10 @@ def oracle_ctes() -> str:
             ("robots_txt", ROBOTS_TXT.format(crawl="crawl")),
             ("sitemap_xml", SITEMAP_XML.format(crawl="crawl", agg=agg)),
             ("inventory", INVENTORY.format(lineitem="lineitem")),
+            ("once", ONCE.format(crawl="crawl")),
+            ("long_chains", LONG_CHAINS.format(once="once")),
+            ("site_maps", SITE_MAPS.format(once="once", agg=agg)),
+            ("once_log", FETCH_LOG.format(crawl="once")),
+            ("site_pages", "SELECT url, status, location, body FROM once_log WHERE url NOT IN (SELECT url FROM long_chains) UNION ALL SELECT * FROM long_chains"),
         )
     )
