@@ -144,7 +144,9 @@ def index_only(entries: DataFrame) -> DataFrame:
 def deep_sample(entries: DataFrame, max_deep: int = MAX_DEEP) -> DataFrame:
     """``entries`` with deep_checked: whether the URL is among its site's first ``max_deep``."""
     rank = F.row_number().over(Window.partitionBy("site").orderBy("url"))
-    return entries.withColumn("deep_checked", rank <= max_deep)
+    # A filtered rank is limited before the shuffle, so that a huge site isn't sorted in one task.
+    first = entries.select("site", "url").withColumn("n", rank).where(F.col("n") <= max_deep).select("site", "url", F.lit(True).alias("deep_checked")).distinct()
+    return entries.join(first, ["site", "url"], "left").withColumn("deep_checked", F.coalesce("deep_checked", F.lit(False)))
 
 
 def page_issues(pages: DataFrame, stage: int = 0) -> DataFrame:

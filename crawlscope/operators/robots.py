@@ -102,7 +102,7 @@ def robots_verdict(urls: DataFrame, groups: DataFrame, rules: DataFrame, user_ag
     however many rules its site has, and no shuffle brings its matches together again.
     """
     request = U.request_path(F.col("url"))
-    held = small(site_rules(groups, rules, user_agent))
+    held = small(site_rules(groups, rules, user_agent), size="aggregate(rules, 0L, (n, r) -> n + 32 + octet_length(r.regex))")
     best = F.array_max(
         F.transform(
             F.filter("rules", lambda r: F.regexp_like(F.col("__request"), r["regex"])),
