@@ -62,8 +62,12 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+#: Most documents' pieces in a sequence: it binds where short texts come together.
+MAX_SEGMENTS = 64
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False).drop("n_loss")
+    return pack_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), max_segments=MAX_SEGMENTS, with_ids=False).drop("n_loss")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +95,29 @@ l AS (
 r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) c ON c.x = d.doc_id
+""",
+    # Links stated in the HTML are left to the tests: no table has one.
+    "op2_url_filter": r"""
+WITH p AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path, coalesce(regexp_extract(url, '^[^?#]*(\?[^#]*)', 1), '') AS query
+  FROM pages),
+rules(rule, rule_host, rule_path, action) AS (VALUES ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'),
+  ('www.example.com/en/', 'www.example.com', '/en/', 'allow'), ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')),
+u AS (
+  SELECT *, regexp_replace(host, '^(www|m)[.]', '') AS uhost, CASE WHEN regexp_matches(upath, '(/|[.][A-Za-z0-9]+)$') THEN upath ELSE upath || '/' END AS ufolder,
+    regexp_replace(regexp_replace(regexp_replace(query, '([?&])(utm_source|utm_medium|utm_campaign|utm_term|utm_content|gclid|fbclid|ref)(=[^&]*)?(&|$)', '\1', 'g'), '[?&]$', ''), '[?&]$', '') AS uquery
+  FROM (SELECT *, regexp_replace(CASE WHEN path = '' THEN '/' ELSE path END, '/(index[.]html|index[.]htm|index[.]php)$', '/') AS upath FROM p)),
+seen AS (
+  SELECT page_id, host, path, uhost || ufolder || uquery AS alias, host AS h, path AS q FROM u WHERE host <> ''
+  UNION ALL SELECT NULL, NULL, NULL, uhost || ufolder || uquery, uhost, ufolder FROM u WHERE host <> ''),
+fit AS (
+  SELECT s.*, (SELECT max_by({'rule': rule, 'action': action}, length(rule)) FROM rules r
+    WHERE (s.h = rule_host OR ends_with(s.h, '.' || rule_host)) AND starts_with(s.q, rule_path)) AS hit FROM seen s),
+told AS (SELECT alias, bool_or(hit.action = 'allow') AS allowed, bool_or(hit.action = 'block') AS blocked FROM fit GROUP BY alias)
+SELECT page_id, host, path, hit.rule AS rule, coalesce(hit.action, CASE WHEN allowed THEN 'allow' WHEN blocked THEN 'block' END, 'allow') AS verdict
+FROM fit JOIN told USING (alias) WHERE page_id IS NOT NULL
+UNION ALL SELECT page_id, host, path, NULL, 'allow' FROM p WHERE host = ''
 """,
     "op7_exact_dedup": r"""
 WITH h AS (

@@ -10,6 +10,10 @@ from ..functions import urls as U
 from .common import Scratch, lower_ascii, small
 from .components import connected_components
 
+#: Index pages that servers redirect to their folder, and query parameters that track a visit.
+INDEX_PAGES = ("index.html", "index.htm", "index.php")
+TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid", "ref")
+
 _CANONICAL = r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)"
 _REFRESH = r"(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)"
 _HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
@@ -46,6 +50,25 @@ def node_of(url: Column) -> Column:
     return U.let(F.coalesce(U.resolve_url(url, url), url), node)
 
 
+def usual_form(node: Column) -> Column:
+    """The node that servers usually redirect ``node`` to, and pages give as their canonical link.
+
+    Without ``www.`` or ``m.``, without an index page, with a slash at the end of a path that names no
+    file, and without tracking parameters; the other parameters keep their order.
+    """
+    host = F.regexp_replace(F.regexp_extract(node, r"(?s)\A([^/]*)", 1), r"\A(www|m)\.", "")
+    path = F.regexp_replace(F.regexp_extract(node, r"(?s)\A[^/]*(/[^?]*)", 1), rf"/({'|'.join(x.replace('.', '[.]') for x in INDEX_PAGES)})\z", "/")
+    folder = F.when(path.rlike(r"(/|\.[A-Za-z0-9]+)\z"), path).otherwise(F.concat(path, F.lit("/")))
+    query = F.regexp_replace(F.regexp_extract(node, r"(?s)\A[^?]*(\?.*)", 1), rf"(?<=[?&])({'|'.join(TRACKING)})(=[^&]*)?(&|\z)", "")
+    return F.concat(host, folder, F.regexp_replace(query, r"[?&]\z", ""))
+
+
+def usual_links(pages: DataFrame) -> DataFrame:
+    """(src, dst) nodes: the URLs of ``pages(url)`` and their usual forms, the redirects that sites are taken to have."""
+    node = pages.where(F.col("url").contains("://")).select(node_of(F.col("url")).alias("src"))
+    return node.withColumn("dst", usual_form(F.col("src")))
+
+
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """``urls(host, path, ...)`` with the longest fitting rule and its action, null without one.
 
@@ -94,24 +117,33 @@ def page_links(pages: DataFrame) -> DataFrame:
     return pages.where(url.contains("://")).select(url.alias("url"), link).select(F.col("url").alias("src"), target.alias("dst"))
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, links: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
+def judge_urls(
+    pages: DataFrame, rules: DataFrame, links: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", usual: bool = False
+) -> DataFrame:
     """Verdict on every row of ``pages``: (page_id, host, path, rule, verdict).
 
     A URL with a rule has the rule's verdict. Another URL has that of its aliases, the URLs that
     ``links(src, dst)`` (redirects and canonical links, either way) connect with it: allow if a rule
-    allows any of them, else block if a rule blocks any, else ``default``.
+    allows any of them, else block if a rule blocks any, else ``default``. With ``usual`` a URL is also
+    an alias of its usual form (:func:`usual_form`), as if its site redirected there.
 
     A null URL or one without ``://`` has an empty host and path, no rule, and ``default``. Repeated
     rows each get their row; nulls in links link nothing; no rows give no rows. Other columns are
     ignored, whatever their names.
     """
-    scratch = Scratch(pages.sparkSession, "url-filter")
+    with Scratch(pages.sparkSession, "url-filter") as scratch:
+        return scratch.keep(_judged(pages, rules, links, id_col, url_col, default, usual, scratch))
+
+
+def _judged(pages: DataFrame, rules: DataFrame, links: DataFrame, id_col: str, url_col: str, default: str, usual: bool, scratch: Scratch) -> DataFrame:
     url = F.col(url_col)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"))
     judged = match_rules(rows, rules)
-    edges = scratch.write(
-        links.select(node_of(F.col("src")).alias("src"), node_of(F.col("dst")).alias("dst")).where("src <> dst AND src <> '/' AND dst <> '/'").distinct()
-    )
+    stated = links.select(node_of(F.col("src")).alias("src"), node_of(F.col("dst")).alias("dst"))
+    if usual:
+        stated = stated.unionByName(usual_links(pages.select(url.alias("url"))))
+        stated = stated.unionByName(stated.select(F.col("dst").alias("src"), usual_form(F.col("dst")).alias("dst")))
+    edges = scratch.write(stated.where("src <> dst AND src <> '/' AND dst <> '/'").distinct())
     if edges.isEmpty():
         return judged.select("page_id", "host", "path", "rule", F.coalesce("action", F.lit(default)).alias("verdict"))
     comp = scratch.write(connected_components(edges, scratch))
@@ -129,5 +161,5 @@ def judge_urls(pages: DataFrame, rules: DataFrame, links: DataFrame, id_col: str
 
 
 def judge_pages(pages: DataFrame, rules: list[tuple[str, str]], **options) -> DataFrame:
-    """:func:`judge_urls` over the links that the pages themselves state."""
-    return judge_urls(pages, rules_frame(pages.sparkSession, rules), page_links(pages), **options)
+    """:func:`judge_urls` over the links that the pages themselves state, and their URLs' usual forms."""
+    return judge_urls(pages, rules_frame(pages.sparkSession, rules), page_links(pages), **{"usual": True, **options})

@@ -257,7 +257,7 @@ def test_url_filter(spark, linked):
         (1, "https://A.Example.COM/en/x?q#f", None), (2, "https://www.example.com/en/", None), (3, "http://b.net/es/1", None), (4, "http://b.net/de/1", html),
         (5, "no url", None), (6, None, None), (7, "https://example.com", '<meta http-equiv="refresh" content="0;url=https://a.net/es/x">'), (4, "http://b.net/de/1", html), (8, "x://h.net/fr", None),
     ]
-    out = judge_pages(spark.createDataFrame([(*r, "c") for r in rows], "page_id long, url string, html string, rule string"), RULES).collect()
+    out = judge_pages(spark.createDataFrame([(*r, "c") for r in rows], "page_id long, url string, html string, rule string"), RULES, usual=False).collect()
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in out}
     assert len(out) == len(rows)
     assert got[1] == ("a.example.com", "/en/x", "example.com/en/", "block")
@@ -273,6 +273,50 @@ def test_url_aliases(spark):
     assert {r.page_id: (r.rule, r.verdict) for r in out} == {1: (None, "block"), 2: (None, "block"), 3: (None, "allow")}
 
 
+def test_usual_forms(spark):
+    urls = {1: "http://www.b.net/es", 2: "https://b.org/x/index.html?utm_source=a&p=1&ref=z", 3: "http://m.b.org/x/?p=1", 4: "https://b.org/x/?p=2", 5: "http://b.org/y.html?gclid=7"}
+    rows = [(i, u, '<link rel=canonical href="https://a.net/es/1">' if i == 3 else None) for i, u in urls.items()]
+    out = judge_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES).collect()
+    # The folder of 1 is blocked where its URL has no rule; 2 is an alias of 3, which states a blocked page as canonical.
+    assert {r.page_id: (r.rule, r.verdict) for r in out} == {1: (None, "block"), 2: (None, "block"), 3: (None, "block"), 4: (None, "allow"), 5: (None, "allow")}
+
+
+def brute_usual(url):
+    head, _, rest = url.partition("://")
+    rest = rest.split("#")[0]
+    body, mark, query = rest.partition("?")
+    host, slash, path = body.partition("/")
+    host = re.sub(r"\A(www|m)\.", "", host.lower())
+    path = re.sub(r"/index\.(html|htm|php)\Z", "/", "/" + path)
+    if not re.search(r"(/|\.[A-Za-z0-9]+)\Z", path):
+        path += "/"
+    drop = {"utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid", "ref"}
+    kept = [x for x in query.split("&") if x and x.split("=")[0] not in drop]
+    return host + path, "?" + "&".join(kept) if kept else ""
+
+
+def test_url_filter_on_pages(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    got = {r.page_id: (r.rule, r.verdict) for r in judge_pages(pages, RULES).collect()}
+
+    def rule(host, path):
+        fits = [(len(r), r, a) for r, a in RULES for h, p in [r.split("/", 1)] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
+        return max(fits)[1:] if fits else None
+
+    groups, own = defaultdict(set), {}
+    for r in pages.select("page_id", "url").collect():
+        host, _, path = re.split(r"[?#]", r.url.split("://")[1])[0].partition("/")
+        own[r.page_id] = rule(host.lower(), "/" + path)
+        form, query = brute_usual(r.url)
+        h, _, p = form.partition("/")
+        groups[form, query] |= {own[r.page_id], rule(h, "/" + p)}
+        own[r.page_id] = (own[r.page_id], (form, query))
+    for i, (hit, key) in own.items():
+        actions = {x[1] for x in groups[key] if x}
+        other = "allow" if "allow" in actions or not actions else "block"
+        assert got[i] == (hit if hit else (None, other)), i
+
+
 def test_url_aliases_by_entities_and_dots(spark):
     canonical = '<link rel="canonical" href="{}">'.format
     goal = "https://a.net/es/x?p=2&amp;r=1"
