@@ -20,7 +20,7 @@ END_ID = 2
 #: Examples that compete for the places of a sequence, and the characters at which a pool is full.
 POOL, POOL_CHARS = 1024, 1 << 24
 #: Words whose ids a Python worker remembers between pools.
-MEMO = 450_000
+MEMO = 700_000
 
 _memo: dict[str, dict[str, bytes]] = {}
 
@@ -136,11 +136,12 @@ class Ids:
     them ends with the only token of its own that bears the end-of-word mark.
     """
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, path: str, end_id: int, most: int = MEMO):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo = _memo.setdefault(path, {})
+        self.most = most
         self.end = np.array([end_id], dtype="<u4").tobytes()
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -191,7 +192,7 @@ class Ids:
         entered = self._learn(new) if new else new
         get = memo.__getitem__
         out = [b"".join(map(get, words)) + self.end for words in split]
-        over = len(memo) - MEMO
+        over = len(memo) - self.most
         if over > 0:
             # Frequent words come early and stay.
             for w in islice(entered, over):
@@ -224,6 +225,7 @@ def pack_texts(
     id_col: str = "doc_id",
     text_col: str = "text",
     prompt_col: str | None = None,
+    memo: int = MEMO,
 ) -> DataFrame:
     """Pieces of the tokenised texts of ``docs``, placed in sequences of at most ``limit`` tokens.
 
@@ -232,7 +234,7 @@ def pack_texts(
     document's tokens are those of its text and ``end_id``; with ``prompt_col`` those of the prompt
     come first and bear no loss. A sequence obeys all three limits. With ``cut`` examples are cut to
     fill gaps, and each partition's rest becomes sequences with powers of two for lengths, so that
-    no padding is left unless the segment or loss limit binds.
+    no padding is left unless the segment or loss limit binds. A worker remembers the ids of ``memo`` words.
 
     Each partition packs its own rows as they stream by: nothing is shuffled, memory holds at most
     POOL documents, fewer where they are long, and a lost task that runs again yields the same pieces and sequence ids. Null texts
@@ -244,7 +246,7 @@ def pack_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         seq = (context.partitionId() if context else 0) << 40
-        ids_of, packer = Ids(tokenizer_path, end_id), Packer(limit, max_segments, max_loss, cut)
+        ids_of, packer = Ids(tokenizer_path, end_id, memo), Packer(limit, max_segments, max_loss, cut)
         held: dict[int, tuple[int | None, bytes, int]] = {}
         n_seen = 0
 
