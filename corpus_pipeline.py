@@ -37,7 +37,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences with their pieces' ids."""
-    return pack_texts(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pack_texts(docs, public_tokenizers.path("word_bpe_49k.json"), memo=150_000)
 
 
 STAGES = [("language ID", language_id), ("exact dedup", exact), ("near dedup", near), ("mixing", mixed), ("packing", packed)]
