@@ -19,8 +19,12 @@ LIMIT = 4096
 END_ID = 2
 #: Examples that compete for the places of a sequence, and the characters at which a pool is full.
 POOL, POOL_CHARS = 1024, 1 << 24
-#: Words whose ids a Python worker remembers between pools.
+#: Characters that are split into words at a time.
+BLOCK_CHARS = 1 << 20
+#: Words whose ids a Python worker remembers between blocks.
 MEMO = 700_000
+#: White space as the tokenizer sees it: four separators count as text.
+_SPACE = re.compile(r"[^\S\x1c-\x1f]+")
 
 _memo: dict[str, dict[str, bytes]] = {}
 
@@ -120,12 +124,21 @@ class Packer:
 
 
 def _words(text: str) -> list[str]:
-    """Pieces between white space as the tokenizer sees it: four separators count as text."""
+    """Pieces between white space."""
     if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        return [w for w in re.split(r"[^\S\x1c-\x1f]+", text) if w]
+        return [w for w in _SPACE.split(text) if w]
     return text.split()
 
 
+def _parts(text: str) -> Iterator[str]:
+    """``text``, cut at white space where it is longer than a block."""
+    at = 0
+    while len(text) - at > BLOCK_CHARS and (gap := _SPACE.search(text, at + BLOCK_CHARS)):
+        yield text[at : gap.start()]
+        at = gap.end()
+    yield text[at:] if at else text
+
+
 class Ids:
     """Token ids of texts as little-endian unsigned 32-bit bytes, through a bounded word memo.
 
@@ -185,19 +198,34 @@ class Ids:
             memo[w] = memo[low] + (memo[tail] if tail else b"")
         return new | plain
 
-    def of(self, texts: list[str | None]) -> list[bytes]:
-        split = [_words(t or "") for t in texts]
+    def _add(self, block: list[tuple[int, str]], found: list[list[bytes]]) -> None:
+        """Add the ids of each text of ``block`` to those found for its number."""
+        split = [_words(t) for _, t in block]
         memo = self.memo
         new = set(chain.from_iterable(split)).difference(memo)
         entered = self._learn(new) if new else new
         get = memo.__getitem__
-        out = [b"".join(map(get, words)) + self.end for words in split]
+        for (i, _), words in zip(block, split, strict=True):
+            found[i].append(b"".join(map(get, words)))
         over = len(memo) - self.most
         if over > 0:
             # Frequent words come early and stay.
             for w in islice(entered, over):
                 del memo[w]
-        return out
+
+    def of(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, a block of words at a time, and the end's."""
+        found: list[list[bytes]] = [[] for _ in texts]
+        block, size = [], 0
+        for i, text in enumerate(texts):
+            for part in _parts(text or ""):
+                block.append((i, part))
+                size += len(part)
+                if size >= BLOCK_CHARS:
+                    self._add(block, found)
+                    block, size = [], 0
+        self._add(block, found)
+        return [b"".join([*parts, self.end]) for parts in found]
 
 
 def _pools(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
