@@ -33,7 +33,7 @@ def scratch_root(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder to cut lineage.
 
-    As a context it deletes its tables at the end, but for the one that :meth:`keep` made. Kept
+    As a context it deletes its tables at the end, but for those that :meth:`keep` made. Kept
     results stay in the shared folder, for their frames read them whenever they are used.
     """
 
@@ -48,7 +48,8 @@ class Scratch:
         return self._written(df, f"{self.root}/{self.n}")
 
     def keep(self, df: DataFrame) -> DataFrame:
-        """As :meth:`write`, for the result: the table stays when the others go."""
+        """As :meth:`write`, for a result: the table stays when the others go."""
+        self.n += 1
         return self._written(df, f"{self.root}-result{self.n}")
 
     def _written(self, df: DataFrame, path: str) -> DataFrame:
