@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, absent, small
+from .common import Scratch, small
 
 DIMS = ("source", "lang", "topic")
 #: Value of a null source, language or topic in cells and marginals.
@@ -97,36 +97,49 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topic: Col
     Other columns are ignored, whatever their names.
     """
     with Scratch(docs.sparkSession, "mixing") as scratch:
-        return scratch.keep(_mixed(docs, targets, topic, seed, id_col, text_col, scratch).drop("text_hash"))
+        facts = scratch.write(docs.select(*_facts(topic, id_col, text_col)))
+        return scratch.keep(_decided(facts, _chances(facts, targets, scratch), seed).select("doc_id", *DIMS, "n_tokens", "factor", "probability", "kept"))
 
 
-def _mixed(docs: DataFrame, targets: dict[str, DataFrame] | None, topic: Column | None, seed: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+def _facts(topic: Column | None, id_col: str, text_col: str) -> list[Column]:
+    """What decides on a row: its cell, tokens and hashes."""
     text = F.col(text_col)
-    facts = scratch.write(
-        docs.select(
-            F.col(id_col).cast("long").alias("doc_id"),
-            *[F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias(c) for c in DIMS[:2]],
-            F.coalesce(topic_of(text) if topic is None else topic, F.lit(MISSING)).alias("topic"),
-            n_tokens(text).alias("n_tokens"),
-            F.xxhash64(text).alias("text_hash"),
-        )
-    )
+    return [
+        F.col(id_col).cast("long").alias("doc_id"),
+        *[F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias(c) for c in DIMS[:2]],
+        F.coalesce(topic_of(text) if topic is None else topic, F.lit(MISSING)).alias("topic"),
+        n_tokens(text).alias("n_tokens"),
+        F.when(F.col(id_col).isNull(), F.xxhash64(text)).alias("text_hash"),
+    ]
+
+
+def _chances(facts: DataFrame, targets: dict[str, DataFrame] | None, scratch: Scratch) -> DataFrame:
+    """(source, lang, topic, factor, probability) of each cell of ``facts``."""
     cells = scratch.write(facts.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")))
     raked = rake(cells, flat_targets(cells) if targets is None else targets, scratch)
     top = raked.where("tokens > 0").agg(F.max("factor")).first()[0] or 1.0
-    chance = raked.select(*DIMS, "factor", F.when(F.col("tokens") > 0, F.col("factor") / F.lit(top)).otherwise(1.0).alias("probability"))
+    probability = F.when(F.col("tokens") > 0, F.col("factor") / F.lit(top)).otherwise(1.0)
+    return raked.select(*DIMS, "factor", probability.alias("probability"))
+
+
+def _decided(facts: DataFrame, chances: DataFrame, seed: int) -> DataFrame:
+    """``facts`` with (factor, probability, kept)."""
     own = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), F.lit("text"), "text_hash")).otherwise(F.xxhash64(F.lit(seed), "doc_id"))
     draw = F.shiftrightunsigned(own, 11) / F.lit(float(1 << 53))
-    return facts.join(small(chance), list(DIMS)).select("doc_id", *DIMS, "n_tokens", "factor", "probability", (draw < F.col("probability")).alias("kept"), "text_hash")
+    return facts.join(small(chances), list(DIMS)).withColumn("kept", draw < F.col("probability"))
 
 
 def sample_to_targets(
     docs: DataFrame, targets: dict[str, DataFrame] | None = None, topic: Column | None = None, seed: int = 0, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The rows of ``docs`` that :func:`mix` keeps, with their columns; rows are told apart by id and text."""
-    gone_id, gone_hash = absent(docs, "gone_id", "gone_hash")
+    """The rows of ``docs`` that :func:`mix` keeps, with their columns.
+
+    Each row is written once beside what decides on it, so that texts are matched against once and
+    shuffled only where there are too many cells to broadcast. Repeated rows are kept or dropped
+    alike; those of one id with different cells each by their own.
+    """
+    row = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
     with Scratch(docs.sparkSession, "mixing") as scratch:
-        out = _mixed(docs, targets, topic, seed, id_col, text_col, scratch)
-        gone = scratch.keep(out.where("NOT kept").select(F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_hash)).distinct())
-    same = F.col(id_col).cast("long").eqNullSafe(F.col(gone_id)) & (F.xxhash64(F.col(text_col)) == F.col(gone_hash))
-    return docs.join(gone, same, "left_anti")
+        facts = scratch.keep(docs.select(row.alias("row"), *_facts(topic, id_col, text_col)))
+        chances = scratch.keep(_chances(facts, targets, scratch))
+        return _decided(facts, chances, seed).where("kept").select("row.*")
