@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..scratch import BROADCAST_ROWS, Scratch, scratch_root, small
 
-__all__ = ["BLANKS", "BROADCAST_ROWS", "Scratch", "absent", "lower_ascii", "scratch_root", "small", "table"]
+__all__ = ["BLANKS", "BROADCAST_ROWS", "Scratch", "absent", "lower_ascii", "ranked", "scratch_root", "small", "table"]
 
 #: White space of the word rule `[^\x20\x09-\x0D]+`.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -43,3 +43,25 @@ def lower_ascii(text: Column) -> Column:
         | ~text.rlike(r"[\p{IsUppercase}\p{Lt}\p{Cn}&&[^A-Z]]")
     )
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
+
+
+def ranked(df: DataFrame, scratch: Scratch, group: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with the place ``pos`` of each row in its group, the group's ``size`` and a number ``start`` that orders groups.
+
+    Rows are dealt out by ranges of group and order, nulls first, so that a large group spreads over
+    many tasks; what is put together per group is one row for each partition that holds it. Without
+    ``order`` places are arbitrary; rows alike in all keys get places in any order. The input's
+    columns must not be named as those that are added, ``at``, ``part``, ``first`` or ``before``.
+    """
+    keys = [*group, *order]
+    if keys:
+        df = df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in keys]).sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in keys])
+    d = scratch.write(df.withColumn("at", F.monotonically_increasing_id())).withColumn("part", F.shiftright("at", 33))
+    whole = Window.partitionBy(*group)
+    earlier = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = d.groupBy(*group, "part").agg(F.min("at").alias("first"), F.count("*").alias("run"))
+    runs = runs.select(*group, "part", "first", F.coalesce(F.sum("run").over(earlier), F.lit(0)).alias("before"), F.sum("run").over(whole).alias("size"), F.min("first").over(whole).alias("start"))
+    runs = scratch.write(runs)
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*group, "part")]
+    out = d.alias("d").join(small(runs).alias("r"), same)
+    return out.select("d.*", (F.col("before") + F.col("at") - F.col("first")).alias("pos"), "size", "start").drop("at", "part")

@@ -13,11 +13,14 @@ from .exact_dedup import exact_dedup
 from .langid import identify
 from .licenses import scan_licenses
 from .line_dedup import judge_lines
+from .merkle import manifest
 from .minhash import near_duplicates
 from .mixing import mix
 from .packing import pack_texts
 from .secrets import scan_secrets
+from .toxicity import score_toxicity
 from .url_filter import judge_pages
+from .whitening import whiten
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,9 +77,25 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_url_filter, op3_language_id, op4_license_scan, op5_line_dedup, op6_nearest_neighbours, op7_exact_dedup, op8_secret_scan, op9_packing, op10_mixing)
-}
+    f.__name__: f
+    for f in (
+        op1_minhash_near_dedup, op2_url_filter, op3_language_id, op4_license_scan, op5_line_dedup, op6_nearest_neighbours, op7_exact_dedup, op8_secret_scan,
+        op9_packing, op10_mixing, op11_toxicity, op12_merkle_manifest, op13_embedding_whitening,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_near_dedup": r"""
@@ -126,5 +145,44 @@ WITH h AS (
 SELECT doc_id, first_value(doc_id) OVER g AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
   doc_id = first_value(doc_id) OVER g AS kept, text_sha256
 FROM h WINDOW g AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
+""",
+    # crc32 is folded bit by bit: an id's character codes, each followed by eight shifts.
+    "op12_merkle_manifest": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, text, list_reduce(flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1])),
+      lambda acc, x: CASE WHEN x >= 0 THEN xor(acc, x) ELSE xor(acc >> 1, CASE WHEN acc & 1 = 1 THEN 3988292384 ELSE 0 END) END, 4294967295::BIGINT) AS crc,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+      || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head
+  FROM documents),
+leaves AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN xor(crc, 4294967295) % 5 = 0 THEN sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS altered
+  FROM d),
+lv AS (
+  SELECT source, 0 AS h, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n, leaf AS digest, doc_id FROM leaves
+  UNION ALL
+  SELECT source, h + 1, pos // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)), NULL FROM lv WHERE n > 1 GROUP BY source, h, pos // 16, n),
+tv AS (
+  SELECT 0 AS h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n, digest, source FROM lv WHERE n = 1
+  UNION ALL
+  SELECT h + 1, pos // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)), NULL FROM tv WHERE n > 1 GROUP BY h, pos // 16, n),
+runs AS (
+  SELECT source, h, pos // 16 AS run, list(digest ORDER BY pos) AS ds FROM lv WHERE n > 1 GROUP BY source, h, pos // 16),
+tops AS (SELECT h, pos // 16 AS run, list(digest ORDER BY pos) AS ds FROM tv WHERE n > 1 GROUP BY h, pos // 16),
+up AS (
+  SELECT doc_id, source, h, pos, '' AS proof, coalesce(l.altered, l.leaf) AS folded FROM lv JOIN leaves l USING (doc_id, source) WHERE h = 0
+  UNION ALL
+  SELECT u.doc_id, u.source, u.h + 1, u.pos // 16, proof || array_to_string(ds[:pos % 16], '') || array_to_string(ds[pos % 16 + 2:], ''),
+    sha256(array_to_string(ds[:pos % 16], '') || folded || array_to_string(ds[pos % 16 + 2:], ''))
+  FROM up u JOIN runs r ON r.source IS NOT DISTINCT FROM u.source AND r.h = u.h AND r.run = u.pos // 16),
+over AS (
+  SELECT u.doc_id, u.source, 0 AS h, t.pos, u.proof, u.folded, t.digest AS subroot
+  FROM (SELECT * FROM up QUALIFY h = max(h) OVER (PARTITION BY doc_id)) u JOIN tv t ON t.h = 0 AND t.source IS NOT DISTINCT FROM u.source
+  UNION ALL
+  SELECT doc_id, source, o.h + 1, pos // 16, proof || array_to_string(ds[:pos % 16], '') || array_to_string(ds[pos % 16 + 2:], ''),
+    sha256(array_to_string(ds[:pos % 16], '') || folded || array_to_string(ds[pos % 16 + 2:], '')), subroot
+  FROM over o JOIN tops r ON r.h = o.h AND r.run = o.pos // 16)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM (SELECT * FROM over QUALIFY h = max(h) OVER (PARTITION BY doc_id)) JOIN leaves USING (doc_id) CROSS JOIN (SELECT digest AS root FROM tv WHERE n = 1)
 """,
 }
