@@ -15,8 +15,9 @@ from .common import Scratch
 
 #: Bound on the labelled examples: at most so many distinct texts of each label, those with the smallest hashes.
 SAMPLE_PER_LABEL = 4_096
-#: Most features, those that tell the labels apart best; each stands in LEAST_DF examples and has this chi-square at least.
-FEATURES, LEAST_DF, LEAST_CHI2 = 4_096, 5, 30.0
+#: Most features, those that tell the labels apart best; each stands in LEAST_DF examples, and has this chi-square and this
+#: share of the examples' number as chi-square at least.
+FEATURES, LEAST_DF, LEAST_CHI2, LEAST_PHI2 = 4_096, 5, 30.0, 0.01
 #: A word counts as itself and, if it is longer, by its first so many letters, for inflected forms.
 STEMS = (3, 4, 5)
 #: Neighbours that vote, and what is added to a distance whose reciprocal is the vote's weight.
@@ -133,8 +134,8 @@ class Index:
         w = (1 + np.log(counts)) * idf[features]
         return w / np.sqrt(np.square(w).sum()) if len(w) else w
 
-    def nearest(self, features: np.ndarray, counts: np.ndarray, own: int | None, k: int = NEIGHBOURS) -> list[tuple[float, int, int]]:
-        """The ``k`` examples of largest cosine above 0, as (cosine, place, doc_id), but for ``own``; ties to the smaller id.
+    def nearest(self, features: np.ndarray, counts: np.ndarray, k: int = NEIGHBOURS) -> list[tuple[float, int, int]]:
+        """The ``k`` examples of largest cosine above 0, as (cosine, place, doc_id); ties to the smaller id.
 
         Blocks come by falling bound, the sum of the query's weights times the block's largest; no
         block whose bound is below the k-th cosine known so far is looked at.
@@ -155,7 +156,7 @@ class Index:
             least = found[-1][0] - 1e-9 if len(found) == k else 0
             hits = np.flatnonzero((cosine > 0) & (cosine >= least))
             some = [(round(float(cosine[i]), 12), int(b * BLOCK + i), int(self.ids[b * BLOCK + i])) for i in hits]
-            found = sorted([*found, *[s for s in some if s[2] != own]], key=lambda s: (-s[0], s[2], s[1]))[:k]
+            found = sorted([*found, *some], key=lambda s: (-s[0], s[2], s[1]))[:k]
         return found
 
     def vote(self, near: list[tuple[float, int, int]]) -> float:
@@ -204,9 +205,14 @@ def _neighbours(index, calibration):
             flat = [batch.column(i).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2)]
             ends = np.append(0, np.cumsum(pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)))
             votes, score, evidence = [], [], []
+            known: dict[bytes, list[tuple[float, int, int]]] = {}
             for i, d in enumerate(ids):
-                a, b = ends[i], ends[i + 1]
-                near = ix.nearest(flat[0][a:b], flat[1][a:b], d) if b > a else []
+                f, n = (x[ends[i] : ends[i + 1]] for x in flat)
+                key = f.tobytes() + n.tobytes()
+                if key not in known:
+                    # One more, as a row is no neighbour of its own.
+                    known[key] = ix.nearest(f, n, NEIGHBOURS + 1)
+                near = [s for s in known[key] if s[2] != d][:NEIGHBOURS]
                 votes.append(ix.vote(near) if near else None)
                 score.append(c(votes[-1]) if c is not None else 0.0)
                 evidence.append([{"doc_id": s[2], "toxic": int(ix.toxic[s[1]]), "cosine": s[0]} for s in near])
@@ -270,7 +276,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_P
             has = counted.agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"))
             a, b = F.col("a").cast("double"), F.col("b").cast("double")
             chi2 = (n0 + n1) * F.pow(a * (n0 - b) - b * (n1 - a), 2) / ((a + b) * F.greatest(n0 + n1 - a - b, F.lit(0.5)) * n0 * n1)
-            best = has.where(a + b >= LEAST_DF).select("feature", chi2.alias("chi2")).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "feature").limit(FEATURES)
+            best = has.where(a + b >= LEAST_DF).select("feature", chi2.alias("chi2")).where(F.col("chi2") >= max(LEAST_CHI2, LEAST_PHI2 * (n0 + n1))).orderBy(F.desc("chi2"), "feature").limit(FEATURES)
             features = sorted(r["feature"] for r in best.collect())
         vectors = scratch.write(rows.mapInArrow(_vectors(sc.broadcast(features)), "doc_id long, features array<int>, counts array<int>"))
         frequency, total = np.ones(len(features)), vectors.count()
