@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import text as T
 from ..functions import urls as U
@@ -128,12 +134,48 @@ def recovered_locs(body: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(found, lambda x: U.norm_url(T.decode_entities(x))), lambda x: x.isNotNull()))
 
 
-def nearby_lastmod(body: Column, loc: Column) -> Column:
-    """First ``<lastmod>`` around the first place of ``loc`` in ``body``; null if it stands nowhere."""
-    at = F.position(loc, body)
-    start = F.greatest(at - 1 - NEAR[0], F.lit(0))
-    window = F.substring(body, start + 1, at - 1 + NEAR[1] - start)
-    return F.when(at > 0, T.first_match(window, LASTMOD))
+#: A URL in a text, wherever it begins, within another one too; and a lastmod element likewise.
+_URLS, _LASTMODS = re.compile(r'(?=(https?://[^\s<>"]*))', re.A), re.compile(f"(?=({LASTMOD[4:]}))", re.A | re.I)
+
+
+def lastmods_near(body: str, locs: list[str]) -> list[str | None]:
+    """For each of ``locs`` the first ``<lastmod>`` around its first place in ``body``; None if it stands nowhere.
+
+    One pass lists the URLs with their places, another the lastmods. A loc stands first where the
+    first URL stands that begins with it, and those are neighbours in alphabetical order.
+    """
+    urls = sorted((m[1], m.start()) for m in _URLS.finditer(body))
+    places = np.array([at for _, at in urls], dtype=np.int64)
+    marks = [(m.start(), m.end(1), m[2]) for m in _LASTMODS.finditer(body)]
+    starts, out = [m[0] for m in marks], []
+    for loc in locs:
+        lo, hi = bisect_left(urls, (loc,)), bisect_left(urls, (f"{loc}\U0010ffff",))
+        at = int(places[lo:hi].min()) if hi > lo else body.find(loc) if re.search(r'[\s<>"]', loc) else -1
+        found = None
+        if at >= 0:
+            i = bisect_left(starts, at - NEAR[0])
+            while found is None and i < len(marks) and marks[i][0] < at + NEAR[1]:
+                found = marks[i][2] if marks[i][1] <= at + NEAR[1] else None
+                i += 1
+        out.append(found)
+    return out
+
+
+def with_lastmods(df: DataFrame) -> DataFrame:
+    """``df(body, locs, ...)`` with ``lastmods``, one for each of ``locs``, in place of the body.
+
+    A file is read once, whatever its number of URLs, and no row carries it any further.
+    """
+    kept = [c for c in df.columns if c != "body"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            body, locs = (batch.column(batch.schema.get_field_index(c)) for c in ("body", "locs"))
+            near = [None if not (b.is_valid and u.is_valid) else lastmods_near(b.as_py(), u.as_py()) for b, u in zip(body, locs, strict=True)]
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(near, pa.list_(pa.string()))], names=[*kept, "lastmods"])
+
+    return df.mapInArrow(run, df.select(kept).schema.add("lastmods", ArrayType(StringType())))
 
 
 def structured(docs: DataFrame) -> DataFrame:
@@ -148,26 +190,41 @@ def structured(docs: DataFrame) -> DataFrame:
     )
 
 
-def expand_sitemaps(seeds: DataFrame, docs: DataFrame, profile: str = "full", max_depth: int = 50, max_files: int | None = None) -> DataFrame:
-    """Breadth-first expansion of ``seeds(site, sitemap_url, pos)``: (site, sitemap_url, depth, bfs_pos, loaded).
+def expand_sitemaps(seeds: DataFrame, docs: DataFrame, profile: str = "full", max_depth: int = 50, max_files: int | None = None, max_urls: int | None = None) -> DataFrame:
+    """Breadth-first expansion of ``seeds(site, sitemap_url, pos)``: (site, sitemap_url, depth, bfs_pos, loaded, room).
 
     ``docs(url, ok, error, body)`` are followed documents. Each file is visited once per site, at its
     first place in breadth-first order; ``bfs_pos`` compares as that order does within a depth.
     Children are those of a parsed index (of any host in the full profile), then recovered same-host
     locs that look like sitemaps. A file is loaded if it was fetched, in the full profile with 2xx.
     Each level is written, narrow rows only, which cuts the lineage; ``max_depth`` guards against
-    endless generated trees, and ``max_files`` keeps that many files of a site.
+    endless generated trees.
+
+    ``max_files`` files of a site are visited at most, in order. With ``max_urls`` a site ends with
+    the file that brings it to that many different page URLs: new URLs are counted per file, their
+    running total per site tells the ``room`` left when a file is begun (null without the bound), and
+    a file without room isn't visited, nor is any later level of its site.
     """
     scratch = Scratch(seeds.sparkSession, "sitemaps")
     fetched = F.col("error").isNull() & F.col("body").isNotNull()
     good = fetched if profile == "preview" else fetched & F.coalesce("ok", F.lit(False))
     front = seeds.where(U.is_sitemap_url(F.col("sitemap_url"))).select("site", U.norm_url(F.col("sitemap_url")).alias("sitemap_url"), F.array(F.col("pos").cast("int")).alias("bfs_pos"))
-    seen, levels = None, []
+    seen, levels, known, spent = None, [], None, None
     once = Window.partitionBy("site", "sitemap_url").orderBy("bfs_pos")
+    in_order = Window.partitionBy("site").orderBy("bfs_pos")
     for depth in range(max_depth):
         front = front.withColumn("n", F.row_number().over(once)).where("n = 1").drop("n")
         if seen is not None:
             front = front.join(seen, ["site", "sitemap_url"], "left_anti")
+        if spent is not None:
+            front = front.join(spent, "site", "left").na.fill(0, ["files", "urls"])
+            if max_urls is not None:
+                front = front.where(F.col("urls") < max_urls)
+        else:
+            front = front.withColumns({"files": F.lit(0).cast("long"), "urls": F.lit(0).cast("long")})
+        if max_files is not None:
+            # The bare rank first: Spark limits it before the shuffle.
+            front = front.withColumn("n", F.row_number().over(in_order)).where(F.col("n") <= max_files).where(F.col("n") + F.col("files") <= max_files).drop("n")
         level = scratch.write(
             structured(front.join(docs.select(F.col("url").alias("sitemap_url"), "ok", "error", "body"), "sitemap_url", "left")).select(
                 "site",
@@ -175,6 +232,8 @@ def expand_sitemaps(seeds: DataFrame, docs: DataFrame, profile: str = "full", ma
                 F.lit(depth).alias("depth"),
                 "bfs_pos",
                 good.alias("loaded"),
+                "files",
+                "urls",
                 F.when(
                     good,
                     F.concat(
@@ -186,56 +245,95 @@ def expand_sitemaps(seeds: DataFrame, docs: DataFrame, profile: str = "full", ma
         )
         if level.isEmpty():
             break
+        if max_urls is None:
+            level = level.withColumn("room", F.lit(None).cast("long"))
+        else:
+            firsts = _candidates(level, docs, profile).groupBy("site", "url").agg(F.min("bfs_pos").alias("bfs_pos"))
+            if known is not None:
+                firsts = firsts.join(known, ["site", "url"], "left_anti")
+            firsts = scratch.write(firsts)
+            fresh = firsts.groupBy("site", "bfs_pos").agg(F.count("*").alias("fresh"))
+            level = level.join(fresh, ["site", "bfs_pos"], "left").na.fill(0, ["fresh"])
+            before = F.col("urls") + F.coalesce(F.sum("fresh").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            level = scratch.write(level.withColumn("room", max_urls - before).where("room > 0"))
+            urls = firsts.select("site", "url")
+            known = urls if known is None else known.unionByName(urls)
         levels.append(level)
         ids = level.select("site", "sitemap_url")
         seen = ids if seen is None else seen.union(ids)
+        if max_files is not None or max_urls is not None:
+            total = F.max("urls") + (F.sum("fresh") if max_urls is not None else F.lit(0))
+            now = level.groupBy("site").agg((F.max("files") + F.count("*")).alias("files"), total.alias("urls"))
+            # A site without a file on this level has none on the next one.
+            spent = scratch.write(now)
         front = (
             level.select("site", "bfs_pos", F.posexplode("found").alias("i", "f"))
-            .where(U.is_sitemap_url(F.col("f.u")) & (~F.col("f.own") | U.same_host(F.col("f.u"), F.when(U.is_url(F.col("site")), F.col("site")).otherwise(F.concat(F.lit("https://"), "site")))))
+            .where(U.is_sitemap_url(F.col("f.u")) & (~F.col("f.own") | U.same_host(F.col("f.u"), _site_url())))
             .select("site", U.norm_url(F.col("f.u")).alias("sitemap_url"), F.concat("bfs_pos", F.array("i")).alias("bfs_pos"))
         )
-    cols = ["site", "sitemap_url", "depth", "bfs_pos", "loaded"]
+    cols = ["site", "sitemap_url", "depth", "bfs_pos", "loaded", "room"]
     if not levels:
-        return seeds.sparkSession.createDataFrame([], "site string, sitemap_url string, depth int, bfs_pos array<int>, loaded boolean")
-    files = reduce(DataFrame.unionByName, [x.select(cols) for x in levels])
-    if max_files is not None:
-        rank = F.row_number().over(Window.partitionBy("site").orderBy("depth", "bfs_pos"))
-        files = files.withColumn("n", rank).where(F.col("n") <= max_files).drop("n")
-    return files
+        return seeds.sparkSession.createDataFrame([], "site string, sitemap_url string, depth int, bfs_pos array<int>, loaded boolean, room long")
+    return reduce(DataFrame.unionByName, [x.select(cols) for x in levels])
 
 
 def _site_url() -> Column:
     return F.when(U.is_url(F.col("site")), F.col("site")).otherwise(F.concat(F.lit("https://"), "site"))
 
 
-def sitemap_entries(files: DataFrame, docs: DataFrame, profile: str = "full", max_urls: int | None = None) -> DataFrame:
-    """Entries (site, url, lastmod, changefreq, priority) of the loaded ``files``.
+def _candidates(files: DataFrame, docs: DataFrame, profile: str, lastmods: bool = False) -> DataFrame:
+    """Every listing of a page by a loaded file, in the order of ``depth``, ``bfs_pos``, ``recovered`` and ``i``.
 
-    URLs are normalised, of the site's host, and not sitemaps. The first of a URL wins: an earlier
-    file beats a later one, and within a file a parsed item beats a recovered loc, so that a
-    neighbour's lastmod never overwrites an entry that has none. The window's key is (site, url), so
-    a huge site spreads over all tasks; hosts are filtered before it.
+    (site, url, depth, bfs_pos, recovered, i, lead, lastmod, changefreq, priority): a URL is normalised,
+    of the site's host, and no sitemap. ``lead`` marks a file's first recovered loc of the host. The
+    lastmods of recovered locs are looked for only if asked.
     """
     loaded = files.where("loaded").join(docs.select(F.col("url").alias("sitemap_url"), "body"), "sitemap_url")
-    both = structured(loaded)
-    kept = [F.col("site"), F.col("depth"), F.col("bfs_pos")]
-    parsed = both.select(*kept, F.lit(0).alias("recovered"), F.posexplode("items").alias("i", "x")).select(
-        "site", "depth", "bfs_pos", "recovered", "i", U.norm_url(F.col("x.loc")).alias("url"), T.empty_to_null(F.col("x.lastmod")).alias("lastmod"), "x.changefreq", "x.priority"
+    none = F.lit(None).cast("string")
+    place = ["site", "depth", "bfs_pos"]
+    parsed = structured(loaded).select(*place, F.lit(0).alias("recovered"), F.posexplode("items").alias("i", "x")).select(
+        *place, "recovered", "i", U.norm_url(F.col("x.loc")).alias("url"), F.lit(False).alias("lead"), T.empty_to_null(F.col("x.lastmod")).alias("lastmod"), "x.changefreq", "x.priority"
     )
+    with_locs = loaded.select(*place, U.url_host(_site_url()).alias("own_host"), "body", recovered_locs(F.col("body")).alias("locs"))
+    with_locs = with_lastmods(with_locs) if lastmods else with_locs.select(*place, "own_host", "locs", F.transform("locs", lambda u: none).alias("lastmods"))
+    ours = lambda u: U.same_host(u, _site_url())
+    # Of a URL in normal form the host is what stands behind scheme and login.
+    host = lambda u: F.regexp_extract(u, r"\A\w+://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)
+    first = F.get(F.filter("locs", lambda u: host(u) == F.col("own_host")), F.lit(0))
     found = (
-        both.select(*kept, F.lit(1).alias("recovered"), "body", F.posexplode(recovered_locs(F.col("body"))).alias("i", "url"))
+        with_locs.select(*place, F.lit(1).alias("recovered"), first.alias("first"), F.posexplode(F.arrays_zip("locs", "lastmods")).alias("i", "x"))
+        .select(*place, "recovered", "i", F.col("x.locs").alias("url"), (F.col("x.locs") == F.col("first")).alias("lead"), F.col("x.lastmods").alias("lastmod"), none.alias("changefreq"), none.alias("priority"))
         .where(U.is_page_url(F.col("url")) if profile == "preview" else F.lit(True))
-        .select("site", "depth", "bfs_pos", "recovered", "i", "url", nearby_lastmod(F.col("body"), F.col("url")).alias("lastmod"), F.lit(None).cast("string").alias("changefreq"), F.lit(None).cast("string").alias("priority"))
-    )
-    order = Window.partitionBy("site", "url").orderBy("depth", "bfs_pos", "recovered", "i")
-    out = (
-        parsed.unionByName(found)
-        .where(F.col("url").isNotNull() & U.same_host(F.col("url"), _site_url()) & ~U.is_sitemap_url(F.col("url")))
-        .withColumn("n", F.row_number().over(order))
-        .where("n = 1")
-        .select("site", "url", "lastmod", "changefreq", "priority")
     )
-    return out if max_urls is None else cap_pages(out, max_urls)
+    return parsed.unionByName(found).where(F.col("url").isNotNull() & ours(F.col("url")) & ~U.is_sitemap_url(F.col("url")))
+
+
+def sitemap_entries(files: DataFrame, docs: DataFrame, profile: str = "full") -> DataFrame:
+    """Entries (site, url, lastmod, changefreq, priority) of the loaded ``files``.
+
+    URLs are normalised, of the site's host, and not sitemaps. The first of a URL wins: an earlier
+    file beats a later one, and within a file a parsed item beats a recovered loc, so that a
+    neighbour's lastmod never overwrites an entry that has none. The group's key is (site, url), so
+    a huge site spreads over all tasks; hosts are filtered before it.
+
+    Of a file with ``room`` for so many new URLs the first ones stay, as found. Where the parsed
+    items fill it, the file's first recovered loc of the host is still taken, for the bound is looked
+    at behind it. Places are counted within a file, whose length the protocol bounds.
+    """
+    place, listed = F.struct("depth", "bfs_pos", "recovered", "i"), ("lastmod", "changefreq", "priority")
+    every = _candidates(files, docs, profile, lastmods=True).withColumns({"place": place, "entry": F.struct(*listed)})
+    won = every.groupBy("site", "url").agg(F.min_by(F.struct("place", "entry"), "place").alias("w"), F.min_by(F.struct("place", "entry"), F.when(F.col("lead"), F.col("place"))).alias("l"))
+    won = won.select("site", "url", "w.place.depth", "w.place.bfs_pos", F.col("w.place").alias("place"), F.col("w.entry").alias("entry"), F.col("l").alias("l"))
+    bound = files.where("room IS NOT NULL").select("site", "depth", "bfs_pos", "room")
+    file = Window.partitionBy("site", "depth", "bfs_pos")
+    rank, items = F.row_number().over(file.orderBy("place.recovered", "place.i")), F.count_if(F.col("place.recovered") == 0).over(file)
+    same_file = (F.col("l.place.depth") == F.col("depth")) & (F.col("l.place.bfs_pos") == F.col("bfs_pos"))
+    if "room" in files.columns and not bound.isEmpty():
+        won = won.join(bound, ["site", "depth", "bfs_pos"]).withColumns({"rank": rank, "items": items})
+        inside = F.col("rank") <= F.col("room")
+        led = F.coalesce(same_file, F.lit(False)) & (F.col("items") >= F.col("room"))
+        won = won.where(inside | led).withColumn("entry", F.when(inside, F.col("entry")).otherwise(F.col("l.entry")))
+    return won.select("site", "url", "entry.*")
 
 
 def cap_pages(entries: DataFrame, max_pages: int) -> DataFrame:

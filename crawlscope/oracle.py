@@ -237,6 +237,16 @@ board AS (SELECT e.site, e.host, e.m, coalesce(a.n,0) AS n, coalesce(sections,0)
 summary AS (SELECT site, n AS pages, sections, errors, warnings, notices, {{index}} AS index, {{seo}} AS seo, {{sitemap}} AS sitemap, host, n_entries FROM board)
 """
 
+#: The stock's files in breadth-first order; those that the bounds of 9 files and 120 URLs leave, with the room before each.
+BUDGET = f"""WITH {oracle_ctes()},
+bfs(place, name, part, depth) AS (VALUES (0,'',NULL,0),(1,'-4',4,1),(2,'-0',0,1),(3,'-deep',NULL,1),(4,'-2',2,1),(5,'-1',1,1),(6,'-9',9,2),(7,'-5',5,2),(8,'-7',7,2)),
+placed AS (SELECT concat('https://',l.site) AS site, l.url, l.lastmod, l.k, b.place FROM stock_listed l JOIN bfs b USING (part)),
+won AS (SELECT * FROM placed QUALIFY row_number() OVER (PARTITION BY site, url ORDER BY place) = 1),
+fresh AS (SELECT s.site, b.place, b.depth, concat(s.site,'/sitemap',b.name,'.xml') AS sitemap_url, count(w.url) AS fresh
+  FROM (SELECT DISTINCT site FROM placed) s CROSS JOIN bfs b LEFT JOIN won w ON w.site = s.site AND w.place = b.place GROUP BY ALL),
+visited AS (SELECT *, (120 - before)::BIGINT AS room FROM (SELECT *, coalesce(sum(fresh) OVER (PARTITION BY site ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM fresh) WHERE before < 120)"""
+
+
 def _with(more: str, select: str) -> str:
     return f"{BASE}{', ' + more if more else ''}\n{select}"
 
@@ -288,6 +298,8 @@ ORACLE_SQL: dict[str, str] = {
     "d_seeds": _with("", "SELECT DISTINCT site,concat('https://',site,'/sitemap.xml') AS sitemap_url,true AS from_robots FROM crawl"),
     "d_loc_recovery": _with(ENTRIES, "SELECT site,url FROM found"),
     "d_nearby_lastmod": _with(ENTRIES, "SELECT site,url,lastmod FROM cand WHERE recovered=1"),
+    "d_preview_files": f"{BUDGET} SELECT site, sitemap_url, depth, true AS loaded, room FROM visited",
+    "d_preview_entries": f"{BUDGET} SELECT site, url, lastmod FROM (SELECT w.*, v.room, row_number() OVER (PARTITION BY w.site, w.place ORDER BY k DESC, url) AS n FROM won w JOIN visited v ON v.site = w.site AND v.place = w.place) WHERE n <= room",
     "d_entries_first_wins": _with(ENTRIES, "SELECT * FROM mapped"),
     "d_page_cap": _with("", "SELECT site,url FROM meta QUALIFY row_number() OVER (PARTITION BY site ORDER BY url)<=5"),
     "d_inventory_cap": inventory_sql("site,min(url) AS first_url,count(*) AS n", "WHERE url IN (SELECT url FROM (SELECT DISTINCT site AS s,url FROM inventory) QUALIFY row_number() OVER (PARTITION BY s ORDER BY url)<=50) GROUP BY site"),

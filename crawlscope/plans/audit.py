@@ -73,8 +73,8 @@ def run_audit(sites: DataFrame, fetch_log: DataFrame, config: AuditConfig = Audi
     directives = robots.sitemap_directives(robots_txt)
     seeds = scratch.write(sitemaps.seed_sitemaps(targets, directives, config.profile))
     start = seeds.select(F.col("base").alias("site"), "sitemap_url", "pos").distinct()
-    files = scratch.write(sitemaps.expand_sitemaps(start, docs, config.profile, config.max_depth, config.max_files))
-    every = scratch.write(sitemaps.sitemap_entries(files, docs, config.profile, config.max_urls))
+    files = scratch.write(sitemaps.expand_sitemaps(start, docs, config.profile, config.max_depth, config.max_files, config.max_urls))
+    every = scratch.write(sitemaps.sitemap_entries(files, docs, config.profile))
 
     counts = (
         seeds.groupBy(F.col("site").alias("input"), "cand_pos", F.col("base").alias("site")).agg(F.max("from_robots").alias("from_robots"))

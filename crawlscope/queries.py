@@ -164,8 +164,27 @@ def d_loc_recovery(s: Stage) -> DataFrame:
 
 
 def d_nearby_lastmod(s: Stage) -> DataFrame:
-    found = derived.sitemap_xml(s.spark, s.sf_dir).select("site", "body", F.explode(sitemaps.recovered_locs(F.col("body"))).alias("url"))
-    return found.select("site", "url", sitemaps.nearby_lastmod(F.col("body"), F.col("url")).alias("lastmod"))
+    located = derived.sitemap_xml(s.spark, s.sf_dir).select("site", "body", sitemaps.recovered_locs(F.col("body")).alias("locs"))
+    return sitemaps.with_lastmods(located).select("site", F.inline(F.arrays_zip("locs", "lastmods")).alias("url", "lastmod"))
+
+
+#: Bounds of the registered preview expansion, low enough to show.
+FILES, URLS = 9, 120
+
+
+def _preview_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = Scratch(spark, "queries").write(derived.stock_maps(spark, sf_dir))
+    sites = derived.inventory(spark, sf_dir).select(F.concat(F.lit("https://"), "site").alias("site")).distinct()
+    seeds = sites.select("site", F.concat("site", F.lit("/sitemap.xml")).alias("sitemap_url"), F.lit(0).alias("pos"))
+    return sitemaps.expand_sitemaps(seeds, docs, "preview", max_files=FILES, max_urls=URLS), docs
+
+
+def d_preview_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _preview_files(spark, sf_dir)[0].select("site", "sitemap_url", "depth", "loaded", "room")
+
+
+def d_preview_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitemaps.sitemap_entries(*_preview_files(spark, sf_dir), "preview").select("site", "url", "lastmod")
 
 
 def d_inventory_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -389,6 +408,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "d_sitemap_files": _stage(d_sitemap_files),
     "d_loc_recovery": _stage(d_loc_recovery),
     "d_nearby_lastmod": _stage(d_nearby_lastmod),
+    "d_preview_files": d_preview_files,
+    "d_preview_entries": d_preview_entries,
     "d_entries_first_wins": _stage(d_entries_first_wins),
     "d_page_cap": _stage(lambda s: sitemaps.cap_pages(s.entries.select("site", "url"), 5)),
     "d_inventory_cap": d_inventory_cap,

@@ -72,6 +72,25 @@ SELECT DISTINCT concat('s',CAST(l_suppkey AS string),'.example.com') AS site,
 """
 
 
+#: Each site's inventory in ten sitemap files, some URLs in two of them, in an order unlike the alphabet: an index lists
+#: the first five and another index, which lists the others.
+STOCK_LISTED = """
+SELECT site, url, lastmod, part, CAST(regexp_extract(url,'([0-9]+)$',1) AS BIGINT) AS k FROM (
+ SELECT site, url, min(lastmod) AS lastmod, CAST(regexp_extract(url,'([0-9]+)$',1) AS BIGINT) % 10 AS part FROM {inventory} GROUP BY site, url
+ UNION ALL SELECT site, url, max(lastmod), (CAST(regexp_extract(url,'([0-9]+)$',1) AS BIGINT) + 3) % 10 FROM {inventory} WHERE CAST(regexp_extract(url,'([0-9]+)$',1) AS BIGINT) % 7 = 0 GROUP BY site, url) x
+"""
+
+STOCK_MAPS = """
+SELECT concat('https://',site,'/sitemap-',CAST(part AS string),'.xml') AS url, concat('<urlset>', {agg}, '</urlset>') AS body
+FROM (SELECT site, part, k, url, concat('<url><loc>',url,'</loc><lastmod>',lastmod,'</lastmod></url>') AS u FROM {listed}) x GROUP BY site, part
+UNION ALL SELECT concat('https://',site,CASE WHEN deep = 1 THEN '/sitemap-deep.xml' ELSE '/sitemap.xml' END), concat('<sitemapindex>',
+ CASE WHEN deep = 1 THEN '' ELSE concat('<sitemap><loc>https://',site,'/sitemap-4.xml</loc></sitemap><sitemap><loc>https://',site,'/sitemap-0.xml</loc></sitemap>') END,
+ CASE WHEN deep = 1 THEN concat('<sitemap><loc>https://',site,'/sitemap-9.xml</loc></sitemap><sitemap><loc>https://',site,'/sitemap-5.xml</loc></sitemap><sitemap><loc>https://',site,'/sitemap-0.xml</loc></sitemap><sitemap><loc>https://',site,'/sitemap-7.xml</loc></sitemap>')
+ ELSE concat('<sitemap><loc>https://',site,'/sitemap-deep.xml</loc></sitemap><sitemap><loc>https://',site,'/sitemap-2.xml</loc></sitemap><sitemap><loc>https://',site,'/sitemap-1.xml</loc></sitemap>') END, '</sitemapindex>')
+FROM (SELECT DISTINCT site FROM {listed}) s CROSS JOIN (SELECT 0 AS deep UNION ALL SELECT 1) t
+"""
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -109,6 +128,13 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(INVENTORY, lineitem=read(spark, sf_dir, "lineitem"))
 
 
+def stock_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Followed sitemap documents (url, ok, error, body) of the inventory's sites."""
+    listed = spark.sql(STOCK_LISTED, inventory=inventory(spark, sf_dir))
+    maps = spark.sql(STOCK_MAPS.replace("{agg}", "listagg(u, '') WITHIN GROUP (ORDER BY k DESC, url)"), listed=listed)
+    return maps.selectExpr("url", "true AS ok", "CAST(NULL AS string) AS error", "body")
+
+
 def site_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One fetch log with pages, robots files and sitemaps, for whole audits."""
     pages = once(spark, sf_dir)
@@ -131,6 +157,7 @@ def oracle_ctes() -> str:
             ("robots_txt", ROBOTS_TXT.format(crawl="crawl")),
             ("sitemap_xml", SITEMAP_XML.format(crawl="crawl", agg=agg)),
             ("inventory", INVENTORY.format(lineitem="lineitem")),
+            ("stock_listed", STOCK_LISTED.format(inventory="inventory")),
             ("once", ONCE.format(crawl="crawl")),
             ("long_chains", LONG_CHAINS.format(once="once")),
             ("site_maps", SITE_MAPS.format(once="once", agg=agg)),
