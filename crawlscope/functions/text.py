@@ -53,3 +53,8 @@ def humanize(c: Column) -> Column:
 def first_match(c: Column, pattern: str, group: int = 1) -> Column:
     """The group of the first match; null where nothing or an empty string matches."""
     return empty_to_null(F.regexp_extract(c, pattern, group))
+
+
+def collated(name: str, collation: str | None) -> list[Column]:
+    """Sort keys of a text column: by code point, or by a collation such as ``UNICODE`` and then by code point."""
+    return [F.col(name)] if collation is None else [F.collate(F.col(name), collation), F.col(name)]

@@ -26,12 +26,11 @@ def let(value: Column, f) -> Column:
 
 def _escape(c: Column) -> Column:
     """Percent-encodes white space, quotes, angle brackets and non-ASCII characters, nothing else."""
+    plain = r"\x21\x23-\x3B\x3D\x3F-\x7E"
 
     def encoded(x: Column) -> Column:
-        out = F.url_encode(x)
-        for code, char in (("+", "%20"), ("%2F", "/"), ("%3A", ":"), ("%40", "@"), ("%21", "!"), ("%24", "$"), ("%26", "&"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%2B", "+"), ("%2C", ","), ("%3B", ";"), ("%3D", "="), ("%3F", "?"), ("%7E", "~"), ("%7C", "|"), ("%5B", "["), ("%5D", "]"), ("%25", "%")):
-            out = F.replace(out, F.lit(code), F.lit(char))
-        return F.when(x.rlike(r"[^\x21-\x7E]|[\"<>]"), out).otherwise(x)
+        runs = F.regexp_extract_all(x, F.lit(f"[{plain}]+|[^{plain}]+"), F.lit(0))
+        return F.when(x.rlike(f"[^{plain}]"), F.array_join(F.transform(runs, lambda r: F.when(r.rlike(f"^[{plain}]"), r).otherwise(F.replace(F.url_encode(r), F.lit("+"), F.lit("%20")))), "")).otherwise(x)
 
     return let(c, encoded)
 
@@ -53,6 +52,19 @@ def _without_dots(c: Column) -> Column:
     return let(c, resolved)
 
 
+def _pieces(c: Column) -> Column:
+    """The seven groups of the URL pattern; a single one for what is no URL."""
+    return F.split(F.regexp_replace(T.trim(c), _URL, "$1\x01$2\x01$3\x01$4\x01$5\x01$6\x01$7"), "\x01")
+
+
+def _at(u: Column, i: int) -> Column:
+    return F.get(u, F.lit(i))
+
+
+def _path_of(u: Column) -> Column:
+    return let(F.translate(_at(u, 4), "\\", "/"), lambda raw: F.when(raw == "", "/").otherwise(_without_dots(_escape(raw))))
+
+
 def parse(c: Column) -> Column:
     """Parts of a URL: scheme, login, host, port, path, query, search, fragment; null if it is none.
 
@@ -61,22 +73,25 @@ def parse(c: Column) -> Column:
     """
 
     def build(u: Column) -> Column:
-        at = lambda i: F.get(u, F.lit(i))
-        default = F.when(F.lower(at(0)) == "https", "443").otherwise("80")
-        raw = F.translate(at(4), "\\", "/")
+        default = F.when(F.lower(_at(u, 0)) == "https", "443").otherwise("80")
         parts = F.struct(
-            F.lower(at(0)).alias("scheme"),
-            F.when(at(1) == "", "").otherwise(F.concat(at(1), F.lit("@"))).alias("login"),
-            F.lower(at(2)).alias("host"),
-            F.when((at(3) == "") | (at(3) == default), "").otherwise(F.concat(F.lit(":"), at(3))).alias("port"),
-            F.when(raw == "", "/").otherwise(_without_dots(_escape(raw))).alias("path"),
-            _escape(at(5)).alias("query"),
-            F.when(at(5) == "?", "").otherwise(_escape(at(5))).alias("search"),
-            at(6).alias("fragment"),
+            F.lower(_at(u, 0)).alias("scheme"),
+            F.when(_at(u, 1) == "", "").otherwise(F.concat(_at(u, 1), F.lit("@"))).alias("login"),
+            F.lower(_at(u, 2)).alias("host"),
+            F.when((_at(u, 3) == "") | (_at(u, 3) == default), "").otherwise(F.concat(F.lit(":"), _at(u, 3))).alias("port"),
+            _path_of(u).alias("path"),
+            _escape(_at(u, 5)).alias("query"),
+            F.when(_at(u, 5) == "?", "").otherwise(_escape(_at(u, 5))).alias("search"),
+            _at(u, 6).alias("fragment"),
         )
         return F.when(F.size(u) == 7, parts)
 
-    return let(F.split(F.regexp_replace(T.trim(c), _URL, "$1\x01$2\x01$3\x01$4\x01$5\x01$6\x01$7"), "\x01"), build)
+    return let(_pieces(c), build)
+
+
+def _piece(c: Column, of) -> Column:
+    """One part of a URL, without building the others; null for what is none."""
+    return let(_pieces(c), lambda u: F.when(F.size(u) == 7, of(u)))
 
 
 def _stripped(p: Column) -> Column:
@@ -145,17 +160,17 @@ def is_url(c: Column) -> Column:
 
 
 def scheme(c: Column) -> Column:
-    return parse(c)["scheme"]
+    return _piece(c, lambda u: F.lower(_at(u, 0)))
 
 
 def url_host(c: Column) -> Column:
     """Lower-cased host name; null for what is no URL."""
-    return parse(c)["host"]
+    return _piece(c, lambda u: F.lower(_at(u, 2)))
 
 
 def path(c: Column) -> Column:
     """Path of a URL, ``/`` if it has none; null for what is no URL."""
-    return parse(c)["path"]
+    return _piece(c, _path_of)
 
 
 def display_path(c: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import head
 from ..functions import text as T
 from ..functions import urls as U
 
@@ -30,18 +31,25 @@ def _canonical(html: Column) -> Column:
     return F.coalesce(one, two)
 
 
-def extract_metadata(df: DataFrame, body: str = "body") -> DataFrame:
+def extract_metadata(df: DataFrame, body: str = "body", profile: str = "full") -> DataFrame:
     """``df`` with title, description, canonical and noindex of its HTML, and without the HTML.
 
-    Whatever reads the result no longer carries the body through a shuffle.
+    The full profile takes them as the document's tree has them: not from comments, scripts or
+    styles, whatever the order and quotes of attributes, with all entities. The preview searches the
+    text. Whatever reads the result no longer carries the body through a shuffle.
     """
     html = T.empty_to_null(F.col(body))
+    if profile == "preview":
+        title, meta, canonical = T.clean_html(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)), lambda n: T.clean_html(_meta(html, n)), T.clean_html(_canonical(html))
+    else:
+        shown = head.visible(html)
+        title, meta, canonical = head.title(shown), lambda n: head.meta(shown, n), head.canonical(shown)
     return df.withColumns(
         {
-            "title": T.clean_html(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)),
-            "description": T.clean_html(_meta(html, "description")),
-            "canonical": T.clean_html(_canonical(html)),
-            "noindex": F.coalesce(F.contains(F.lower(T.clean_html(_meta(html, "robots"))), F.lit("noindex")), F.lit(False)),
+            "title": title,
+            "description": meta("description"),
+            "canonical": canonical,
+            "noindex": F.coalesce(F.contains(F.lower(meta("robots")), F.lit("noindex")), F.lit(False)),
             "blocked": F.coalesce(F.col("status").isin(403, 429), F.lit(False)) | F.coalesce(F.substring(html, 1, 1200).rlike(BLOCKED), F.lit(False)),
         }
     ).drop(body)
@@ -141,9 +149,9 @@ def index_only(entries: DataFrame) -> DataFrame:
     return entries.select("site", "url", U.path(url).alias("path"), U.display_path(url).alias("display_path"), U.section(url, "preview").alias("section"), U.page_type(url, "preview").alias("page_type"), "lastmod", F.lit(True).alias("ok"), note.alias("issues"))
 
 
-def deep_sample(entries: DataFrame, max_deep: int = MAX_DEEP) -> DataFrame:
-    """``entries`` with deep_checked: whether the URL is among its site's first ``max_deep``."""
-    rank = F.row_number().over(Window.partitionBy("site").orderBy("url"))
+def deep_sample(entries: DataFrame, max_deep: int = MAX_DEEP, collation: str | None = None) -> DataFrame:
+    """``entries`` with deep_checked: whether the URL is among its site's first ``max_deep``, by ``collation`` if given."""
+    rank = F.row_number().over(Window.partitionBy("site").orderBy(*T.collated("url", collation)))
     # A filtered rank is limited before the shuffle, so that a huge site isn't sorted in one task.
     first = entries.select("site", "url").withColumn("n", rank).where(F.col("n") <= max_deep).select("site", "url", F.lit(True).alias("deep_checked")).distinct()
     return entries.join(first, ["site", "url"], "left").withColumn("deep_checked", F.coalesce("deep_checked", F.lit(False)))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions import urls as U
 
 #: Types whose duplicate title is only a notice.
@@ -24,9 +25,9 @@ def page_key() -> Column:
     return F.coalesce(U.dedupe_key(target), U.dedupe_key(F.col("url")), F.col("url"))
 
 
-def dedupe_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The most complete page of each key, ties to the smaller URL, and (site, dropped) counts."""
-    best = Window.partitionBy("site", "__key").orderBy(F.desc("__score"), "url")
+def dedupe_pages(pages: DataFrame, collation: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The most complete page of each key, ties to the smaller URL by ``collation``, and (site, dropped) counts."""
+    best = Window.partitionBy("site", "__key").orderBy(F.desc("__score"), *T.collated("url", collation))
     ranked = pages.withColumn("__key", page_key()).withColumn("__score", completeness()).withColumn("__n", F.row_number().over(best))
     kept = ranked.where("__n = 1").drop("__key", "__score", "__n")
     dropped = ranked.where("__n > 1").groupBy("site").agg(F.count("*").alias("dropped"))

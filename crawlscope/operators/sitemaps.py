@@ -336,9 +336,9 @@ def sitemap_entries(files: DataFrame, docs: DataFrame, profile: str = "full") ->
     return won.select("site", "url", "entry.*")
 
 
-def cap_pages(entries: DataFrame, max_pages: int) -> DataFrame:
-    """The first ``max_pages`` entries of each site by URL."""
-    rank = F.row_number().over(Window.partitionBy("site").orderBy("url"))
+def cap_pages(entries: DataFrame, max_pages: int, collation: str | None = None) -> DataFrame:
+    """The first ``max_pages`` entries of each site by URL, in the order of ``collation`` if one is given."""
+    rank = F.row_number().over(Window.partitionBy("site").orderBy(*T.collated("url", collation)))
     return entries.withColumn("n", rank).where(F.col("n") <= max_pages).drop("n")
 
 

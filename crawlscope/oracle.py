@@ -247,6 +247,11 @@ fresh AS (SELECT s.site, b.place, b.depth, concat(s.site,'/sitemap',b.name,'.xml
 visited AS (SELECT *, (120 - before)::BIGINT AS room FROM (SELECT *, coalesce(sum(fresh) OVER (PARTITION BY site ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM fresh) WHERE before < 120)"""
 
 
+MIXED = f"""WITH {oracle_ctes()},
+mixed AS (SELECT DISTINCT site, k, regexp_replace(url, '/(archive|tag|docs)/', CASE k % 4 WHEN 0 THEN '/Archive/' WHEN 1 THEN '/archive/' WHEN 2 THEN concat('/', chr(201), 't', chr(233), '/') ELSE '/_x-' END) AS url
+  FROM (SELECT site, url, regexp_extract(url, '([0-9]+)$', 1)::BIGINT AS k FROM inventory))"""
+
+
 def _with(more: str, select: str) -> str:
     return f"{BASE}{', ' + more if more else ''}\n{select}"
 
@@ -298,6 +303,10 @@ ORACLE_SQL: dict[str, str] = {
     "d_seeds": _with("", "SELECT DISTINCT site,concat('https://',site,'/sitemap.xml') AS sitemap_url,true AS from_robots FROM crawl"),
     "d_loc_recovery": _with(ENTRIES, "SELECT site,url FROM found"),
     "d_nearby_lastmod": _with(ENTRIES, "SELECT site,url,lastmod FROM cand WHERE recovered=1"),
+    "d_page_cap_collated": f"{MIXED} SELECT site, url FROM mixed QUALIFY row_number() OVER (PARTITION BY site ORDER BY url COLLATE en, url) <= 20",
+    "g_collated_ties": f"{MIXED} SELECT site, url, canonical FROM (SELECT *, concat('https://', site, '/', k % 17) AS canonical FROM mixed) QUALIFY row_number() OVER (PARTITION BY canonical ORDER BY url COLLATE en, url) = 1",
+    "f_head_metadata": f"""WITH {oracle_ctes()} SELECT page_id, concat('Page ', page_id, ' ', chr(233), chr(8211), chr(128512), ' <b> &amp; ', chr(169), ' 1 &nosuch; ', chr(8211), CASE WHEN page_id % 3 = 0 THEN ' <!-- kept -->' ELSE '' END) AS title,
+  CASE WHEN page_id % 5 = 0 THEN 'word' ELSE concat('It', chr(8217), 's > ', page_id) END AS description, concat('/a?x=1&y=', page_id) AS canonical, page_id % 6 = 0 AS noindex FROM crawl""",
     "d_preview_files": f"{BUDGET} SELECT site, sitemap_url, depth, true AS loaded, room FROM visited",
     "d_preview_entries": f"{BUDGET} SELECT site, url, lastmod FROM (SELECT w.*, v.room, row_number() OVER (PARTITION BY w.site, w.place ORDER BY k DESC, url) AS n FROM won w JOIN visited v ON v.site = w.site AND v.place = w.place) WHERE n <= room",
     "d_entries_first_wins": _with(ENTRIES, "SELECT * FROM mapped"),

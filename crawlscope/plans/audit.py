@@ -16,7 +16,11 @@ from ..sources.fetch_log import fetch_log_of, followed
 
 @dataclass(frozen=True)
 class AuditConfig:
-    """Profile ``full`` or ``preview``, and its bounds; None for no bound."""
+    """Profile ``full`` or ``preview``, and its bounds; None for no bound.
+
+    ``collation`` orders URLs where a bound or a tie takes the first of them: None by code point,
+    ``UNICODE`` as web scripts compare texts.
+    """
 
     profile: str = "full"
     max_pages: int | None = 500
@@ -25,6 +29,7 @@ class AuditConfig:
     max_files: int | None = None
     max_urls: int | None = None
     max_deep: int = checks.MAX_DEEP
+    collation: str | None = None
 
 
 #: The preview with the bounds of an interactive run.
@@ -92,12 +97,12 @@ def run_audit(sites: DataFrame, fetch_log: DataFrame, config: AuditConfig = Audi
     if preview:
         no_rules = counts.where("input_mode = 'sitemap'").select("site")
         groups = groups.join(no_rules, "site", "left_anti")
-        entries = checks.deep_sample(entries, config.max_deep)
+        entries = checks.deep_sample(entries, config.max_deep, config.collation)
         deep_entries = entries.where("deep_checked")
     else:
-        deep_entries = entries if config.max_pages is None else sitemaps.cap_pages(entries, config.max_pages)
+        deep_entries = entries if config.max_pages is None else sitemaps.cap_pages(entries, config.max_pages, config.collation)
     fetched = redirects.resolve_redirects(deep_entries.select(F.col("url").alias("start_url")), log, config.max_hops).withColumnRenamed("start_url", "url")
-    meta = checks.extract_metadata(fetched)
+    meta = checks.extract_metadata(fetched, profile=config.profile)
     checked = checks.check_pages(deep_entries.join(meta, "url", "left"), config.profile)
     if preview:
         rest = checks.index_only(entries.where("NOT deep_checked"))
@@ -107,7 +112,7 @@ def run_audit(sites: DataFrame, fetch_log: DataFrame, config: AuditConfig = Audi
         sharing = pages.where("deep_checked")
     else:
         inspected = scratch.write(checked.withColumn("deep_checked", F.lit(True)))
-        kept, dropped = crosspage.dedupe_pages(inspected)
+        kept, dropped = crosspage.dedupe_pages(inspected, config.collation)
         pages = scratch.write(kept)
         sharing = pages
     conflicts, blocked = robots.robots_conflicts(pages, groups, rules)

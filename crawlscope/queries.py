@@ -187,6 +187,30 @@ def d_preview_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitemaps.sitemap_entries(*_preview_files(spark, sf_dir), "preview").select("site", "url", "lastmod")
 
 
+def _mixed_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inventory with capitals, accents and punctuation in some paths."""
+    k = F.regexp_extract("url", "([0-9]+)$", 1).cast("long")
+    word = F.when(k % 4 == 0, "/Archive/").when(k % 4 == 1, "/archive/").when(k % 4 == 2, "/\u00c9t\u00e9/").otherwise("/_x-")
+    return derived.inventory(spark, sf_dir).select("site", F.regexp_replace("url", "/(archive|tag|docs)/", word).alias("url")).distinct()
+
+
+def d_page_cap_collated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitemaps.cap_pages(_mixed_case(spark, sf_dir), 20, "UNICODE").select("site", "url")
+
+
+def g_collated_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages alike but for their URL, several under one key: the first by collation stays."""
+    rows = _mixed_case(spark, sf_dir).withColumn("canonical", F.concat(F.lit("https://"), "site", F.lit("/"), (F.regexp_extract("url", "([0-9]+)$", 1).cast("long") % 17).cast("string")))
+    none = F.lit(None).cast("string")
+    pages = rows.select("*", none.alias("final_url"), none.alias("title"), none.alias("description"), none.alias("lastmod"), F.lit(200).alias("status"))
+    return crosspage.dedupe_pages(pages, "UNICODE")[0].select("site", "url", "canonical")
+
+
+def f_head_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Head metadata of pages whose markup hides other titles, quotes differently and writes entities."""
+    return checks.extract_metadata(derived.hidden_heads(spark, sf_dir), "html").select("page_id", "title", "description", "canonical", "noindex")
+
+
 def d_inventory_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     stock = derived.inventory(spark, sf_dir)
     kept = sitemaps.cap_pages(stock.select("site", "url").distinct(), 50)
@@ -344,7 +368,7 @@ def f_preview_checks(s: Stage) -> DataFrame:
             "error": F.when(n % 7 == 3, "timed out"),
         }
     )
-    checked = checks.check_pages(checks.extract_metadata(told, "html"), "preview")
+    checked = checks.check_pages(checks.extract_metadata(told, "html", "preview"), "preview")
     return checks.page_issues(checked).where(F.col("code").isin("NON_HTML_RESPONSE", "BOT_PROTECTION_DETECTED", "FETCH_DETAIL")).select("site", "url", "severity", "code", "message")
 
 
@@ -408,6 +432,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "d_sitemap_files": _stage(d_sitemap_files),
     "d_loc_recovery": _stage(d_loc_recovery),
     "d_nearby_lastmod": _stage(d_nearby_lastmod),
+    "d_page_cap_collated": d_page_cap_collated,
+    "g_collated_ties": g_collated_ties,
+    "f_head_metadata": f_head_metadata,
     "d_preview_files": d_preview_files,
     "d_preview_entries": d_preview_entries,
     "d_entries_first_wins": _stage(d_entries_first_wins),

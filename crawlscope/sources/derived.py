@@ -72,6 +72,17 @@ SELECT DISTINCT concat('s',CAST(l_suppkey AS string),'.example.com') AS site,
 """
 
 
+#: Pages with what they should be read as: other titles in comments, scripts and styles, attributes in any order and
+#: quotes, and entities.
+HIDDEN_HEADS = """
+SELECT page_id, status, concat('<html><head>',
+  CASE page_id % 4 WHEN 0 THEN '<!-- <title>Not this</title> <meta name="description" content="nor this"> -->' WHEN 1 THEN '<script type="a>b">document.write("<title>Not this</title><!--")</script>' WHEN 2 THEN '<STYLE>/* <title>Not this</title> */</STYLE ><textarea><link rel="canonical" href="/not"></textarea>' ELSE '' END,
+  '<title data-x="1>0">  Page',chr(10),CAST(page_id AS string),' &eacute;&#8211;&#x1F600; &lt;b&gt; &amp;amp; &copy 1 &nosuch; &#150;',CASE WHEN page_id % 3 = 0 THEN ' <!-- kept -->' ELSE '' END,'</title>',
+  CASE WHEN page_id % 5 = 0 THEN '<META CONTENT=word NAME=description>' ELSE '<meta property="name=description" content="other"><meta content="It&rsquo;s > ' END,CASE WHEN page_id % 5 = 0 THEN '' ELSE concat(CAST(page_id AS string),'" name=''description''/>') END,
+  '<link href="/a?x=1&amp;y=',CAST(page_id AS string),'" REL=Canonical>',CASE WHEN page_id % 6 = 0 THEN '<meta name=robots content=NoIndex,follow>' ELSE '' END,
+  '</head><body><svg><title>Not this</title></svg></body></html>') AS html FROM {crawl}
+"""
+
 #: Each site's inventory in ten sitemap files, some URLs in two of them, in an order unlike the alphabet: an index lists
 #: the first five and another index, which lists the others.
 STOCK_LISTED = """
@@ -128,6 +139,10 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(INVENTORY, lineitem=read(spark, sf_dir, "lineitem"))
 
 
+def hidden_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(HIDDEN_HEADS, crawl=crawl(spark, sf_dir))
+
+
 def stock_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Followed sitemap documents (url, ok, error, body) of the inventory's sites."""
     listed = spark.sql(STOCK_LISTED, inventory=inventory(spark, sf_dir))
