@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
-from ..scratch import small
+from ..scratch import Scratch, small
 
 
 def _lines(robots: DataFrame) -> DataFrame:
@@ -80,41 +80,56 @@ def sitemap_directives(robots: DataFrame) -> DataFrame:
     )
 
 
-def site_rules(groups: DataFrame, rules: DataFrame, user_agent: str = "*") -> DataFrame:
-    """(site, rules): the rules that hold for an agent, those of its own group or else of ``*``.
+#: Rules of a site that are tried on each of its URLs; a site with more has them looked up by their beginnings.
+TRIED_RULES = 64
+
+
+def _chosen(groups: DataFrame, rules: DataFrame, user_agent: str) -> DataFrame:
+    """``rules`` of the groups that hold for an agent: its own or else those of ``*``.
 
     A group that is there but empty does not fall back.
     """
     ua = user_agent.lower()
     chosen = groups.where(F.col("ua").isin(ua, "*")).groupBy("site").agg(F.max_by("ua", F.col("ua") == ua).alias("ua"))
-    return (
-        chosen.join(rules, ["site", "ua"], "left")
-        .groupBy("site")
-        .agg(F.collect_list(F.when(F.col("regex").isNotNull(), F.struct("len", "allow", "regex"))).alias("rules"))
-    )
+    return rules.join(chosen, ["site", "ua"], "left_semi")
+
+
+def _beginning(pattern: Column) -> Column:
+    """What every path that a pattern matches begins with."""
+    return F.regexp_replace(F.regexp_replace(pattern, r"(?s)\*.*\z", ""), r"\$\z", "")
 
 
 def robots_verdict(urls: DataFrame, groups: DataFrame, rules: DataFrame, user_agent: str = "*") -> DataFrame:
     """``urls(site, url, ...)`` with ``allowed``.
 
     The longest pattern that matches path and query decides, Allow before Disallow of one length; no
-    match or no group allows. A site's rules travel as one array, so a URL costs one join row
-    however many rules its site has, and no shuffle brings its matches together again.
+    match or no group allows. The rules of a site travel as one array, so a URL costs one join row.
+
+    Of a site with more than TRIED_RULES rules only those without a literal beginning do. The others
+    are keyed by it: each path looks up its own beginnings, of the lengths that its site's rules
+    have, and a pattern is tried only on paths that begin as it does.
     """
     request = U.request_path(F.col("url"))
-    held = small(site_rules(groups, rules, user_agent), size="aggregate(rules, 0L, (n, r) -> n + 32 + octet_length(r.regex))")
-    best = F.array_max(
-        F.transform(
-            F.filter("rules", lambda r: F.regexp_like(F.col("__request"), r["regex"])),
-            lambda r: r["len"] * 2 + r["allow"].cast("int"),
-        )
-    )
-    return (
-        urls.withColumn("__request", request)
-        .join(held, "site", "left")
-        .withColumn("allowed", F.coalesce(best % 2 == 1, F.lit(True)))
-        .drop("rules", "__request")
+    value = (F.col("len") * 2 + F.col("allow").cast("int")).alias("value")
+    mine = _chosen(groups, rules, user_agent).select("site", value, "regex", _beginning(F.col("pattern")).alias("key"), F.col("pattern").rlike(r"\*|\$\z").alias("wild"))
+    many = mine.groupBy("site").agg(F.count("*").alias("n")).where(F.col("n") > TRIED_RULES).select("site", F.lit(True).alias("many"))
+    mine = mine.join(many, "site", "left").withColumn("keyed", F.coalesce(F.col("many") & (F.length("key") > 1), F.lit(False))).drop("many")
+    mine = Scratch(urls.sparkSession, "robots").write(mine)
+    tried = mine.groupBy("site").agg(
+        F.collect_list(F.when(~F.col("keyed"), F.struct("value", "regex"))).alias("__rules"), F.array_sort(F.collect_set(F.when(F.col("keyed"), F.length("key")))).alias("__lengths")
     )
+    held = small(tried, size="aggregate(__rules, 0L, (n, r) -> n + 32 + octet_length(r.regex)) + 4 * size(__lengths)")
+    best = F.array_max(F.transform(F.filter("__rules", lambda r: F.regexp_like(F.col("__request"), r["regex"])), lambda r: r["value"]))
+    out = urls.withColumn("__request", request).join(held, "site", "left").withColumn("__best", best)
+    keyed = mine.where("keyed").groupBy("site", "key").agg(F.collect_list(F.struct("value", "regex", "wild")).alias("ruled"))
+    if not mine.where("keyed").isEmpty():
+        begins = F.transform(F.filter("__lengths", lambda n: n <= F.length("__request")), lambda n: F.substring(F.col("__request"), F.lit(1), n))
+        looked = out.where(F.size("__lengths") > 0).select("site", "__request", "__lengths").distinct().select("site", "__request", F.explode(begins).alias("key"))
+        met = looked.join(small(keyed, size="64 + aggregate(ruled, 0L, (n, r) -> n + 32 + octet_length(r.regex))"), ["site", "key"])
+        hit = F.array_max(F.transform(F.filter("ruled", lambda r: ~r["wild"] | F.regexp_like(F.col("__request"), r["regex"])), lambda r: r["value"]))
+        hits = met.select("site", "__request", hit.alias("hit")).where("hit IS NOT NULL").groupBy("site", "__request").agg(F.max("hit").alias("__hit"))
+        out = out.join(hits, ["site", "__request"], "left").withColumn("__best", F.greatest("__best", "__hit"))
+    return out.select(*[F.col(c) for c in urls.columns], F.coalesce(F.col("__best") % 2 == 1, F.lit(True)).alias("allowed"))
 
 
 def robots_conflicts(pages: DataFrame, groups: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:

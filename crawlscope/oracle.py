@@ -303,6 +303,11 @@ ORACLE_SQL: dict[str, str] = {
     "d_seeds": _with("", "SELECT DISTINCT site,concat('https://',site,'/sitemap.xml') AS sitemap_url,true AS from_robots FROM crawl"),
     "d_loc_recovery": _with(ENTRIES, "SELECT site,url FROM found"),
     "d_nearby_lastmod": _with(ENTRIES, "SELECT site,url,lastmod FROM cand WHERE recovered=1"),
+    "c_many_rules": f"""WITH {oracle_ctes()}, u AS (SELECT DISTINCT site, url, regexp_extract(url, '^https?://[^/]+(.*)$', 1) AS p FROM inventory),
+r AS (SELECT site, path, k, length(line) - CASE WHEN line LIKE 'Allow%' THEN 7 ELSE 10 END AS len FROM stock_rules),
+m AS (SELECT u.site, u.url, max(CASE WHEN k % 6 = 0 THEN CASE WHEN p = path THEN len * 2 + 1 END WHEN k % 12 = 3 THEN CASE WHEN contains(substr(p, length(path) + 1), '9') THEN len * 2 END ELSE len * 2 END) AS best
+  FROM u JOIN r ON r.site = u.site AND starts_with(u.p, r.path) GROUP BY ALL)
+SELECT u.site, u.url, coalesce(greatest(best, CASE WHEN p LIKE '%5' THEN 8 END, CASE WHEN starts_with(p, '/archive/1') THEN 20 END) % 2 = 1, true) AS allowed FROM u LEFT JOIN m USING (site, url)""",
     "d_page_cap_collated": f"{MIXED} SELECT site, url FROM mixed QUALIFY row_number() OVER (PARTITION BY site ORDER BY url COLLATE en, url) <= 20",
     "g_collated_ties": f"{MIXED} SELECT site, url, canonical FROM (SELECT *, concat('https://', site, '/', k % 17) AS canonical FROM mixed) QUALIFY row_number() OVER (PARTITION BY canonical ORDER BY url COLLATE en, url) = 1",
     "f_head_metadata": f"""WITH {oracle_ctes()} SELECT page_id, concat('Page ', page_id, ' ', chr(233), chr(8211), chr(128512), ' <b> &amp; ', chr(169), ' 1 &nosuch; ', chr(8211), CASE WHEN page_id % 3 = 0 THEN ' <!-- kept -->' ELSE '' END) AS title,

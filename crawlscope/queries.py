@@ -141,6 +141,12 @@ def c_robots_verdict(s: Stage) -> DataFrame:
     return robots.robots_verdict(s.entries.select("site", "url"), groups, rules)
 
 
+def c_many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of sites with a rule for every third path."""
+    groups, rules, _ = robots.robots_rules(derived.stock_robots(spark, sf_dir))
+    return robots.robots_verdict(derived.inventory(spark, sf_dir).select("site", "url").distinct(), groups, rules)
+
+
 def d_seeds(s: Stage) -> DataFrame:
     return sitemaps.seed_sitemaps(s.sites, robots.sitemap_directives(derived.robots_txt(s.spark, s.sf_dir))).select("site", "sitemap_url", "from_robots")
 
@@ -432,6 +438,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "d_sitemap_files": _stage(d_sitemap_files),
     "d_loc_recovery": _stage(d_loc_recovery),
     "d_nearby_lastmod": _stage(d_nearby_lastmod),
+    "c_many_rules": c_many_rules,
     "d_page_cap_collated": d_page_cap_collated,
     "g_collated_ties": g_collated_ties,
     "f_head_metadata": f_head_metadata,

@@ -72,6 +72,16 @@ SELECT DISTINCT concat('s',CAST(l_suppkey AS string),'.example.com') AS site,
 """
 
 
+#: Robots files that rule on a third of an inventory's paths, one by one.
+STOCK_RULES = """
+SELECT DISTINCT site, path, k, CASE WHEN k % 6 = 0 THEN concat('Allow: ',path,'$') WHEN k % 12 = 3 THEN concat('Disallow: ',path,'*9') ELSE concat('Disallow: ',path) END AS line
+FROM (SELECT site, CAST(regexp_extract(url,'([0-9]+)$',1) AS BIGINT) AS k, regexp_extract(url,'^https?://[^/]+(.*)$',1) AS path FROM {inventory}) x WHERE k % 3 = 0
+"""
+
+STOCK_ROBOTS = """
+SELECT site, concat('User-agent: *',chr(10),'Disallow: /*5$',chr(10),'Disallow: /archive/1',chr(10), {agg}) AS body FROM {rules} GROUP BY site
+"""
+
 #: Pages with what they should be read as: other titles in comments, scripts and styles, attributes in any order and
 #: quotes, and entities.
 HIDDEN_HEADS = """
@@ -139,6 +149,11 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(INVENTORY, lineitem=read(spark, sf_dir, "lineitem"))
 
 
+def stock_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.sql(STOCK_RULES, inventory=inventory(spark, sf_dir))
+    return spark.sql(STOCK_ROBOTS.replace("{agg}", "listagg(line, chr(10)) WITHIN GROUP (ORDER BY path)"), rules=rules)
+
+
 def hidden_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(HIDDEN_HEADS, crawl=crawl(spark, sf_dir))
 
@@ -172,6 +187,7 @@ def oracle_ctes() -> str:
             ("robots_txt", ROBOTS_TXT.format(crawl="crawl")),
             ("sitemap_xml", SITEMAP_XML.format(crawl="crawl", agg=agg)),
             ("inventory", INVENTORY.format(lineitem="lineitem")),
+            ("stock_rules", STOCK_RULES.format(inventory="inventory")),
             ("stock_listed", STOCK_LISTED.format(inventory="inventory")),
             ("once", ONCE.format(crawl="crawl")),
             ("long_chains", LONG_CHAINS.format(once="once")),

@@ -7,7 +7,7 @@ import html as stdlib_html
 from pyspark.sql import functions as F
 
 from crawlscope.functions import head
-from crawlscope.operators import checks, crosspage, sitemaps
+from crawlscope.operators import checks, crosspage, robots, sitemaps
 
 LONG = "x" * 20_000
 
@@ -73,3 +73,25 @@ def test_collated_order(spark):
     pages = entries.where("url LIKE '%/a' OR url LIKE '%/B'").selectExpr("site", "url", "'https://e.com/k' AS canonical", "url AS final_url", "'t' AS title", "'d' AS description", "'l' AS lastmod", "200 AS status")
     assert [r.url[14:] for r in crosspage.dedupe_pages(pages)[0].collect()] == ["B"]
     assert [r.url[14:] for r in crosspage.dedupe_pages(pages, "UNICODE")[0].collect()] == ["a"]
+
+
+def test_many_robots_rules(spark):
+    """Sites with ten thousand rules, and few, against plain matching; most rules are never tried."""
+    import random
+    import re
+
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    made = [f"/{word(4)}/{word(3)}" + rng.choice(["", "", "/", "*", "$", "*b$", "?x=*"]) for _ in range(9_990)] + ["/*aa", "/", "*cc$", "nowhere", "/*", "/é", "/$", "/a.b", "/%C3%A9*"]
+    lines = [(rng.random() < 0.5, p) for p in dict.fromkeys(made)]
+    text = lambda rules: "User-agent: *\n" + "\n".join(f"{'Allow' if a else 'Disallow'}: {p}" for a, p in rules)
+    sites = {"large": lines, "small": lines[:20], "none": []}
+    paths = sorted({f"/{word(4)}/{word(3)}" + rng.choice(["", "/x", "?x=1", "b", "/"]) for _ in range(400)} | {"/", "/%C3%A9", "/a.b", "/axb"})
+    groups, rules, _ = robots.robots_rules(spark.createDataFrame([(s, text(r)) for s, r in sites.items()], "site string, body string"))
+    urls = spark.createDataFrame([(s, f"https://e.com{p}", i) for s in sites for i, p in enumerate(paths)], "site string, url string, rules int")
+    got = {(r.site, r.url[13:]): r.allowed for r in robots.robots_verdict(urls, groups, rules).collect()}
+    for s, ruled in sites.items():
+        tried = [(len(p) * 2 + a, re.compile("".join(".*" if c == "*" else re.escape(c) for c in p.removesuffix("$")) + (r"\Z" if p.endswith("$") else ""))) for a, p in ruled]
+        for p in paths:
+            best = max((v for v, x in tried if x.match(p)), default=1)
+            assert got[s, p] == (best % 2 == 1), (s, p)
