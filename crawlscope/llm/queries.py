@@ -124,8 +124,9 @@ WITH p AS (
 rules(rule, rule_host, rule_path, action) AS (VALUES ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'),
   ('www.example.com/en/', 'www.example.com', '/en/', 'allow'), ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')),
 u AS (
-  SELECT *, regexp_replace(host, '^(www|m)[.]', '') AS uhost, CASE WHEN regexp_matches(upath, '(/|[.][A-Za-z0-9]+)$') THEN upath ELSE upath || '/' END AS ufolder,
-    regexp_replace(regexp_replace(regexp_replace(query, '([?&])(utm_source|utm_medium|utm_campaign|utm_term|utm_content|gclid|fbclid|ref)(=[^&]*)?(&|$)', '\1', 'g'), '[?&]$', ''), '[?&]$', '') AS uquery
+  SELECT *, regexp_replace(host, '^(?:(?:www|m)[.])+([^.]+[.])', '\1') AS uhost, CASE WHEN regexp_matches(upath, '(/|[.][A-Za-z0-9]+)$') THEN upath ELSE upath || '/' END AS ufolder,
+    regexp_replace(CASE WHEN query = '' THEN '' ELSE '?' || array_to_string(list_filter(string_split(substr(query, 2), '&'),
+      lambda x: NOT regexp_matches(x, '^(utm_source|utm_medium|utm_campaign|utm_term|utm_content|gclid|fbclid)(=|$)')), '&') END, '[?&]+$', '') AS uquery
   FROM (SELECT *, regexp_replace(CASE WHEN path = '' THEN '/' ELSE path END, '/(index[.]html|index[.]htm|index[.]php)$', '/') AS upath FROM p)),
 seen AS (
   SELECT page_id, host, path, uhost || ufolder || uquery AS alias, host AS h, path AS q FROM u WHERE host <> ''

@@ -12,7 +12,7 @@ from .components import connected_components
 
 #: Index pages that servers redirect to their folder, and query parameters that track a visit.
 INDEX_PAGES = ("index.html", "index.htm", "index.php")
-TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid", "ref")
+TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid")
 
 _CANONICAL = r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)"
 _REFRESH = r"(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)"
@@ -53,20 +53,15 @@ def node_of(url: Column) -> Column:
 def usual_form(node: Column) -> Column:
     """The node that servers usually redirect ``node`` to, and pages give as their canonical link.
 
-    Without ``www.`` or ``m.``, without an index page, with a slash at the end of a path that names no
-    file, and without tracking parameters; the other parameters keep their order.
+    Without ``www.`` or ``m.`` where at least two labels are left, without an index page, with a slash
+    at the end of a path that names no file, and without tracking parameters; the other parameters
+    keep their order. The usual form of a usual form is itself.
     """
-    host = F.regexp_replace(F.regexp_extract(node, r"(?s)\A([^/]*)", 1), r"\A(www|m)\.", "")
+    host = F.regexp_replace(F.regexp_extract(node, r"(?s)\A([^/]*)", 1), r"\A(?:(?:www|m)\.)+([^.]+\.)", "$1")
     path = F.regexp_replace(F.regexp_extract(node, r"(?s)\A[^/]*(/[^?]*)", 1), rf"/({'|'.join(x.replace('.', '[.]') for x in INDEX_PAGES)})\z", "/")
     folder = F.when(path.rlike(r"(/|\.[A-Za-z0-9]+)\z"), path).otherwise(F.concat(path, F.lit("/")))
     query = F.regexp_replace(F.regexp_extract(node, r"(?s)\A[^?]*(\?.*)", 1), rf"(?<=[?&])({'|'.join(TRACKING)})(=[^&]*)?(&|\z)", "")
-    return F.concat(host, folder, F.regexp_replace(query, r"[?&]\z", ""))
-
-
-def usual_links(pages: DataFrame) -> DataFrame:
-    """(src, dst) nodes: the URLs of ``pages(url)`` and their usual forms, the redirects that sites are taken to have."""
-    node = pages.where(F.col("url").contains("://")).select(node_of(F.col("url")).alias("src"))
-    return node.withColumn("dst", usual_form(F.col("src")))
+    return F.concat(host, folder, F.regexp_replace(query, r"[?&]+\z", ""))
 
 
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -135,29 +130,32 @@ def judge_urls(
         return scratch.keep(_judged(pages, rules, links, id_col, url_col, default, usual, scratch))
 
 
+def _verdicts(matched: DataFrame, key: str) -> DataFrame:
+    """(key, allowed, blocked) of rows with an action; a key without any is left out."""
+    hit = matched.where("action IS NOT NULL").groupBy(key)
+    return hit.agg(F.max(F.col("action") == "allow").alias("allowed"), F.max(F.col("action") == "block").alias("blocked"))
+
+
 def _judged(pages: DataFrame, rules: DataFrame, links: DataFrame, id_col: str, url_col: str, default: str, usual: bool, scratch: Scratch) -> DataFrame:
     url = F.col(url_col)
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"))
-    judged = match_rules(rows, rules)
-    stated = links.select(node_of(F.col("src")).alias("src"), node_of(F.col("dst")).alias("dst"))
-    if usual:
-        stated = stated.unionByName(usual_links(pages.select(url.alias("url"))))
-        stated = stated.unionByName(stated.select(F.col("dst").alias("src"), usual_form(F.col("dst")).alias("dst")))
-    edges = scratch.write(stated.where("src <> dst AND src <> '/' AND dst <> '/'").distinct())
-    if edges.isEmpty():
-        return judged.select("page_id", "host", "path", "rule", F.coalesce("action", F.lit(default)).alias("verdict"))
-    comp = scratch.write(connected_components(edges, scratch))
-    at = F.regexp_extract("node", r"(?s)\A([^/]*)(/[^?]*)", 1), F.regexp_extract("node", r"(?s)\A([^/]*)(/[^?]*)", 2)
-    told = match_rules(comp.select("node", "component", at[0].alias("host"), at[1].alias("path")), rules)
-    alias = (
-        told.groupBy("component")
-        .agg(F.max(F.col("action") == "allow").alias("allowed"), F.max(F.col("action") == "block").alias("blocked"))
-        .select("component", F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").alias("alias_verdict"))
-    )
-    by_node = comp.join(alias, "component").select("node", "alias_verdict")
-    return judged.join(by_node, "node", "left").select(
-        "page_id", "host", "path", "rule", F.coalesce("action", "alias_verdict", F.lit(default)).alias("verdict")
-    )
+    # URLs with one usual form are aliases of it: they form a star, which needs no search for components.
+    form = usual_form if usual else lambda n: n
+    rows = scratch.write(pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node")).withColumn("key", form(F.col("node"))))
+    stated = links.select(node_of(F.col("src")).alias("src"), node_of(F.col("dst")).alias("dst")).where("src <> '/' AND dst <> '/'")
+    stated = scratch.write(stated.withColumns({"src_key": form(F.col("src")), "dst_key": form(F.col("dst"))}).distinct())
+    nodes = rows.select("node", "key").union(stated.select("src", "src_key")).union(stated.select("dst", "dst_key")).where("node <> '/'")
+    nodes = nodes.union(nodes.select("key", "key")).distinct()
+    told = match_rules(nodes.select("key", F.regexp_extract("node", r"(?s)\A([^/]*)", 1).alias("host"), F.regexp_extract("node", r"(?s)\A[^/]*(/[^?]*)", 1).alias("path")), rules)
+    by_key = _verdicts(told, "key")
+    edges = stated.where("src_key <> dst_key").select(F.col("src_key").alias("src"), F.col("dst_key").alias("dst")).distinct()
+    if not edges.isEmpty():
+        # Only the groups that links touch are connected any further.
+        comp = scratch.write(connected_components(scratch.write(edges), scratch)).withColumnRenamed("node", "key")
+        by_key = scratch.write(by_key)
+        linked = by_key.join(comp, "key").groupBy("component").agg(F.max("allowed").alias("allowed"), F.max("blocked").alias("blocked"))
+        by_key = by_key.join(comp.select("key"), "key", "left_anti").unionByName(comp.join(linked, "component").select("key", "allowed", "blocked"))
+    alias = by_key.select("key", F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").alias("alias_verdict"))
+    return match_rules(rows, rules).join(small(alias, size="octet_length(key)"), "key", "left").select("page_id", "host", "path", "rule", F.coalesce("action", "alias_verdict", F.lit(default)).alias("verdict"))
 
 
 def judge_pages(pages: DataFrame, rules: list[tuple[str, str]], **options) -> DataFrame:

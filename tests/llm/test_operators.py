@@ -274,23 +274,35 @@ def test_url_aliases(spark):
 
 
 def test_usual_forms(spark):
-    urls = {1: "http://www.b.net/es", 2: "https://b.org/x/index.html?utm_source=a&p=1&ref=z", 3: "http://m.b.org/x/?p=1", 4: "https://b.org/x/?p=2", 5: "http://b.org/y.html?gclid=7"}
+    urls = {1: "http://www.b.net/es", 2: "https://b.org/x/index.html?utm_source=a&p=1&fbclid=z", 3: "http://m.b.org/x/?p=1", 4: "https://b.org/x/?p=2", 5: "http://b.org/y.html?gclid=7"}
     rows = [(i, u, '<link rel=canonical href="https://a.net/es/1">' if i == 3 else None) for i, u in urls.items()]
     out = judge_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES).collect()
     # The folder of 1 is blocked where its URL has no rule; 2 is an alias of 3, which states a blocked page as canonical.
     assert {r.page_id: (r.rule, r.verdict) for r in out} == {1: (None, "block"), 2: (None, "block"), 3: (None, "block"), 4: (None, "allow"), 5: (None, "allow")}
 
 
+def test_unrelated_sites_are_no_aliases(spark):
+    rules = [("www.io/x/", "block"), ("b.org/p/", "block")]
+    urls = {1: "http://m.io/x/1", 2: "http://www.io/x/1", 3: "http://io/x/1", 4: "http://www.m.io/x/1", 5: "http://m.www.io/x/1", 6: "http://www.m.b.org/p", 7: "http://a.org/?ref=1", 8: "http://a.org/"}
+    rows = [(i, u, '<link rel=canonical href="http://b.org/p/1">' if i == 7 else None) for i, u in urls.items()]
+    got = {r.page_id: r.verdict for r in judge_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), rules).collect()}
+    assert got == {1: "allow", 2: "block", 3: "allow", 4: "allow", 5: "block", 6: "block", 7: "block", 8: "allow"}
+    assert judge_pages(spark.createDataFrame([], "page_id long, url string, html string"), rules).count() == 0
+
+
 def brute_usual(url):
     head, _, rest = url.partition("://")
     rest = rest.split("#")[0]
     body, mark, query = rest.partition("?")
     host, slash, path = body.partition("/")
-    host = re.sub(r"\A(www|m)\.", "", host.lower())
+    labels = host.lower().split(".")
+    while len(labels) > 2 and labels[0] in ("www", "m"):
+        labels = labels[1:]
+    host = ".".join(labels)
     path = re.sub(r"/index\.(html|htm|php)\Z", "/", "/" + path)
     if not re.search(r"(/|\.[A-Za-z0-9]+)\Z", path):
         path += "/"
-    drop = {"utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid", "ref"}
+    drop = {"utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid"}
     kept = [x for x in query.split("&") if x and x.split("=")[0] not in drop]
     return host + path, "?" + "&".join(kept) if kept else ""
 
