@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, absent
+from .common import BROADCAST_ROWS, Scratch, absent, small
 
 #: log2 of the hashed feature space.
 BITS = 16
@@ -19,8 +19,8 @@ ORDERS = (1, 2, 3)
 #: Bound on the training sample: at most so many documents of each language, those with the smallest
 #: hashes of their ids among all labelled documents of the training folds.
 SAMPLE_PER_LANG = 2_000
-#: Bound on the languages a model may have, those with the most documents, and with it on the broadcast matrix.
-MAX_LANGS = 128
+#: Languages whose matrix is broadcast together, and whose counts the driver holds at a time; further ones follow in blocks.
+BLOCK_LANGS = 128
 UNKNOWN = "und"
 
 CHUNK = 1 << 19
@@ -105,7 +105,7 @@ class Model:
     weights: np.ndarray
 
     def score(self, texts: list[str]) -> np.ndarray:
-        """Posterior of each language for each text, (len(texts), len(langs))."""
+        """Log of prior times likelihood of each language for each text, (len(texts), len(langs))."""
         total = np.tile(self.prior, (len(texts), 1))
         for docs, starts, c in _pieces(texts):
             # The last two characters of a piece only end n-grams: their own places weigh nothing.
@@ -120,40 +120,51 @@ class Model:
                     s += w[f]
                 s *= live
                 np.add.at(total[:, j], docs, np.add.reduceat(s, np.minimum(starts, len(s) - 1), dtype=np.float64))
-        total -= total.max(axis=1, keepdims=True)
-        p = np.exp(total)
-        return p / p.sum(axis=1, keepdims=True)
+        return total
 
 
-def train(labelled: DataFrame, per_lang: int = SAMPLE_PER_LANG, alpha: float = 0.1) -> Model:
-    """A model from ``labelled(doc_id, text, lang)``; rows with a null are left out.
-
-    Of more than MAX_LANGS languages those with the most documents are learned, ties by name.
-    Counts come from at most ``per_lang`` documents of each language and are summed on the
-    executors; at most MAX_LANGS * (2**BITS + 1) counts reach the driver.
-    """
-    rows = labelled.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("__all")).orderBy(F.desc("__all"), "lang").limit(MAX_LANGS)
-    # A range of the hash that holds more than enough, so that no window sees a whole language.
-    span = F.lit(float(1 << 31))
-    low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
-    some = rows.select("doc_id", "lang").join(F.broadcast(counts), "lang").where(low * F.col("__all") < span * (1.5 * per_lang + 100))
-    first = Window.partitionBy("lang").orderBy(low, "doc_id")
-    ids = some.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= per_lang).select("doc_id", "lang")
-    if MAX_LANGS * per_lang <= BROADCAST_ROWS or counts.count() * per_lang <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    sample = rows.join(ids, ["doc_id", "lang"], "left_semi").select("lang", "text")
-    grams = sample.mapInArrow(_counting, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+def _model(grams: pa.Table, alpha: float) -> Model:
+    """From (lang, bucket, n); bucket -1 has the number of documents."""
     names = sorted(set(grams["lang"].to_pylist()))
-    n = np.zeros((len(names), 1 << BITS))
-    prior = np.zeros(len(names))
-    row = np.searchsorted(names, grams["lang"].to_pylist()) if names else np.empty(0, dtype=int)
+    n, prior = np.zeros((len(names), 1 << BITS)), np.zeros(len(names))
+    coded = grams["lang"].combine_chunks().dictionary_encode()
+    row = np.searchsorted(names, coded.dictionary.to_pylist())[coded.indices.to_numpy()]
     bucket, value = grams["bucket"].to_numpy(), grams["n"].to_numpy()
     real = bucket >= 0
     n[row[real], bucket[real]] = value[real]
     prior[row[~real]] = value[~real]
-    weights = np.log((n + alpha) / (n.sum(axis=1, keepdims=True) + alpha * (1 << BITS))) if names else n
-    return Model(tuple(names), np.log(prior / prior.sum()) if names else prior, weights.astype(np.float32))
+    weights = np.log((n + alpha) / (n.sum(axis=1, keepdims=True) + alpha * (1 << BITS)))
+    return Model(tuple(names), np.log(prior), weights.astype(np.float32))
+
+
+def train(labelled: DataFrame, per_lang: int = SAMPLE_PER_LANG, alpha: float = 0.1) -> list[Model]:
+    """Models of all languages of ``labelled(doc_id, text, lang)``, in blocks by name; rows with a null are left out.
+
+    Counts come from at most ``per_lang`` documents of each language and are summed on the
+    executors; BLOCK_LANGS * (2**BITS + 1) counts at most reach the driver at a time.
+    """
+    rows = labelled.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
+    with Scratch(labelled.sparkSession, "langid") as scratch:
+        counts = scratch.write(rows.groupBy("lang").agg(F.count("*").alias("__all")))
+        names = sorted(r["lang"] for r in counts.select("lang").collect())
+        if not names:
+            return []
+        # A range of the hash that holds more than enough, so that no window sees a whole language.
+        span = F.lit(float(1 << 31))
+        low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
+        some = rows.select("doc_id", "lang").join(small(counts, size="octet_length(lang)"), "lang").where(low * F.col("__all") < span * (1.5 * per_lang + 100))
+        first = Window.partitionBy("lang").orderBy(low, "doc_id")
+        ids = some.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= per_lang).select("doc_id", "lang")
+        if len(names) * per_lang <= BROADCAST_ROWS:
+            ids = F.broadcast(ids)
+        sample = rows.join(ids, ["doc_id", "lang"], "left_semi").select("lang", "text")
+        if len(names) > BLOCK_LANGS:
+            sample = scratch.write(sample)
+        out = []
+        for at in range(0, len(names), BLOCK_LANGS):
+            block = sample.where(F.col("lang").between(names[at], names[min(at + BLOCK_LANGS, len(names)) - 1]))
+            out.append(_model(block.mapInArrow(_counting, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow(), alpha))
+        return out
 
 
 def held_out(doc_id: Column) -> Column:
@@ -161,28 +172,32 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 4 == 2
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, models: list[Model], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) of every row and its whole text.
 
-    A null text, one without a letter, or a model without languages gives ``und`` with score 0. The
-    score is the posterior of the predicted language; ties go to the first in order.
+    A null text, one without a letter, or no model gives ``und`` with score 0. The score is the
+    posterior of the predicted language among those of all blocks, from a running maximum and sum;
+    ties go to the first in order.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = [docs.sparkSession.sparkContext.broadcast(m) for m in models]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 texts = part.column(1).to_pylist()
-                ok = [i for i, t in enumerate(texts) if m.langs and t and _has_letter(t)]
+                ok = [i for i, t in enumerate(texts) if shared and t and _has_letter(t)]
                 lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-                if ok:
+                top, whole = np.full(len(ok), -np.inf), np.full(len(ok), -np.inf)
+                for block in shared if ok else ():
+                    m = block.value
                     p = m.score([texts[i] for i in ok])
-                    best = p.argmax(axis=1)
-                    score[ok] = p[np.arange(len(ok)), best]
-                    for i, b in zip(ok, best, strict=True):
-                        lang[i] = m.langs[b]
+                    most = p.max(axis=1)
+                    whole = np.logaddexp(whole, most + np.log(np.exp(p - most[:, None]).sum(axis=1)))
+                    for j in np.flatnonzero(most > top):
+                        lang[ok[j]] = m.langs[int(p[j].argmax())]
+                    top = np.maximum(top, most)
+                score[ok] = np.exp(np.minimum(top - whole, 0))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -193,12 +208,12 @@ def identify(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> DataFrame:
 
     Learns from the text and lang of documents outside the held-out fold. Repeated rows each get
     their row; a null doc_id is predicted, never learned from, and not held out. Without labelled
-    rows all is ``und``. Beyond MAX_LANGS distinct values of lang, as a dirty column may have, the rarer
-    ones are never predicted. No rows give no rows; other columns are ignored, whatever their names.
+    rows all is ``und``. Every value of lang is learned, in blocks of BLOCK_LANGS. No rows give no rows;
+    other columns are ignored, whatever their names.
     """
     fold = F.coalesce(held_out(F.col("doc_id")), F.lit(True))
-    model = train(docs.where(~fold).select("doc_id", "text", "lang"), per_lang)
-    return predict(docs, model).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
+    models = train(docs.where(~fold).select("doc_id", "text", "lang"), per_lang)
+    return predict(docs, models).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def drop_unidentified(docs: DataFrame, least: float = 0.5, langs: tuple[str, ...] | None = None) -> DataFrame:

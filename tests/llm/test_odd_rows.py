@@ -41,11 +41,17 @@ def test_letters_by_category(spark):
     assert got[100] == "und" and got[101] == "en"
 
 
-def test_more_languages_than_the_model_holds(spark, monkeypatch):
-    monkeypatch.setattr(langid, "MAX_LANGS", 3)
-    rows = [(i, "the and of with " * 5, "en", "s") for i in range(40)] + [(100 + i, "der und die", f"x{i}", "s") for i in range(9)]
-    got = {r.lang_pred for r in identify(spark.createDataFrame(rows, DOCS)).collect()}
-    assert "en" in got and len(got) <= 3
+def test_more_languages_than_a_block_holds(spark, monkeypatch):
+    """Every language is learned and predicted, and blocks change nothing."""
+    random.seed(8)
+    words = ["".join(random.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(140)]
+    rows = [(140 * i + k, f"{words[k]} " * (5 + i), f"x{k:03}", "s") for i in range(8) for k in range(140)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in identify(docs).collect()}
+    wrong = [d for d, _, lang, _ in rows if got[d][0] != lang]
+    assert len({p for p, _ in got.values()}) == 140 and len(wrong) < 0.03 * len(rows)
+    monkeypatch.setattr(langid, "BLOCK_LANGS", 1000)
+    assert {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in identify(docs).collect()} == got
 
 
 def test_sets_of_a_repeated_id_are_linked(spark):
