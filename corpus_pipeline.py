@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlscope.llm.common import scratch_root
+from crawlscope.llm.common import Scratch
 from crawlscope.llm.exact_dedup import drop_copies
 from crawlscope.llm.langid import drop_unidentified
 from crawlscope.llm.minhash import drop_near_duplicates
@@ -47,10 +45,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
+    """All stages over ``documents``, each written to the shared folder and read again; a stage's rows go when the next one's are written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    root = f"{scratch_root(spark)}/pipeline-{uuid.uuid4().hex}"
-    for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{root}/{i}")
-        docs = spark.read.parquet(f"{root}/{i}")
+    scratch = Scratch(spark, "pipeline")
+    for _, stage in STAGES:
+        out = scratch.write(stage(spark, docs, sf_dir))
+        scratch.drop(docs)
+        docs = out
     return docs
