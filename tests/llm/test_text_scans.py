@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crawlscope.llm.common import lower_ascii
-from crawlscope.llm.licenses import PHRASES, TEMPLATES, scan_licenses
+from crawlscope.llm.licenses import ALIGNED, FUNCTION_WORDS, PHRASES, TEMPLATES, scan_licenses
 from crawlscope.llm.secrets import scan_secrets, train
 
 DOCS = "doc_id long, text string, source string, row string, kind string"
@@ -118,6 +118,25 @@ def places(text):
     return len(words), at
 
 
+def labels_and_score(text):
+    """All templates at all positions, without an index."""
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    labels, best = {x for _, x in places(text)[1]}, 0.0
+    base = bool(labels)
+    for label, key, template in TEMPLATES:
+        t, k = template.split(), key.split()
+        own = set(t) - FUNCTION_WORDS
+        keys = [i for i in range(len(words)) if words[i : i + len(k)] == k]
+        for start in range(min(keys, default=0) - len(t) + 1, max(keys, default=-1) + 1):
+            if any(start <= i < start + len(t) for i in keys):
+                share = len({w for j, w in enumerate(t) if w in own and 0 <= start + j < len(words) and words[start + j] == w}) / len(own)
+                if share >= ALIGNED:
+                    labels.add(label)
+                    best = max(best, share)
+    return ",".join(sorted(labels)), 1.0 if base else best
+
+
 def check_licenses(rows, texts):
     expected = []
     for doc_id, text in texts:
@@ -129,7 +148,8 @@ def check_licenses(rows, texts):
     assert sorted(got, key=key) == sorted(expected, key=key)
     for r in rows:
         assert set(r.base_labels.split(",")) - {""} <= set(r.labels.split(","))
-        assert 0 <= r.score <= 1
+    known = sorted((str(d), *labels_and_score(t)) for d, t in texts)
+    assert sorted((str(r.doc_id), r.labels, r.score) for r in rows) == known
 
 
 def test_licenses_small(spark):
@@ -165,6 +185,28 @@ def test_three_notices_in_a_file(spark):
     assert labels == [",".join(some), *text, ""]
 
 
+def test_a_mention_is_no_notice(spark):
+    mentions = [
+        "they wrote about the gnu affero general public license in the paper",
+        "no public domain dedication applies here",
+        "some compare the MIT licence, the mozilla public license and the gnu lesser general public license",
+        *[f"we talk about {key} again and again" for _, key, _ in TEMPLATES if key not in PHRASES],
+    ]
+    base = lambda t: ",".join(sorted({x for _, x in places(t)[1]}))
+    notices = [template for _, _, template in TEMPLATES]
+    filler = " ".join(f"word{i}" for i in range(30))
+    scattered = [" ".join(f"{w} pause" for w in template.split()) + f" {key}" for _, key, template in TEMPLATES]
+    no_key = [template.replace(key, " ".join("other" for _ in key.split())) for _, key, template in TEMPLATES]
+    texts = [*mentions, *no_key, *scattered, *[f"{filler} {n} {filler}" for n in notices], " \n".join([*notices, filler] * 40)]
+    labels = labels_of(spark, texts)
+    n = len(mentions) + len(no_key) + len(scattered)
+    assert labels[:n] == [base(t) for t in texts[:n]]
+    assert labels[n:] == [labels_and_score(t)[0] for t in texts[n:]]
+    assert all(label in found.split(",") for (label, _, _), found in zip(TEMPLATES, labels[n:]))
+    assert set(labels[-1].split(",")) == {label for label, _, _ in TEMPLATES} | {"apache"}
+    assert labels_of(spark, texts[:5]) == labels[:5]
+
+
 @pytest.mark.parametrize("run", [scan_licenses, scan_secrets])
 def test_schema_has_no_foreign_columns(spark, run):
     out = run(spark.createDataFrame(SECRETS[:1], DOCS))
