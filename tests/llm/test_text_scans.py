@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crawlscope.llm.common import lower_ascii
+from crawlscope.llm.ann import nearest
+from crawlscope.llm.common import lower_ascii, scratch_root
 from crawlscope.llm.licenses import ALIGNED, FUNCTION_WORDS, PHRASES, TEMPLATES, scan_licenses
 from crawlscope.llm.secrets import scan_secrets, train
 
@@ -219,3 +220,16 @@ def test_lower_ascii_on_every_character(spark):
     texts = spark.createDataFrame(rows, "t string").select("t", lower_ascii(F.col("t")).alias("low"))
     assert texts.where(F.col("low") != F.translate("t", upper, upper.lower())).count() == 0
     assert spark.createDataFrame([(None,)], "t string").select(lower_ascii(F.col("t"))).first()[0] is None
+
+
+def test_only_results_stay_in_the_shared_folder(spark, sf_dir):
+    root = scratch_root(spark)
+    fs = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    tables = lambda: {s.getPath().getName() for s in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(root))}
+    docs, vectors = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    for run in (lambda: scan_licenses(docs), lambda: scan_secrets(docs), lambda: nearest(vectors)):
+        before = tables()
+        out = run()
+        new = tables() - before
+        assert len(new) == 1 and "-result" in new.pop()
+        assert out.count() > 0
