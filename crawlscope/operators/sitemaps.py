@@ -63,13 +63,13 @@ def seed_sitemaps(sites: DataFrame, directives: DataFrame, profile: str = "full"
 
 
 def discovery_notes(directives: DataFrame, limit: int = 10) -> DataFrame:
-    """(site, message) of the first ``limit`` ignored directives of each site."""
+    """(site, n, message) of the first ``limit`` ignored directives of each site, numbered in order."""
     first = Window.partitionBy("site").orderBy("pos")
     return (
         directives.where("NOT usable")
         .withColumn("n", F.row_number().over(first))
         .where(F.col("n") <= limit)
-        .select("site", F.concat(F.lit("Ignored non-XML Sitemap directive: "), "sitemap_url").alias("message"))
+        .select("site", "n", F.concat(F.lit("Ignored non-XML Sitemap directive: "), "sitemap_url").alias("message"))
     )
 
 
@@ -112,6 +112,38 @@ def sitemap_notes(files: DataFrame, docs: DataFrame) -> DataFrame:
     return stated.unionByName(empty).select("site", "depth", "bfs_pos", "kind", F.concat("sitemap_url", "text").alias("message"))
 
 
+def source_diagnostics(sources: DataFrame, docs: DataFrame, directives: DataFrame, files: DataFrame, notes: DataFrame) -> DataFrame:
+    """(site, tested_urls, failures): what the preview tried for each of its sources, and what went wrong.
+
+    ``sources(site, input_mode, from_robots)`` are the chosen candidates. Tested are the robots file,
+    then the loaded files and then the failed ones, in visiting order. Failures begin with the robots
+    file's (ignored directives, none usable, not fetched; none of a sitemap given directly, which is
+    stated instead) and end with the ``notes`` of :func:`sitemap_notes`, in order. Both lists are
+    bounded by the profile's bound on files.
+    """
+    robots_url = F.concat(U.origin(F.col("site")), F.lit("/robots.txt"))
+    direct = F.col("input_mode") == "sitemap"
+    at = lambda step, depth, pos, kind, text: F.struct(
+        F.lit(step).alias("step"), depth.cast("int").alias("depth"), pos.cast("array<int>").alias("pos"), kind.cast("int").alias("kind"), text.alias("text")
+    )
+    zero, none = F.lit(0), F.array()
+    met = docs.select(F.col("url").alias("robots_url"), "error", F.lit(True).alias("met"))
+    asked = sources.withColumn("robots_url", robots_url)
+    answered = F.coalesce("met", F.lit(False)) & F.col("error").isNull()
+    of_robots = F.when(answered, F.lit(" loaded but did not expose usable same-host XML Sitemap directives.")).otherwise(F.concat(F.lit(" failed: "), _reason()))
+    stated = asked.join(met, "robots_url", "left").where(direct | ~F.col("from_robots")).select(
+        "site", at(1, zero, none, zero, F.when(direct, F.lit("Direct sitemap input.")).otherwise(F.concat("robots_url", of_robots))).alias("f")
+    )
+    ignored = discovery_notes(directives).join(sources.where(~direct).select("site"), "site", "left_semi").select("site", at(0, F.col("n"), none, zero, F.col("message")).alias("f"))
+    later = notes.join(sources.select("site"), "site", "left_semi").select("site", at(2, F.col("depth"), F.col("bfs_pos"), F.col("kind"), F.col("message")).alias("f"))
+    failures = stated.unionByName(ignored).unionByName(later).groupBy("site").agg(F.array_sort(F.collect_list("f")).alias("f"))
+    tested = files.groupBy("site").agg(F.array_sort(F.collect_list(F.struct((~F.col("loaded")).alias("failed"), "depth", "bfs_pos", "sitemap_url"))).alias("t"))
+    texts = F.array().cast("array<string>")
+    return asked.join(tested, "site", "left").join(failures, "site", "left").select(
+        "site", F.concat(F.array("robots_url"), F.coalesce(F.col("t.sitemap_url"), texts)).alias("tested_urls"), F.coalesce(F.col("f.text"), texts).alias("failures")
+    )
+
+
 def _reason() -> Column:
     return F.coalesce("error", F.lit("fetch failed"))
 

@@ -38,7 +38,10 @@ PREVIEW = AuditConfig(profile="preview", max_pages=None, max_hops=8, max_files=3
 
 @dataclass(frozen=True)
 class Audit:
-    """Named frames of a finished run, keyed by ``site``; pages and issues are written tables."""
+    """Named frames of a finished run, keyed by ``site``; pages and issues are written tables.
+
+    The frames read the run's folder, which :meth:`close`, or the end of a ``with`` block, deletes.
+    """
 
     files: DataFrame
     entries: DataFrame
@@ -48,16 +51,36 @@ class Audit:
     stats: DataFrame
     scores: DataFrame
     report: DataFrame
+    scratch: Scratch
+
+    def close(self) -> None:
+        self.scratch.close()
+
+    def __enter__(self) -> Audit:
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.close()
 
 
 def run_audit(sites: DataFrame, fetch_log: DataFrame, config: AuditConfig = AuditConfig()) -> Audit:
     """Audit every site of ``sites(site)`` over the documents of ``fetch_log``.
 
     In the preview profile the output's ``site`` is the chosen host variant. All joins are on
-    site or URL; bodies leave the plan as soon as their metadata is extracted.
+    site or URL; bodies leave the plan as soon as their metadata is extracted. A run that fails leaves
+    no tables.
     """
-    preview = config.profile == "preview"
     scratch = Scratch(sites.sparkSession, "audit")
+    try:
+        with scratch.owning():
+            return _run(sites, fetch_log, config, scratch)
+    except BaseException:
+        scratch.close()
+        raise
+
+
+def _run(sites: DataFrame, fetch_log: DataFrame, config: AuditConfig, scratch: Scratch) -> Audit:
+    preview = config.profile == "preview"
     log = fetch_log_of(fetch_log)
     named = sites.select(F.col("site").alias("input"), U.norm_site(F.col("site")).alias("norm")).where("norm IS NOT NULL").dropDuplicates(["norm"])
     direct = U.input_mode(F.col("input")) == "sitemap"
@@ -135,8 +158,11 @@ def run_audit(sites: DataFrame, fetch_log: DataFrame, config: AuditConfig = Audi
     deep = pages.groupBy("site").agg(F.count_if("deep_checked").alias("n_deep"))
     verdict = scores.site_verdict(counts.withColumn("host", U.url_host(F.col("site"))).join(errors, "site", "left").join(deep, "site", "left").na.fill(0))
     sources = source_of(seeds.join(own.withColumnRenamed("site", "base"), "base", "left_semi"), site_files)
+    if preview:
+        chosen = counts.select("site", "input_mode", "from_robots").distinct()
+        sources = sources.join(scratch.write(sitemaps.source_diagnostics(chosen, docs, directives, site_files, notes)), "site", "left")
     report = stats.join(scored, "site").join(verdict, "site").join(sources, "site").join(counts.select("site", "n_entries", "input_mode"), "site").join(deep, "site", "left").na.fill(0)
-    return Audit(site_files, entries, pages, issues, root, stats, scored, report)
+    return Audit(site_files, entries, pages, issues, root, stats, scored, report, scratch)
 
 
 def source_of(seeds: DataFrame, files: DataFrame) -> DataFrame:

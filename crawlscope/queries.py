@@ -133,7 +133,7 @@ def c_sitemap_directives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def c_ignored_directives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sitemaps.discovery_notes(robots.sitemap_directives(derived.robots_txt(spark, sf_dir)))
+    return sitemaps.discovery_notes(robots.sitemap_directives(derived.robots_txt(spark, sf_dir))).drop("n")
 
 
 def c_robots_verdict(s: Stage) -> DataFrame:

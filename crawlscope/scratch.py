@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +18,10 @@ BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: The folder of the run that owns tables made now, if one does.
+_OWNER: ContextVar[str | None] = ContextVar("owner", default=None)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for written intermediate tables.
 
@@ -34,14 +41,23 @@ class Scratch:
     """Tables written to the shared folder to cut lineage.
 
     As a context it deletes its tables at the end, but for those that :meth:`keep` made. Kept
-    results stay in the shared folder, for their frames read them whenever they are used.
+    results stay in the shared folder, for their frames read them whenever they are used. What is
+    made inside :meth:`owning`, results too, lies in this one's folder and goes with :meth:`close`.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{_OWNER.get() or scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
+    @contextmanager
+    def owning(self) -> Iterator[None]:
+        token = _OWNER.set(self.root)
+        try:
+            yield
+        finally:
+            _OWNER.reset(token)
+
     def write(self, df: DataFrame) -> DataFrame:
         """``df`` as a table read back from the shared folder."""
         self.n += 1
@@ -76,6 +92,9 @@ class Scratch:
         return self
 
     def __exit__(self, *exc) -> None:
+        self.close()
+
+    def close(self) -> None:
         self._delete(self.root)
 
 

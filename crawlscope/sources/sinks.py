@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.reports import issue_lists
@@ -11,6 +11,10 @@ from ..plans.reports import issue_lists
 CSV_COLUMNS = ("url", "path", "display_path", "section", "page_type", "title", "description", "canonical", "final_url", "lastmod", "status", "redirects", "issue_count", "issues")
 
 
+#: Type of a page's or site's issues in the index.
+BRIEFS = "array<struct<severity:string,code:string,message:string>>"
+
+
 def csv_rows(pages: DataFrame, issues: DataFrame) -> DataFrame:
     """Rows of the pages CSV as strings, with ``site``: nulls are empty, issues ``severity:CODE|...``."""
     listed = pages.join(issue_lists(issues), ["site", "url"], "left")
@@ -27,38 +31,77 @@ def csv_rows(pages: DataFrame, issues: DataFrame) -> DataFrame:
 def write_pages_csv(pages: DataFrame, issues: DataFrame, path: str, by_site: bool = True) -> None:
     """The pages CSV with a header, sorted by URL within files, under ``site=`` folders or together.
 
+    Files are ranges of (site, url), so that a large site is written by many tasks; its files in
+    order of their names are in order of URLs.
+
     A value is quoted only if it holds a comma, quote or line break, and inner quotes are doubled.
     """
     rows = csv_rows(pages, issues).select("site", *CSV_COLUMNS)
-    rows = rows.repartition("site").sortWithinPartitions("site", "url") if by_site else rows.drop("site").orderBy("url")
+    rows = _in_ranges(rows) if by_site else rows.drop("site").orderBy("url")
     out = rows.write.option("header", True).option("escape", '"').option("emptyValue", "").option("nullValue", "")
     out = out.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     (out.partitionBy("site") if by_site else out).csv(path)
 
 
-def audit_result(report: DataFrame, pages: DataFrame, issues: DataFrame, site_issues: DataFrame) -> DataFrame:
-    """One nested row per site: site, generated_at, source, scores, stats, pages[], issues[]."""
-    brief = lambda i: F.struct(i["severity"].alias("severity"), i["code"].alias("code"), i["message"].alias("message"))
-    kept = [c for c in pages.columns if c not in ("site", "deep_checked")]
-    listed = pages.join(issue_lists(issues), ["site", "url"], "left").withColumn("issues", F.coalesce(F.transform("issues", brief), F.array().cast("array<struct<severity:string,code:string,message:string>>")))
-    nested = listed.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("url", *[c for c in kept if c != "url"], "issues"))).alias("pages"))
+def _in_ranges(rows: DataFrame, parts: int | None = None) -> DataFrame:
+    dealt = rows.repartitionByRange("site", "url") if parts is None else rows.repartitionByRange(parts, "site", "url")
+    return dealt.sortWithinPartitions("site", "url")
+
+
+def _brief(i: Column) -> Column:
+    return F.struct(i["severity"].alias("severity"), i["code"].alias("code"), i["message"].alias("message"))
+
+
+def _listed_pages(pages: DataFrame, issues: DataFrame) -> DataFrame:
+    """Pages as the index has them: ``site``, ``url``, their other columns and their issues."""
+    kept = [c for c in pages.columns if c not in ("site", "url", "deep_checked")]
+    briefs = F.coalesce(F.transform("issues", _brief), F.array().cast(BRIEFS)).alias("issues")
+    return pages.join(issue_lists(issues), ["site", "url"], "left").select("site", "url", *kept, briefs)
+
+
+def _index_head(report: DataFrame, site_issues: DataFrame) -> DataFrame:
+    """A site's index without its pages. The preview's source also says what was tried and what went wrong."""
     root = site_issues.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("ord", "severity", "code", "message"))).alias("root"))
-    return (
-        report.join(nested, "site", "left")
-        .join(root, "site", "left")
-        .select(
-            "site",
-            F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("generated_at"),
-            F.struct("robots_url", "sitemap_urls", "from_robots").alias("source"),
-            F.struct("index", "seo", "sitemap").alias("scores"),
-            F.struct(report["pages"].alias("pages"), "sections", "errors", "warnings", "notices").alias("stats"),
-            nested["pages"].alias("pages"),
-            F.coalesce(F.transform("root", brief), F.array().cast("array<struct<severity:string,code:string,message:string>>")).alias("issues"),
-        )
+    source = ["robots_url", "sitemap_urls", "from_robots"]
+    if "tested_urls" in report.columns:
+        source += ["input_mode", "tested_urls", "failures", F.col("verdict").alias("compatibility"), F.col("n_entries").alias("discovered_url_count"), F.col("n_deep").alias("deep_checked_count")]
+    return report.join(root, "site", "left").select(
+        "site",
+        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("generated_at"),
+        F.struct(*source).alias("source"),
+        F.struct("index", "seo", "sitemap").alias("scores"),
+        F.struct("pages", "sections", "errors", "warnings", "notices").alias("stats"),
+        F.coalesce(F.transform("root", _brief), F.array().cast(BRIEFS)).alias("issues"),
     )
 
 
+def audit_result(report: DataFrame, pages: DataFrame, issues: DataFrame, site_issues: DataFrame) -> DataFrame:
+    """One nested row per site: site, generated_at, source, scores, stats, pages[], issues[].
+
+    All pages of a site are in one row; for sites too large for that see :func:`write_index_parts`.
+    """
+    listed = _listed_pages(pages, issues)
+    nested = listed.groupBy("site").agg(F.array_sort(F.collect_list(F.struct(*[c for c in listed.columns if c != "site"]))).alias("pages"))
+    return _index_head(report, site_issues).join(nested, "site", "left").select("site", "generated_at", "source", "scores", "stats", "pages", "issues")
+
+
 def write_index_json(result: DataFrame, path: str) -> None:
     """One indented JSON document per site, under ``site=`` folders; absent values are left out."""
     doc = F.to_json(F.struct(*result.columns), {"pretty": "true"})
     result.select("site", doc.alias("value")).write.partitionBy("site").text(path)
+
+
+def write_index_parts(report: DataFrame, pages: DataFrame, issues: DataFrame, site_issues: DataFrame, path: str, parts: int | None = None) -> None:
+    """The index of sites of any size: their pages in parts, and a manifest that puts them together.
+
+    ``pages/site=/part=`` folders hold JSON lines of pages, which are ranges of (site, url) in
+    ``parts`` tasks (by default as many as Spark finds fit). ``manifest/site=`` holds one JSON
+    document per site: the index without pages, and ``page_parts`` (part, pages, first_url, last_url)
+    in order of URLs. Read in that order the parts are the index's pages.
+    """
+    _in_ranges(_listed_pages(pages, issues), parts).withColumn("part", F.spark_partition_id()).write.partitionBy("site", "part").json(f"{path}/pages")
+    written = report.sparkSession.read.schema("url string, part int, site string").json(f"{path}/pages")
+    spans = written.groupBy("site", "part").agg(F.count("*").alias("pages"), F.min("url").alias("first_url"), F.max("url").alias("last_url"))
+    listed = spans.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("part", "pages", "first_url", "last_url"))).alias("page_parts"))
+    none = F.array().cast("array<struct<part:int,pages:bigint,first_url:string,last_url:string>>")
+    write_index_json(_index_head(report, site_issues).join(listed, "site", "left").withColumn("page_parts", F.coalesce("page_parts", none)), f"{path}/manifest")

@@ -14,6 +14,7 @@ from crawlscope.functions import urls as U
 from crawlscope.operators import checks, crosspage, redirects, robots, scores, sitemaps
 from crawlscope.plans import reports
 from crawlscope.plans.audit import PREVIEW, AuditConfig, run_audit
+from crawlscope.scratch import scratch_root
 from crawlscope.sources import sinks
 from crawlscope.sources.fetch_log import SCHEMA, fetch_log_of
 from crawlscope.streaming.run_counters import run_counters
@@ -304,6 +305,68 @@ def test_discovery_notes(spark):
         f"{host}/gone.xml failed: timed out",
         f"{host}/back.xml {empty}",
     ]
+    source = audit.report.first()
+    assert source.tested_urls == [f"{host}/{n}" for n in ("robots.txt", "sitemap.xml", "wall.xml", "torn.xml", "bare.xml", "back.xml", "gone.xml")]
+    assert source.failures == [f"Ignored non-XML Sitemap directive: {host}/llms.txt", *got]
+    nested = sinks.audit_result(audit.report, audit.pages, audit.page_issues, audit.site_issues).first()
+    assert nested.source.failures == source.failures and nested.source.discovered_url_count == 1 and nested.source.compatibility == source.verdict
+
+
+def test_sources_of_the_preview(spark):
+    page_map = lambda host: urlset((f"{host}/", "2026-01-01"), (f"{host}/a", "2026-01-01"))
+    rows = [
+        {"url": "https://bare.test/robots.txt", "status": 200, "body": "Sitemap: https://else.test/sitemap.xml\n" + "".join(f"Sitemap: https://bare.test/{i}.txt\n" for i in range(12))},
+        {"url": "https://bare.test/sitemap.xml", "status": 200, "body": page_map("https://bare.test")},
+        {"url": "https://down.test/robots.txt", "status": None, "error": "timed out"},
+        {"url": "https://down.test/sitemap.xml", "status": 200, "body": page_map("https://down.test")},
+        {"url": "https://given.test/robots.txt", "status": 200, "body": "Sitemap: https://given.test/notes.txt\n"},
+        {"url": "https://given.test/map.xml", "status": 200, "body": page_map("https://given.test")},
+    ]
+    sites = spark.createDataFrame([("bare.test",), ("down.test",), ("https://given.test/map.xml",), ("absent.test",)], "site string")
+    root = scratch_root(spark)
+    fs = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    tables = lambda: {s.getPath().getName() for s in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(root))}
+    before = tables()
+    with run_audit(sites, log(spark, rows), PREVIEW) as audit:
+        assert len(tables() - before) == 1
+        got = {r.site[8:]: r for r in audit.report.collect()}
+    assert tables() == before
+    ignored = [f"Ignored non-XML Sitemap directive: https://bare.test/{i}.txt" for i in range(10)]
+    none = "loaded but did not expose usable same-host XML Sitemap directives."
+    assert got["bare.test"].failures[:11] == [*ignored, f"https://bare.test/robots.txt {none}"]
+    assert got["down.test"].failures[0] == "https://down.test/robots.txt failed: timed out"
+    assert got["given.test"].failures == ["Direct sitemap input."]
+    assert got["given.test"].tested_urls == ["https://given.test/robots.txt", "https://given.test/map.xml"]
+    for site in ("bare.test", "down.test"):
+        assert got[site].tested_urls[:2] == [f"https://{site}/robots.txt", f"https://{site}/sitemap.xml"]
+        assert all(" failed: " in f for f in got[site].failures[11 if site == "bare.test" else 1 :])
+    gone = next(r for s, r in got.items() if "absent" in s)
+    assert gone.failures[0].startswith("https://") and len(gone.failures) == len(gone.tested_urls)
+
+
+def test_index_in_parts(spark, audit, tmp_path):
+    """A large site's pages are written by many tasks, and its parts together are the one document."""
+    many = spark.range(400).select(F.concat(F.lit("https://site.test/z/"), F.format_string("%05d", "id")).alias("url"))
+    base = audit.pages.where("url = 'https://site.test/about'").drop("url")
+    pages = audit.pages.unionByName(base.crossJoin(many))
+    sinks.write_index_parts(audit.report, pages, audit.page_issues, audit.site_issues, str(tmp_path / "parts"), parts=4)
+    whole = {r["site"]: json.loads(r["doc"]) for r in sinks.audit_result(audit.report, pages, audit.page_issues, audit.site_issues).select("site", F.to_json(F.struct("*")).alias("doc")).collect()}
+    heads = [json.loads(open(f).read()) for f in glob.glob(str(tmp_path / "parts/manifest/*/*.txt"))]
+    assert {h["site"] for h in heads} == set(whole)
+    for head in heads:
+        site, listed = head["site"], []
+        for part in head["page_parts"]:
+            folder = f"{tmp_path}/parts/pages/site={site.replace(':', '%3A').replace('/', '%2F')}/part={part['part']}"
+            lines = [json.loads(line) for f in sorted(glob.glob(f"{folder}/*.json")) for line in open(f)]
+            assert (len(lines), lines[0]["url"], lines[-1]["url"]) == (part["pages"], part["first_url"], part["last_url"])
+            listed += lines
+        assert listed == whole[site]["pages"]
+        assert {k: v for k, v in head.items() if k not in ("generated_at", "page_parts")} == {k: v for k, v in whole[site].items() if k not in ("generated_at", "pages")}
+    large = next(h for h in heads if h["site"] == "https://site.test")
+    assert len(large["page_parts"]) >= 3 and max(p["pages"] for p in large["page_parts"]) < 250
+    sinks.write_pages_csv(pages, audit.page_issues, str(tmp_path / "csv"))
+    urls = [r[0] for f in sorted(glob.glob(str(tmp_path / "csv/site=https%3A%2F%2Fsite.test/*.csv"))) for r in list(csv.reader(open(f, newline="")))[1:]]
+    assert len(urls) == 408 and urls == sorted(urls)
 
 
 def test_verdicts(spark):
