@@ -396,6 +396,9 @@ pa AS (SELECT site,count(*) AS n,count(*) FILTER (WHERE deep)::DOUBLE AS nd,coun
     "audit_pages": _audited("SELECT site,url,final_url,status,nullif(n_hops,0) AS redirects,title,description,canonical,lastmod,page_type,section,NOT EXISTS (SELECT 1 FROM checks c WHERE c.site=kept.site AND c.url=kept.url AND c.severity='error') AS ok FROM kept"),
     "audit_page_issues": _audited("SELECT site,url,stage,severity,code,message FROM pissues"),
     "audit_site_issues": _audited("SELECT site,severity,code,message FROM sissues"),
+    "audit_index_pages": _audited("""SELECT site,k.url,title,status,coalesce(i.l,'') AS issues,index,seo,sitemap,pages AS site_pages,coalesce(r.l,'') AS site_issues FROM kept k JOIN summary USING (site)
+ LEFT JOIN (SELECT site,url,string_agg(concat(severity,':',code),'|' ORDER BY concat(severity,':',code)) AS l FROM pissues GROUP BY 1,2) i USING (site,url)
+ LEFT JOIN (SELECT site,string_agg(concat(severity,':',code),'|' ORDER BY concat(severity,':',code)) AS l FROM sissues GROUP BY 1) r USING (site)""", SUMMARY),
     "audit_summary": _audited("SELECT site,pages,sections,errors,warnings,notices,index,seo,sitemap FROM summary", SUMMARY),
     "audit_report": _audited(
         f"SELECT site,pages,sections,errors,warnings,notices,index,seo,sitemap,{VERDICT} AS verdict,{TOLD} AS summary,concat(site,'/robots.txt') AS robots_url,sitemap_urls,m<>7 AS from_robots,n AS n_entries,'site' AS input_mode,deep AS n_deep FROM told",

@@ -417,6 +417,16 @@ def audit_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.audit_result(a.report, a.pages, a.page_issues, a.site_issues).drop("generated_at")
 
 
+def audit_index_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each site's JSON document says of its pages, read back from the document."""
+    result = audit_index(spark, sf_dir)
+    codes = lambda c: F.array_join(F.array_sort(F.transform(c, lambda i: F.concat_ws(":", i["severity"], i["code"]))), "|")
+    doc = sinks.index_documents(result).select(F.from_json("value", result.schema).alias("d")).select("d.*")
+    return doc.select("site", "scores", "stats", codes("issues").alias("site_issues"), F.explode("pages").alias("p")).select(
+        "site", "p.url", "p.title", "p.status", codes("p.issues").alias("issues"), "scores.index", "scores.seo", "scores.sitemap", F.col("stats.pages").alias("site_pages"), "site_issues"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "b_url_enrich": b_url_enrich,
     "b_inventory_types": b_inventory_types,
@@ -500,4 +510,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "audit_page_issues": audit_page_issues,
     "audit_preview_report": audit_preview_report,
     "audit_index": audit_index,
+    "audit_index_pages": audit_index_pages,
 }

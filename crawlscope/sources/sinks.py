@@ -85,10 +85,14 @@ def audit_result(report: DataFrame, pages: DataFrame, issues: DataFrame, site_is
     return _index_head(report, site_issues).join(nested, "site", "left").select("site", "generated_at", "source", "scores", "stats", "pages", "issues")
 
 
+def index_documents(result: DataFrame) -> DataFrame:
+    """(site, value): each row of ``result`` as an indented JSON document; absent values are left out."""
+    return result.select("site", F.to_json(F.struct(*result.columns), {"pretty": "true"}).alias("value"))
+
+
 def write_index_json(result: DataFrame, path: str) -> None:
-    """One indented JSON document per site, under ``site=`` folders; absent values are left out."""
-    doc = F.to_json(F.struct(*result.columns), {"pretty": "true"})
-    result.select("site", doc.alias("value")).write.partitionBy("site").text(path)
+    """One JSON document per site (:func:`index_documents`), under ``site=`` folders."""
+    index_documents(result).write.partitionBy("site").text(path)
 
 
 def write_index_parts(report: DataFrame, pages: DataFrame, issues: DataFrame, site_issues: DataFrame, path: str, parts: int | None = None) -> None:
