@@ -1,15 +1,20 @@
 """URL columns: parts, normal forms, classification and resolution.
 
 URLs are split with one expression, so nothing throws: a string that isn't an absolute http(s) URL
-gives null. Internationalised hosts are lower-cased but not converted to punycode.
+gives null. Internationalised hosts are lower-cased; within :func:`ascii_hosts` they get their ASCII form.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .idna import ascii_host
 
 _URL = r"(?is)\A(https?)://(?:([^/?#@]*)@)?((?:\[[0-9a-f:.]+\]|[^/?#:@\x{20}\[\]<>|^%\\]+))(?::([0-9]*))?([/\\][^?#]*)?(\?[^#]*)?(#.*)?\z"
 
@@ -19,6 +24,28 @@ CATEGORIES = ("c", "category", "categories", "tag", "tags", "topic", "topics")
 COMMON_SITEMAPS = ("/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml", "/wp-sitemap.xml", "/sitemap/sitemap.xml")
 
 
+#: Whether columns made now give hosts in their ASCII form.
+_ASCII: ContextVar[bool] = ContextVar("ascii_hosts", default=False)
+
+
+@contextmanager
+def ascii_hosts(on: bool = True) -> Iterator[None]:
+    """URL columns made inside have internationalised hosts in their ASCII form, so that both spellings of a URL are one.
+
+    The conversion is a large expression in every URL column, whose planning makes an audit of a
+    small table half as slow again, so it is left out where no such hosts are expected.
+    """
+    token = _ASCII.set(on)
+    try:
+        yield
+    finally:
+        _ASCII.reset(token)
+
+
+def _host(c: Column) -> Column:
+    return ascii_host(c) if _ASCII.get() else F.lower(c)
+
+
 def let(value: Column, f) -> Column:
     """``f(value)`` with ``value`` evaluated once, however often ``f`` refers to it."""
     return F.get(F.transform(F.array(value), f), F.lit(0))
@@ -77,7 +104,7 @@ def parse(c: Column) -> Column:
         parts = F.struct(
             F.lower(_at(u, 0)).alias("scheme"),
             F.when(_at(u, 1) == "", "").otherwise(F.concat(_at(u, 1), F.lit("@"))).alias("login"),
-            F.lower(_at(u, 2)).alias("host"),
+            _host(_at(u, 2)).alias("host"),
             F.when((_at(u, 3) == "") | (_at(u, 3) == default), "").otherwise(F.concat(F.lit(":"), _at(u, 3))).alias("port"),
             _path_of(u).alias("path"),
             _escape(_at(u, 5)).alias("query"),
@@ -165,7 +192,7 @@ def scheme(c: Column) -> Column:
 
 def url_host(c: Column) -> Column:
     """Lower-cased host name; null for what is no URL."""
-    return _piece(c, lambda u: F.lower(_at(u, 2)))
+    return _piece(c, lambda u: _host(_at(u, 2)))
 
 
 def path(c: Column) -> Column:

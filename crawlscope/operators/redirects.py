@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +19,26 @@ def redirect_hops(fetch_log: DataFrame) -> DataFrame:
     )
 
 
+def redirect_paths(hops: DataFrame, max_hops: int, scratch: Scratch) -> DataFrame:
+    """(url, chain) of the first ``max_hops + 1`` hops from each URL of ``hops(url, status, next)``, loops walked on.
+
+    Each round appends to every chain that of the URL where it ends, which doubles their length, so
+    rounds grow with the logarithm of the limit and end earlier when no chain grows. The rows are
+    narrow, one for each redirect.
+    """
+    one = F.struct("url", "status", F.col("next").alias("location"))
+    paths = scratch.write(hops.select("url", F.array(one).cast(HOP).alias("chain"), F.col("next").alias("to")))
+    for _ in range(max_hops.bit_length()):
+        onward = paths.select(F.col("url").alias("to"), F.col("chain").alias("rest"), F.col("to").alias("end"))
+        longer = F.slice(F.concat("chain", F.coalesce("rest", F.array().cast(HOP))), 1, max_hops + 1)
+        grown = scratch.write(paths.join(onward, "to", "left").select("url", longer.alias("chain"), F.coalesce("end", "to").alias("to"), F.col("rest").isNotNull().alias("grew")))
+        scratch.drop(paths)
+        paths = grown
+        if paths.where("grew").isEmpty():
+            break
+    return paths.select("url", "chain")
+
+
 def resolve_redirects(start_urls: DataFrame, fetch_log: DataFrame, max_hops: int = 10) -> DataFrame:
     """Where each of ``start_urls(start_url)`` ends: (start_url, status, final_url, body, content_type,
     chain, n_hops, loop, truncated, error).
@@ -29,33 +47,24 @@ def resolve_redirects(start_urls: DataFrame, fetch_log: DataFrame, max_hops: int
     ends the chain with the hop's status, and more than ``max_hops`` hops end it with status 310. A
     chain that reaches a URL that isn't in the log or failed has nulls throughout and no hops.
 
-    The walk joins narrow hop rows only, for the URLs still under way, and writes each round; bodies
-    are joined once, at the end. Rounds end when no URL is under way.
+    The chains of all redirects come from :func:`redirect_paths`; a start takes its own, and what ends
+    it is decided within the row. Bodies are joined once, at the end.
     """
     scratch = Scratch(start_urls.sparkSession, "redirects")
-    hops = scratch.write(redirect_hops(fetch_log).dropDuplicates(["url"]))
-    state = start_urls.select("start_url").where("start_url IS NOT NULL").distinct().select(
-        "start_url", F.col("start_url").alias("cur"), F.array().cast(HOP).alias("chain"), F.array().cast("array<string>").alias("visited")
-    )
-    ended = []
-    kinds = ["start_url", "cur", "chain", "kind", "last_status"]
-    for _ in range(max_hops + 1):
-        moved = scratch.write(state.join(hops.withColumnRenamed("url", "cur"), "cur", "left"))
-        ended.append(moved.where("next IS NULL").select("start_url", "cur", "chain", F.lit("end").alias("kind"), F.lit(None).cast("int").alias("last_status")))
-        going = moved.where("next IS NOT NULL").withColumn("chain", F.concat("chain", F.array(F.struct(F.col("cur").alias("url"), "status", F.col("next").alias("location")))))
-        loop = F.array_contains("visited", F.col("next"))
-        ended.append(going.where(loop).select("start_url", F.col("next").alias("cur"), "chain", F.lit("loop").alias("kind"), F.col("status").alias("last_status")))
-        state = going.where(~loop).select("start_url", F.col("next").alias("cur"), "chain", F.concat("visited", F.array("cur")).alias("visited"))
-        if state.isEmpty():
-            break
-    else:
-        ended.append(state.select("start_url", "cur", "chain", F.lit("limit").alias("kind"), F.lit(310).alias("last_status")))
-    walked = reduce(DataFrame.unionByName, [e.select(kinds) for e in ended])
+    paths = redirect_paths(redirect_hops(fetch_log).dropDuplicates(["url"]), max_hops, scratch)
+    none = F.array().cast(HOP)
+    starts = start_urls.select("start_url").where("start_url IS NOT NULL").distinct()
+    walks = starts.join(paths.withColumnRenamed("url", "start_url"), "start_url", "left").withColumn("chain", F.coalesce("chain", none))
+    back = F.filter(F.sequence(F.lit(1), F.size("chain")), lambda i: F.array_contains(F.slice(F.col("chain.url"), F.lit(1), i - 1), F.get(F.col("chain"), i - 1)["location"]))
+    walks = walks.withColumn("loop_at", F.when(F.size("chain") > 0, F.get(back, F.lit(0))))
+    walks = walks.withColumn("kind", F.when(F.col("loop_at").isNotNull(), "loop").when(F.size("chain") > max_hops, "limit").otherwise("end"))
+    walks = walks.withColumn("chain", F.when(F.col("loop_at").isNotNull(), F.slice("chain", F.lit(1), F.col("loop_at"))).otherwise(F.col("chain")))
+    hop = F.try_element_at("chain", F.lit(-1))
+    walked = walks.select("start_url", F.coalesce(hop["location"], "start_url").alias("cur"), "chain", "kind", F.when(F.col("kind") == "limit", 310).otherwise(hop["status"]).alias("last_status"))
     last = fetch_log.select(F.col("url").alias("cur"), "status", "final_url", "body", "content_type", "error").dropDuplicates(["cur"])
     out = walked.join(last, "cur", "left")
     at_end = F.col("kind") == "end"
     broken = at_end & (F.col("status").isNull() | F.col("error").isNotNull())
-    none = F.array().cast(HOP)
     chain = F.when(broken, none).otherwise(F.col("chain"))
     return out.select(
         "start_url",

@@ -19,7 +19,8 @@ class AuditConfig:
     """Profile ``full`` or ``preview``, and its bounds; None for no bound.
 
     ``collation`` orders URLs where a bound or a tie takes the first of them: None by code point,
-    ``UNICODE`` as web scripts compare texts.
+    ``UNICODE`` as web scripts compare texts. With ``ascii_hosts`` both spellings of an
+    internationalised host are one.
     """
 
     profile: str = "full"
@@ -30,6 +31,7 @@ class AuditConfig:
     max_urls: int | None = None
     max_deep: int = checks.MAX_DEEP
     collation: str | None = None
+    ascii_hosts: bool = False
 
 
 #: The preview with the bounds of an interactive run.
@@ -72,7 +74,7 @@ def run_audit(sites: DataFrame, fetch_log: DataFrame, config: AuditConfig = Audi
     """
     scratch = Scratch(sites.sparkSession, "audit")
     try:
-        with scratch.owning():
+        with scratch.owning(), U.ascii_hosts(config.ascii_hosts):
             return _run(sites, fetch_log, config, scratch)
     except BaseException:
         scratch.close()
