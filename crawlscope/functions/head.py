@@ -97,3 +97,31 @@ def meta(shown: Column, name: str) -> Column:
 def canonical(shown: Column) -> Column:
     """Target of the first canonical link, whatever the case of its relation."""
     return T.collapse(decode_all(_value(_first_tag(shown, "link", "rel", "canonical", True), "href")))
+
+
+def alternates(shown: Column) -> Column:
+    """(lang, href) of the alternate links that state a language, as they stand there; lang in lower case."""
+    tags = F.regexp_extract_all(shown, F.lit(rf"(?i)<link(?=[\s/]){_INSIDE}>"), F.lit(0))
+    told = F.transform(tags, lambda t: F.struct(F.lower(_value(t, "rel")).alias("rel"), F.lower(T.trim(_value(t, "hreflang"))).alias("lang"), T.trim(decode_all(_value(t, "href"))).alias("href")))
+    own = F.filter(told, lambda t: t["rel"].rlike(r"(^|\s)alternate(\s|$)") & (t["lang"] != "") & (t["href"] != ""))
+    return F.transform(own, lambda t: F.struct(t["lang"].alias("lang"), t["href"].alias("href")))
+
+
+def open_graph(shown: Column) -> Column:
+    """Names of the OpenGraph properties that have a content, distinct and in order."""
+    tags = F.regexp_extract_all(shown, F.lit(rf"(?i)<meta(?=[\s/]){_INSIDE}>"), F.lit(0))
+    filled = F.filter(tags, lambda t: F.lower(_value(t, "property")).startswith("og:") & (T.trim(_value(t, "content")) != ""))
+    return F.array_sort(F.array_distinct(F.transform(filled, lambda t: F.lower(_value(t, "property")))))
+
+
+def schema_types(html: Column) -> Column:
+    """Types that the page's JSON-LD states for its top nodes, lists and graphs, distinct and in order; no JSON gives none."""
+    scripts = F.regexp_extract_all(
+        F.regexp_replace(html, r"(?s)<!--.*?(?:--!?>|\z)", ""), F.lit(r"(?is)<script\b[^>]*\btype\s*=\s*[\"']?application/ld\+json\b[^>]*>(.*?)</script"), F.lit(1)
+    )
+    none = F.array().cast("array<variant>")
+    nodes = lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))
+    every = F.flatten(F.transform(scripts, lambda s: F.coalesce(nodes(F.try_parse_json(s)), none)))
+    inner = F.flatten(F.transform(every, lambda v: F.coalesce(F.try_variant_get(v, "$['@graph']", "array<variant>"), none)))
+    named = lambda v: F.coalesce(F.try_variant_get(v, "$['@type']", "array<string>"), F.array(F.try_variant_get(v, "$['@type']", "string")))
+    return F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform(F.concat(every, inner), named)), lambda t: t.isNotNull())))

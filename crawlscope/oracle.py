@@ -312,6 +312,14 @@ SELECT u.site, u.url, coalesce(greatest(best, CASE WHEN p LIKE '%5' THEN 8 END,
     "g_collated_ties": f"{MIXED} SELECT site, url, canonical FROM (SELECT *, concat('https://', site, '/', k % 17) AS canonical FROM mixed) QUALIFY row_number() OVER (PARTITION BY canonical ORDER BY url COLLATE en, url) = 1",
     "f_head_metadata": f"""WITH {oracle_ctes()} SELECT page_id, concat('Page ', page_id, ' ', chr(233), chr(8211), chr(128512), ' <b> &amp; ', chr(169), ' 1 &nosuch; ', chr(8211), CASE WHEN page_id % 3 = 0 THEN ' <!-- kept -->' ELSE '' END) AS title,
   CASE WHEN page_id % 5 = 0 THEN 'word' ELSE concat('It', chr(8217), 's > ', page_id) END AS description, concat('/a?x=1&y=', page_id) AS canonical, page_id % 6 = 0 AS noindex FROM crawl""",
+    "r_head_extras": """SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 0 WHEN page_id % 5 = 0 THEN 2 ELSE 3 END::INT AS n_alternates, CASE WHEN page_id % 2 = 0 THEN 'og:title,og:url' ELSE '' END AS open_graph,
+  CASE page_id % 4 WHEN 0 THEN 'Article' WHEN 1 THEN 'Article,Person,Thing' WHEN 2 THEN 'WebPage' ELSE '' END AS schema_types FROM pages""",
+    "r_alternate_problems": """WITH story AS (SELECT page_id AS p, page_id // 3 AS s, (page_id % 3)::INT AS v FROM pages),
+  links AS (SELECT p, s, v, unnest(CASE WHEN p % 7 = 0 THEN [] WHEN p % 5 = 0 THEN [0, 1] ELSE [0, 1, 2] END) AS w FROM story),
+  told AS (SELECT l.*, EXISTS (SELECT 1 FROM story t WHERE t.s = l.s AND t.v = l.w) AS known, EXISTS (SELECT 1 FROM links b WHERE b.s = l.s AND b.v = l.w AND b.w = l.v) AS returned FROM links l)
+  SELECT DISTINCT concat('https://stories.example/', s, '/', ['en', 'fr', 'pt-br'][v + 1]) AS url, CASE WHEN w = 1 AND p % 11 = 0 THEN 'french' ELSE ['en', 'fr', 'pt-br'][w + 1] END AS lang,
+  concat('https://stories.example/', s, '/', ['en', 'fr', 'pt-br'][w + 1]) AS target, CASE WHEN w = 1 AND p % 11 = 0 THEN 'bad code' WHEN NOT known THEN 'not audited' ELSE 'no return' END AS problem
+  FROM told WHERE (w = 1 AND p % 11 = 0) OR (w <> v AND (NOT known OR NOT returned))""",
     "d_preview_files": f"{BUDGET} SELECT site, sitemap_url, depth, true AS loaded, room FROM visited",
     "d_preview_entries": f"{BUDGET} SELECT site, url, lastmod FROM (SELECT w.*, v.room, row_number() OVER (PARTITION BY w.site, w.place ORDER BY k DESC, url) AS n FROM won w JOIN visited v ON v.site = w.site AND v.place = w.place) WHERE n <= room",
     "d_entries_first_wins": _with(ENTRIES, "SELECT * FROM mapped"),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import urls as U
-from .operators import checks, crosspage, redirects, robots, scores, sitemaps
+from .operators import checks, crosspage, languages, redirects, robots, scores, sitemaps
 from .operators.site_issues import site_issues
 from .plans import reports
 from .plans.audit import PREVIEW, AuditConfig, run_audit
@@ -217,6 +217,17 @@ def f_head_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.extract_metadata(derived.hidden_heads(spark, sf_dir), "html").select("page_id", "title", "description", "canonical", "noindex")
 
 
+def r_head_extras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OpenGraph properties, schema.org types and number of language links of each page."""
+    told = languages.head_extras(derived.language_versions(spark, sf_dir))
+    return told.select("page_id", F.size("alternates").alias("n_alternates"), F.array_join("open_graph", ",").alias("open_graph"), F.array_join("schema_types", ",").alias("schema_types"))
+
+
+def r_alternate_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language links that have no return link, a code that is none, or a target that isn't audited."""
+    return languages.alternate_problems(languages.head_extras(derived.language_versions(spark, sf_dir)))
+
+
 def d_inventory_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     stock = derived.inventory(spark, sf_dir)
     kept = sitemaps.cap_pages(stock.select("site", "url").distinct(), 50)
@@ -452,6 +463,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "d_page_cap_collated": d_page_cap_collated,
     "g_collated_ties": g_collated_ties,
     "f_head_metadata": f_head_metadata,
+    "r_head_extras": r_head_extras,
+    "r_alternate_problems": r_alternate_problems,
     "d_preview_files": d_preview_files,
     "d_preview_entries": d_preview_entries,
     "d_entries_first_wins": _stage(d_entries_first_wins),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CRAWL = """
 SELECT page_id, CASE WHEN page_id % 13 = 6 THEN concat(regexp_extract(url,'^(https?://[^/?#]+)',1),'/p',CAST(page_id AS string)) ELSE regexp_extract(url,'^([^#]*)',1) END AS url, regexp_extract(url,'^https?://([^/?#]+)',1) AS site,
@@ -196,3 +197,19 @@ def oracle_ctes() -> str:
             ("site_pages", "SELECT url, status, location, body FROM once_log WHERE url NOT IN (SELECT url FROM long_chains) UNION ALL SELECT * FROM long_chains"),
         )
     )
+
+
+def language_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, url, body) of the pages as three language versions of each story.
+
+    A head links to all versions, some only to two, some by a code that is none; a seventh states none.
+    """
+    p = F.col("page_id")
+    story, langs = F.floor(p / 3).cast("long"), F.array(F.lit("en"), F.lit("fr"), F.lit("pt-BR"))
+    url = lambda lang: F.concat(F.lit("https://stories.example/"), story.cast("string"), F.lit("/"), F.lower(lang))
+    link = lambda lang: F.concat(F.lit("<link hreflang='"), F.when((p % 11 == 0) & (lang == "fr"), "french").otherwise(lang), F.lit("' rel=alternate href=\""), url(lang), F.lit("/\">"))
+    links = F.when(p % 7 == 0, "").otherwise(F.array_join(F.transform(F.slice(langs, F.lit(1), F.when(p % 5 == 0, 2).otherwise(3)), link), ""))
+    types = F.when(p % 4 == 0, '{"@type": "Article"}').when(p % 4 == 1, '[{"@type": ["Thing", "Person"]}, {"@type": "Article"}]').when(p % 4 == 2, '{"@graph": [{"@type": "WebPage"}, 3]}').otherwise("{broken")
+    graph = F.when(p % 2 == 0, '<meta property="og:title" content="t"><meta content="u" property="OG:url">').otherwise('<meta property="og:title" content=" ">')
+    body = F.concat(F.lit("<html><head><!-- <link rel=alternate hreflang=xx href=/x> -->"), links, graph, F.lit('<script type="application/ld+json">'), types, F.lit("</script></head>"))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", url(F.get(langs, (p % 3).cast("int"))).alias("url"), body.alias("body"))
