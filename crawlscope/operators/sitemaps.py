@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
@@ -230,7 +231,7 @@ def expand_sitemaps(seeds: DataFrame, docs: DataFrame, profile: str = "full", ma
     Children are those of a parsed index (of any host in the full profile), then recovered same-host
     locs that look like sitemaps. A file is loaded if it was fetched, in the full profile with 2xx.
     Each level is written, narrow rows only, which cuts the lineage; ``max_depth`` guards against
-    endless generated trees.
+    endless generated trees, and a warning says how many deeper files were left.
 
     ``max_files`` files of a site are visited at most, in order. With ``max_urls`` a site ends with
     the file that brings it to that many different page URLs: new URLs are counted per file, their
@@ -303,6 +304,11 @@ def expand_sitemaps(seeds: DataFrame, docs: DataFrame, profile: str = "full", ma
             .where(U.is_sitemap_url(F.col("f.u")) & (~F.col("f.own") | U.same_host(F.col("f.u"), _site_url())))
             .select("site", U.norm_url(F.col("f.u")).alias("sitemap_url"), F.concat("bfs_pos", F.array("i")).alias("bfs_pos"))
         )
+    else:
+        left = front.select("site", "sitemap_url").distinct()
+        deeper = (left if seen is None else left.join(seen, ["site", "sitemap_url"], "left_anti")).count()
+        if deeper:
+            warnings.warn(f"{deeper} sitemap files lie deeper than {max_depth} levels and were not visited", stacklevel=2)
     cols = ["site", "sitemap_url", "depth", "bfs_pos", "loaded", "room"]
     if not levels:
         return seeds.sparkSession.createDataFrame([], "site string, sitemap_url string, depth int, bfs_pos array<int>, loaded boolean, room long")

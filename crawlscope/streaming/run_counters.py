@@ -11,6 +11,10 @@ def run_counters(run_log: DataFrame) -> DataFrame:
     return run_log.agg(F.count("*").alias("runs"), F.coalesce(F.sum("discovered_url_count"), F.lit(0)).cast("long").alias("pages"))
 
 
-def stream_run_counters(run_log: DataFrame, query_name: str, checkpoint: str):
-    """Start a query that keeps the counters of a streaming ``run_log`` in a memory table."""
-    return run_counters(run_log).writeStream.outputMode("complete").format("memory").queryName(query_name).option("checkpointLocation", checkpoint).start()
+def stream_run_counters(run_log: DataFrame, path: str, checkpoint: str):
+    """Start a query that keeps the counters of a streaming ``run_log`` as a table at ``path``, one row, replaced as the log grows."""
+
+    def replace(counters: DataFrame, _: int) -> None:
+        counters.write.mode("overwrite").parquet(path)
+
+    return run_counters(run_log).writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", checkpoint).start()

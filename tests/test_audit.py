@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import glob
 import json
+import warnings
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from crawlscope.plans.audit import PREVIEW, AuditConfig, run_audit
 from crawlscope.scratch import scratch_root
 from crawlscope.sources import sinks
 from crawlscope.sources.fetch_log import SCHEMA, fetch_log_of
-from crawlscope.streaming.run_counters import run_counters
+from crawlscope.streaming.run_counters import run_counters, stream_run_counters
 
 DESC = "A sixty character description for the page under test here."
 
@@ -390,3 +391,29 @@ def test_no_pages_and_counters(spark):
     issues = spark.createDataFrame([], "site string, url string, severity string")
     assert tuple(scores.site_scores(sites, pages, issues, issues.drop("url")).first())[1:] == (70, 100, 90)
     assert tuple(run_counters(spark.createDataFrame([(3,), (None,)], "discovered_url_count long")).first()) == (2, 3)
+
+
+def test_streamed_counters(spark, tmp_path):
+    log, out = str(tmp_path / "log"), str(tmp_path / "out")
+    schema = "discovered_url_count long"
+    spark.createDataFrame([(3,), (None,)], schema).write.parquet(log)
+    query = stream_run_counters(spark.readStream.schema(schema).parquet(log), out, str(tmp_path / "checkpoint"))
+    try:
+        query.processAllAvailable()
+        assert [tuple(r) for r in spark.read.parquet(out).collect()] == [(2, 3)]
+        spark.createDataFrame([(4,)], schema).write.mode("append").parquet(log)
+        query.processAllAvailable()
+        assert [tuple(r) for r in spark.read.parquet(out).collect()] == [(3, 7)]
+    finally:
+        query.stop()
+
+
+def test_depth_limit_is_told(spark):
+    index = lambda child: f"<sitemapindex><sitemap><loc>https://e.com/{child}.xml</loc></sitemap></sitemapindex>"
+    docs = spark.createDataFrame([(f"https://e.com/s{i}.xml", True, None, index(f"s{i + 1}")) for i in range(3)], "url string, ok boolean, error string, body string")
+    seeds = spark.createDataFrame([("https://e.com", "https://e.com/s0.xml", 0)], "site string, sitemap_url string, pos int")
+    with pytest.warns(UserWarning, match="^1 sitemap files lie deeper than 2 levels"):
+        assert sitemaps.expand_sitemaps(seeds, docs, max_depth=2).count() == 2
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        assert sitemaps.expand_sitemaps(seeds, docs, max_depth=5).count() == 4
