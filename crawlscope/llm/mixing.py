@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -52,7 +53,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, roun
     values that have tokens, and a value without a target gets factor 0. Each round rakes to one
     marginal after another and is written, which cuts the lineage; raking ends when no marginal is
     off by more than ``tolerance`` of its target, or after ``rounds`` (as where zero cells make the
-    targets contradict each other; the last marginal then holds exactly). All is done on cells, so
+    targets contradict each other; the last marginal then holds exactly, and a warning tells how far
+    the others are off). All is done on cells, so
     the work of a round does not depend on the number of documents.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 0
@@ -78,8 +80,12 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, roun
                 for dim in DIMS[:-1]
             ],
         )
-        if (off.agg(F.max("off")).first()[0] or 0.0) <= tolerance:
+        residual = off.agg(F.max("off")).first()[0] or 0.0
+        if residual <= tolerance:
             break
+    else:
+        if rounds:
+            warnings.warn(f"raking is off by {residual:.2g} of a target after {rounds} rounds", stacklevel=2)
     return out
 
 

@@ -14,13 +14,14 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from crawlscope.llm import queries as llm_queries
 from crawlscope.llm.ann import nearest
 from crawlscope.llm.components import connected_components
 from crawlscope.llm.common import Scratch
 from crawlscope.llm.exact_dedup import drop_copies, exact_dedup
 from crawlscope.llm.langid import drop_unidentified, identify
 from crawlscope.llm.minhash import drop_near_duplicates, near_duplicates
-from crawlscope.llm.mixing import MISSING, mix, rake
+from crawlscope.llm.mixing import MISSING, mix, rake, sample_to_targets
 from crawlscope.llm.packing import pack_texts
 from crawlscope.llm.url_filter import judge_pages
 
@@ -208,6 +209,23 @@ def test_raking(spark):
     assert np.allclose([got[c[:3]] for c in cells], w, rtol=1e-3)
 
 
+def test_raking_of_contradicting_targets(spark):
+    """Where empty cells rule the targets out, a warning tells so and the last marginal holds."""
+    frame = spark.createDataFrame([("a", "en", "x", 50), ("b", "de", "y", 50)], "source string, lang string, topic string, tokens long")
+    goals = {"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.2, "de": 0.8}, "topic": {"x": 0.5, "y": 0.5}}
+    targets = {k: spark.createDataFrame(list(v.items()), "value string, share double") for k, v in goals.items()}
+    with pytest.warns(UserWarning, match="raking is off by .* after 2 rounds"):
+        out = {r.topic: r.tokens * r.factor for r in rake(frame, targets, Scratch(spark, "t"), rounds=2).collect()}
+    assert np.allclose([out["x"], out["y"]], [50, 50])
+
+
+def test_mixing_of_a_very_long_text(spark):
+    rows = [(1, "word " * 400_000, "en", "s"), (2, "word", "en", "s"), (3, None, "en", "s")]
+    out = {r.doc_id: r for r in sample_to_targets(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    # One cell, so every row has probability 1, and texts come through whole.
+    assert sorted(out) == [1, 2, 3] and len(out[1].text) == 2_000_000 and out[3].text is None
+
+
 def test_mixing_rows(spark):
     rows = [(i, "some words " * (i % 7), "en" if i % 3 else None, f"s{i % 4}", "c", "r") for i in range(400)] + [(None, "a b", "en", None, "c", "r"), (5, "dup", "en", "s1", "c", "r")]
     out = mix(spark.createDataFrame(rows, DOCS)).collect()
@@ -240,6 +258,33 @@ def test_nearest(spark):
     assert hit >= 0.9 * 20 * len(got)
 
 
+def test_nearest_on_embeddings(spark, sf_dir):
+    """Recall of the registered query against brute force on the given vectors, and scores in exact order."""
+    got = defaultdict(list)
+    for r in llm_queries.QUERIES["op6_nearest_neighbours"](spark, sf_dir).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect() if r.embedding is not None]
+    rows = [(i, v) for i, v in rows if all(c is not None and np.isfinite(c) for c in v) and any(v)]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], dtype=np.float64)
+    assert set(got) == {int(i) for i in ids if i % 20 == 0}
+    hit = total = 0
+    for q, found in got.items():
+        s = x @ x[ids == q][0]
+        order = [int(ids[i]) for i in np.lexsort((ids, -s)) if ids[i] != q][:20]
+        hit, total = hit + len(set(order) & set(found)), total + len(order)
+    assert hit >= 0.9 * total
+
+
+def test_nearest_repeats_and_clashing_columns(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 1.0]), (1, [3.0, 0.0]), (2, [2.0, 0.0])]
+    plain = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    clashing = plain.select("*", *[F.lit("x").alias(c) for c in ("vector", "square", "rank", "score", "query_id", "list", "n")])
+    out = nearest(clashing).collect()
+    assert sorted(map(tuple, out)) == sorted(map(tuple, nearest(plain).collect()))
+    # A repeated id counts once, with the best score of its rows.
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in sorted(out, key=lambda r: r["rank"])] == [(0, 1, 1, 3.0), (0, 2, 2, 2.0)]
+
+
 def test_nearest_few(spark):
     schema = "vec_id long, embedding array<double>"
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [1.0, 1.0])], schema)

@@ -90,6 +90,13 @@ def test_assigned_values_are_found(spark):
     assert not spans[1]
 
 
+def test_thousands_of_spans_in_one_text(spark):
+    text = "".join(f"token={i:012d}abc AKIA{i:020d} {i:040x}\n" for i in range(3000))
+    out = scan_secrets(spark.createDataFrame([(1, text, "s", "r", "k")], DOCS)).collect()
+    assert [(r.n_assign, r.n_access, r.n_hex) for r in out] == [(3000, 3000, 3000)]
+    assert len(out[0].spans.split(",")) >= 9000
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], DOCS)
     assert scan_secrets(empty).count() == 0
