@@ -32,8 +32,8 @@ _ASCII: ContextVar[bool] = ContextVar("ascii_hosts", default=False)
 def ascii_hosts(on: bool = True) -> Iterator[None]:
     """URL columns made inside have internationalised hosts in their ASCII form, so that both spellings of a URL are one.
 
-    The conversion is a large expression in every URL column, whose planning makes an audit of a
-    small table half as slow again, so it is left out where no such hosts are expected.
+    The conversion is a large expression in every URL column, which made audits of a small table
+    slower, so it is left out where no such hosts are expected.
     """
     token = _ASCII.set(on)
     try:
