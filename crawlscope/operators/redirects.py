@@ -12,11 +12,14 @@ HOP = "array<struct<url:string,status:int,location:string>>"
 
 
 def redirect_hops(fetch_log: DataFrame) -> DataFrame:
-    """(url, status, next) of the redirects: 3xx with a Location, resolved against the URL."""
+    """(url, status, next) of the redirects: 3xx with a Location, resolved against the URL.
+
+    Of several redirects of one URL the smallest Location counts, then the smallest status.
+    """
     location = F.coalesce("location", F.lit(""))
-    return fetch_log.where(F.col("status").between(300, 399) & (location != "") & F.col("error").isNull()).select(
-        "url", "status", F.coalesce(U.resolve_url(F.col("location"), F.col("url")), F.col("location")).alias("next")
-    )
+    stated = fetch_log.where(F.col("status").between(300, 399) & (location != "") & F.col("error").isNull())
+    hop = stated.groupBy("url").agg(F.min(F.struct("location", "status")).alias("hop")).select("url", "hop.*")
+    return hop.select("url", "status", F.coalesce(U.resolve_url(F.col("location"), F.col("url")), F.col("location")).alias("next"))
 
 
 def redirect_paths(hops: DataFrame, max_hops: int, scratch: Scratch) -> DataFrame:
@@ -45,13 +48,15 @@ def resolve_redirects(start_urls: DataFrame, fetch_log: DataFrame, max_hops: int
 
     Hops are followed one after another; a hop to a URL visited before the current one is a loop and
     ends the chain with the hop's status, and more than ``max_hops`` hops end it with status 310. A
-    chain that reaches a URL that isn't in the log or failed has nulls throughout and no hops.
+    chain that reaches a URL that isn't in the log or failed has nulls throughout and no hops. Where the
+    log has a URL more than once, a hop is :func:`redirect_hops`' and an end the row of the largest
+    status, then of the largest final URL, content type, body and error.
 
     The chains of all redirects come from :func:`redirect_paths`; a start takes its own, and what ends
     it is decided within the row. Bodies are joined once, at the end.
     """
     scratch = Scratch(start_urls.sparkSession, "redirects")
-    paths = redirect_paths(redirect_hops(fetch_log).dropDuplicates(["url"]), max_hops, scratch)
+    paths = redirect_paths(redirect_hops(fetch_log), max_hops, scratch)
     none = F.array().cast(HOP)
     starts = start_urls.select("start_url").where("start_url IS NOT NULL").distinct()
     walks = starts.join(paths.withColumnRenamed("url", "start_url"), "start_url", "left").withColumn("chain", F.coalesce("chain", none))
@@ -61,7 +66,8 @@ def resolve_redirects(start_urls: DataFrame, fetch_log: DataFrame, max_hops: int
     walks = walks.withColumn("chain", F.when(F.col("loop_at").isNotNull(), F.slice("chain", F.lit(1), F.col("loop_at"))).otherwise(F.col("chain")))
     hop = F.try_element_at("chain", F.lit(-1))
     walked = walks.select("start_url", F.coalesce(hop["location"], "start_url").alias("cur"), "chain", "kind", F.when(F.col("kind") == "limit", 310).otherwise(hop["status"]).alias("last_status"))
-    last = fetch_log.select(F.col("url").alias("cur"), "status", "final_url", "body", "content_type", "error").dropDuplicates(["cur"])
+    row = F.max(F.struct("status", "final_url", "content_type", "body", "error"))
+    last = fetch_log.groupBy(F.col("url").alias("cur")).agg(row.alias("row")).select("cur", "row.*")
     out = walked.join(last, "cur", "left")
     at_end = F.col("kind") == "end"
     broken = at_end & (F.col("status").isNull() | F.col("error").isNotNull())
