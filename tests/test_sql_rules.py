@@ -14,7 +14,7 @@ from crawlscope.sources.fetch_log import fetch_log_of
 
 @pytest.fixture(scope="module")
 def pages_dir(spark, tmp_path_factory):
-    """URLs that several pages have."""
+    """Titles that end within an entity, hidden and odd markup, and URLs that several pages have."""
     path = str(tmp_path_factory.mktemp("rules"))
     titles = ["cut &&&amp", "&amp&amp;&lt;b&gt; kept &ampx", "&copy 1 &#150;&#x1F600; &nosuch; &#;", "<b>&amp;lt;</b>", " &nbsp; "]
     html = [f"<html><head><!-- <title>no</title> --><script>'<title>no</title>'</script><title a='>'>{t}</title></head>" for t in titles]
@@ -23,7 +23,7 @@ def pages_dir(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["e_redirect_chain"])
+@pytest.mark.parametrize("name", ["f_metadata", "e_redirect_chain"])
 def test_query_and_sql(spark, pages_dir, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW pages AS SELECT * FROM '{pages_dir}/pages.parquet/*.parquet'")
