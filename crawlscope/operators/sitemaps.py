@@ -80,7 +80,7 @@ def sitemap_notes(files: DataFrame, docs: DataFrame) -> DataFrame:
     Kinds: 0 looks blocked, 1 the parser gave up, 2 nothing of the host that is new was found, 3 not
     fetched. A child is new if no file visited up to then is that child.
     """
-    met = files.join(docs.select(F.col("url").alias("sitemap_url"), "status", "body", "error"), "sitemap_url", "left")
+    met = files.join(docs.select(F.col("url").alias("sitemap_url"), "status", "body", "error").hint("merge"), "sitemap_url", "left")
     body = F.col("body")
     blocked = F.col("status").isin(403, 429) | F.substring(body, 1, 1200).rlike(BLOCKED)
     left = F.regexp_extract(F.regexp_replace(body, MARKUP, ""), r"(?s)<.{0,3}", 0)
@@ -168,6 +168,9 @@ def recovered_locs(body: Column) -> Column:
 
 
 #: A URL in a text, wherever it begins, within another one too; and a lastmod element likewise.
+_LASTMOD = re.compile(LASTMOD[4:], re.A | re.I)
+#: So many locs of a file are looked up without a list of its URLs.
+FEW = 8
 _URLS, _LASTMODS = re.compile(r'(?=(https?://[^\s<>"]*))', re.A), re.compile(f"(?=({LASTMOD[4:]}))", re.A | re.I)
 
 
@@ -175,8 +178,16 @@ def lastmods_near(body: str, locs: list[str]) -> list[str | None]:
     """For each of ``locs`` the first ``<lastmod>`` around its first place in ``body``; None if it stands nowhere.
 
     One pass lists the URLs with their places, another the lastmods. A loc stands first where the
-    first URL stands that begins with it, and those are neighbours in alphabetical order.
+    first URL stands that begins with it, and those are neighbours in alphabetical order. A few locs
+    are looked up one by one instead.
     """
+    if len(locs) <= FEW:
+        out = []
+        for loc in locs:
+            at = body.find(loc)
+            near = _LASTMOD.search(body, max(at - NEAR[0], 0), at + NEAR[1]) if at >= 0 else None
+            out.append(near and near[1])
+        return out
     urls = sorted((m[1], m.start()) for m in _URLS.finditer(body))
     places = np.array([at for _, at in urls], dtype=np.int64)
     marks = [(m.start(), m.end(1), m[2]) for m in _LASTMODS.finditer(body)]
@@ -230,7 +241,7 @@ def expand_sitemaps(seeds: DataFrame, docs: DataFrame, profile: str = "full", ma
     first place in breadth-first order; ``bfs_pos`` compares as that order does within a depth.
     Children are those of a parsed index (of any host in the full profile), then recovered same-host
     locs that look like sitemaps. A file is loaded if it was fetched, in the full profile with 2xx.
-    Each level is written, narrow rows only, which cuts the lineage; ``max_depth`` guards against
+    Each level is written, without bodies, which cuts the lineage; ``max_depth`` guards against
     endless generated trees, and a warning says how many deeper files were left.
 
     ``max_files`` files of a site are visited at most, in order. With ``max_urls`` a site ends with
@@ -258,8 +269,9 @@ def expand_sitemaps(seeds: DataFrame, docs: DataFrame, profile: str = "full", ma
         if max_files is not None:
             # The bare rank first: Spark limits it before the shuffle.
             front = front.withColumn("n", F.row_number().over(in_order)).where(F.col("n") <= max_files).where(F.col("n") + F.col("files") <= max_files).drop("n")
+        met = front.join(docs.select(F.col("url").alias("sitemap_url"), "ok", "error", "body").hint("merge"), "sitemap_url", "left")
         level = scratch.write(
-            structured(front.join(docs.select(F.col("url").alias("sitemap_url"), "ok", "error", "body"), "sitemap_url", "left")).select(
+            structured(met.withColumn("locs", recovered_locs(F.col("body")))).select(
                 "site",
                 "sitemap_url",
                 F.lit(depth).alias("depth"),
@@ -271,9 +283,10 @@ def expand_sitemaps(seeds: DataFrame, docs: DataFrame, profile: str = "full", ma
                     good,
                     F.concat(
                         F.transform(F.coalesce("children", F.array().cast("array<string>")), lambda x: F.struct(x.alias("u"), F.lit(profile == "preview").alias("own"))),
-                        F.transform(recovered_locs(F.col("body")), lambda x: F.struct(x.alias("u"), F.lit(True).alias("own"))),
+                        F.transform("locs", lambda x: F.struct(x.alias("u"), F.lit(True).alias("own"))),
                     ),
                 ).alias("found"),
+                *([] if max_urls is None else ["items", "locs"]),
             )
         )
         if level.isEmpty():
@@ -281,14 +294,14 @@ def expand_sitemaps(seeds: DataFrame, docs: DataFrame, profile: str = "full", ma
         if max_urls is None:
             level = level.withColumn("room", F.lit(None).cast("long"))
         else:
-            firsts = _candidates(level, docs, profile).groupBy("site", "url").agg(F.min("bfs_pos").alias("bfs_pos"))
+            firsts = _candidates(level.where("loaded"), profile).groupBy("site", "url").agg(F.min("bfs_pos").alias("bfs_pos"))
             if known is not None:
                 firsts = firsts.join(known, ["site", "url"], "left_anti")
             firsts = scratch.write(firsts)
             fresh = firsts.groupBy("site", "bfs_pos").agg(F.count("*").alias("fresh"))
             level = level.join(fresh, ["site", "bfs_pos"], "left").na.fill(0, ["fresh"])
             before = F.col("urls") + F.coalesce(F.sum("fresh").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-            level = scratch.write(level.withColumn("room", max_urls - before).where("room > 0"))
+            level = scratch.write(level.drop("items", "locs").withColumn("room", max_urls - before).where("room > 0"))
             urls = firsts.select("site", "url")
             known = urls if known is None else known.unionByName(urls)
         levels.append(level)
@@ -319,31 +332,52 @@ def _site_url() -> Column:
     return F.when(U.is_url(F.col("site")), F.col("site")).otherwise(F.concat(F.lit("https://"), "site"))
 
 
-def _candidates(files: DataFrame, docs: DataFrame, profile: str, lastmods: bool = False) -> DataFrame:
-    """Every listing of a page by a loaded file, in the order of ``depth``, ``bfs_pos``, ``recovered`` and ``i``.
+def _read(files: DataFrame, docs: DataFrame) -> DataFrame:
+    """``files(sitemap_url, ...)`` with the body, children, items and recovered locs of their documents.
 
-    (site, url, depth, bfs_pos, recovered, i, lead, lastmod, changefreq, priority): a URL is normalised,
-    of the site's host, and no sitemap. ``lead`` marks a file's first recovered loc of the host. The
-    lastmods of recovered locs are looked for only if asked.
+    Bodies pack well, so a small table of them may be large in memory: it isn't to be broadcast.
+    """
+    met = files.join(docs.select(F.col("url").alias("sitemap_url"), "body").hint("merge"), "sitemap_url")
+    return structured(met).withColumn("locs", recovered_locs(F.col("body")))
+
+
+def _candidates(read: DataFrame, profile: str, lastmods: bool = False) -> DataFrame:
+    """Listings of pages by loaded files, in the order of ``depth``, ``bfs_pos``, ``recovered`` and ``i``.
+
+    (site, url, depth, bfs_pos, recovered, i, lead, lastmod, changefreq, priority) of files that are
+    ``read``: a URL is normalised, of the site's host, and no sitemap. ``lead`` marks a file's first
+    recovered loc of the host. Other recovered locs that are items of their file too are left out, for
+    the item comes first. The lastmods of recovered locs are looked for only if asked.
     """
-    loaded = files.where("loaded").join(docs.select(F.col("url").alias("sitemap_url"), "body"), "sitemap_url")
     none = F.lit(None).cast("string")
     place = ["site", "depth", "bfs_pos"]
-    parsed = structured(loaded).select(*place, F.lit(0).alias("recovered"), F.posexplode("items").alias("i", "x")).select(
-        *place, "recovered", "i", U.norm_url(F.col("x.loc")).alias("url"), F.lit(False).alias("lead"), T.empty_to_null(F.col("x.lastmod")).alias("lastmod"), "x.changefreq", "x.priority"
-    )
-    with_locs = loaded.select(*place, U.url_host(_site_url()).alias("own_host"), "body", recovered_locs(F.col("body")).alias("locs"))
-    with_locs = with_lastmods(with_locs) if lastmods else with_locs.select(*place, "own_host", "locs", F.transform("locs", lambda u: none).alias("lastmods"))
-    ours = lambda u: U.same_host(u, _site_url())
     # Of a URL in normal form the host is what stands behind scheme and login.
     host = lambda u: F.regexp_extract(u, r"\A\w+://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)
-    first = F.get(F.filter("locs", lambda u: host(u) == F.col("own_host")), F.lit(0))
-    found = (
-        with_locs.select(*place, F.lit(1).alias("recovered"), first.alias("first"), F.posexplode(F.arrays_zip("locs", "lastmods")).alias("i", "x"))
-        .select(*place, "recovered", "i", F.col("x.locs").alias("url"), (F.col("x.locs") == F.col("first")).alias("lead"), F.col("x.lastmods").alias("lastmod"), none.alias("changefreq"), none.alias("priority"))
-        .where(U.is_page_url(F.col("url")) if profile == "preview" else F.lit(True))
+    held = read.withColumns(
+        {
+            "own_host": U.url_host(_site_url()),
+            "items": F.coalesce("items", F.array().cast("array<struct<loc:string,lastmod:string,changefreq:string,priority:string>>")),
+            "named": F.transform(F.coalesce("items.loc", F.array().cast("array<string>")), U.norm_url),
+        }
     )
-    return parsed.unionByName(found).where(F.col("url").isNotNull() & ours(F.col("url")) & ~U.is_sitemap_url(F.col("url")))
+    # Bound by let, for the optimizer may put an expression where its column stands within a lambda, and then each element costs it.
+    held = held.withColumn("first", U.let(F.col("own_host"), lambda own: F.get(F.filter("locs", lambda u: host(u) == own), F.lit(0))))
+    # The first of the host stays in front; what stands before it is of other hosts.
+    rest = F.array_compact(F.array_union(F.array("first"), F.array_except("locs", "named")))
+    held = held.select(*place, "items", "named", "first", *(["body"] if lastmods else []), rest.alias("locs"))
+    held = with_lastmods(held) if lastmods else held.withColumn("lastmods", F.array().cast("array<string>"))
+
+    def row(recovered: int, i: Column, url: Column, lead: Column, *told: Column) -> Column:
+        names = ("lastmod", "changefreq", "priority")
+        return F.struct(F.lit(recovered).alias("recovered"), i.alias("i"), url.alias("url"), lead.alias("lead"), *[t.alias(n) for t, n in zip(told, names, strict=True)])
+
+    items = U.let(F.col("named"), lambda n: F.transform("items", lambda x, i: row(0, i, F.get(n, i), F.lit(False), T.empty_to_null(x["lastmod"]), x["changefreq"], x["priority"])))
+    found = U.let(F.col("first"), lambda f: F.transform("locs", lambda u, i: row(1, i, u, u == f, F.get("lastmods", i), none, none)))
+    # The outer form gets no filter on its input's size, which would make all rows a second time; its null rows go below.
+    listed = held.select(*place, F.concat(items, found).alias("rows")).select(*place, F.inline_outer("rows"))
+    if profile == "preview":
+        listed = listed.where((F.col("recovered") == 0) | U.is_page_url(F.col("url")))
+    return listed.where(F.col("url").isNotNull() & U.same_host(F.col("url"), _site_url()) & ~U.is_sitemap_url(F.col("url")))
 
 
 def sitemap_entries(files: DataFrame, docs: DataFrame, profile: str = "full") -> DataFrame:
@@ -359,7 +393,7 @@ def sitemap_entries(files: DataFrame, docs: DataFrame, profile: str = "full") ->
     at behind it. Places are counted within a file, whose length the protocol bounds.
     """
     place, listed = F.struct("depth", "bfs_pos", "recovered", "i"), ("lastmod", "changefreq", "priority")
-    every = _candidates(files, docs, profile, lastmods=True).withColumns({"place": place, "entry": F.struct(*listed)})
+    every = _candidates(_read(files.where("loaded"), docs), profile, lastmods=True).withColumns({"place": place, "entry": F.struct(*listed)})
     won = every.groupBy("site", "url").agg(F.min_by(F.struct("place", "entry"), "place").alias("w"), F.min_by(F.struct("place", "entry"), F.when(F.col("lead"), F.col("place"))).alias("l"))
     won = won.select("site", "url", "w.place.depth", "w.place.bfs_pos", F.col("w.place").alias("place"), F.col("w.entry").alias("entry"), F.col("l").alias("l"))
     bound = files.where("room IS NOT NULL").select("site", "depth", "bfs_pos", "room")

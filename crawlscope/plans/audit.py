@@ -95,7 +95,7 @@ def _run(sites: DataFrame, fetch_log: DataFrame, config: AuditConfig, scratch: S
     texts = (
         bases.select("base").distinct()
         .withColumn("url", F.concat(U.origin(F.col("base")), F.lit("/robots.txt")))
-        .join(docs.where(answered), "url")
+        .join(docs.where(answered).hint("merge"), "url")
         .select(F.col("base").alias("site"), "body")
     )
     robots_txt = scratch.write(texts)
