@@ -100,3 +100,42 @@ def test_cleaned_texts_of_repeated_rows(spark):
     rows = [(1, "one line\nother line", "a", "b")] * 2 + [(2, "third line\nfourth line", "a", "b"), (2, "fifth line\nthird line", "a", "b"), (None, "one line", "a", "b")]
     out = [(r.doc_id, r.text) for r in dedup_lines(spark.createDataFrame(rows, DOCS)).collect()]
     assert sorted(out, key=str) == sorted([(1, "one line\nother line"), (1, ""), (2, "third line\nfourth line"), (2, "fifth line"), (None, "one line")], key=str)
+
+
+def links(spark, docs):
+    """(class_doc, class_line): (n_links, first similar) of each class by all pairs, and by judge_lines; both as dicts."""
+    classes, sets = {}, {}
+    for d, t in docs:
+        for i, line in enumerate((t or "").split("\n")):
+            words, s = tokens(line)
+            if words and words not in sets:
+                classes[d, i], sets[words] = s, s
+    want = {}
+    for x, s in classes.items():
+        near = [y for y, o in classes.items() if y != x and 100 * len(s & o) >= 80 * len(s | o)]
+        want[x] = (len(near), min([y for y in near if y < x], default=(None, None)))
+    got = judge_lines(spark.createDataFrame([(d, t, "x", "y") for d, t in docs], DOCS)).collect()
+    return want, {(r.class_doc, r.class_line): (r.n_links, (r.similar_doc, r.similar_line)) for r in got}
+
+
+def test_all_links_are_counted(spark):
+    """Families of near lines: alike ones, ones with a word of their own, ones that differ in places, copies and a family just below the threshold."""
+    random.seed(14)
+    core, other = [f"w{i}" for i in range(60)], [f"v{i}" for i in range(40)]
+    docs = [(d, " ".join([*core, f"x{d}"])) for d in range(12)] + [(20 + d, " ".join([f"y{d}", *core[1:]])) for d in range(8)]
+    for d in range(40, 80):
+        line = list(core)
+        for at in random.sample(range(60), random.choice([1, 1, 2, 3])):
+            line[at] = f"x{d}_{at % 3}"
+        docs.append((d, " ".join(line) + "\n" + " ".join(core[: d - 20])))
+    docs += [(80 + d, " ".join([*other, *[f"z{d}_{k}" for k in range(11)]])) for d in range(6)]
+    docs += [(90, "a b c d e f\na b c d e f g\nA b  c d e f"), (91, "short line\nSHORT line\nshort lines"), (92, docs[3][1]), (93, None)]
+    want, got = links(spark, docs)
+    assert got == want
+    assert max(n for n, _ in want.values()) > 20
+
+
+def test_links_of_repeated_rows(spark):
+    docs = [(d, " ".join(["a b c d e f g h i j k l m n o p q r s t", f"x{d}"])) for d in range(4)]
+    want, got = links(spark, docs + docs)
+    assert got == want and {n for n, _ in got.values()} == {3}
