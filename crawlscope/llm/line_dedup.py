@@ -11,6 +11,8 @@ from .common import BLANKS, Scratch, absent, lower_ascii
 WORDS, PERCENT = 5, 80
 #: Tokens that a line must share with other lines, in a prefix as much longer, to be looked at again.
 DEPTH = 3
+#: Most bits of the filter that lines pass before they are shuffled.
+FILTER_BITS = 1 << 27
 #: Classes with more than this share of the lines get their verdict by broadcast; so many at most have it.
 HOT_SHARE = 1 / 2000
 
@@ -43,8 +45,8 @@ def _with_tokens(lines: DataFrame, words: int) -> DataFrame:
 
     def tokens(w: Column) -> Column:
         last = F.size(w) - words
-        token = lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(words)])
-        return F.when(last < 0, F.array(F.xxhash64(w))).otherwise(F.transform(F.sequence(F.lit(0), last), token))
+        token = lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, words)])
+        return F.when(last < 0, F.array(F.xxhash64(w))).otherwise(F.transform(F.slice(w, F.lit(1), last + 1), token))
 
     hashes = F.transform(F.split(low, " "), lambda x: F.xxhash64(x))
     return (
@@ -61,6 +63,19 @@ def lines_of(texts: DataFrame) -> DataFrame:
     return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("raw", F.xxhash64("line"))
 
 
+def _may_be_in(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``lines`` whose ``raw`` may be in ``wanted(raw)``: all that are, and few others.
+
+    Eight bits or more for each wanted row, in words of 64, so that what is broadcast is bounded: with more
+    than FILTER_BITS / 8 wanted rows only more of the others pass.
+    """
+    bits = min(FILTER_BITS, 1 << max(6, (8 * wanted.count()).bit_length()))
+    word, bit = F.expr(f"shiftright(raw & {bits - 1}L, 6)"), F.expr("cast(shiftright(raw, 32) & 63 as int)")
+    words = wanted.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    among = lines.withColumn("word", word).join(F.broadcast(words), "word")
+    return among.where(F.call_function("shiftright", "bits", bit).bitwiseAND(F.lit(1).cast("long")) == 1).drop("word", "bits")
+
+
 def line_parts(lines: DataFrame, words: int, percent: int) -> DataFrame:
     """(place, raw, k1, k2, least, prefix) of each line: two hashes of its words and the first tokens by their hashes.
 
@@ -125,7 +140,7 @@ def line_links(sets: DataFrame, scratch: Scratch, percent: int = PERCENT) -> Dat
     size = F.size("tokens")
     prefix = F.slice("tokens", F.lit(1), size - _needed(F.col("n"), percent) + 1)
     index = ranked.where("id = profile").select("profile", "lines", "n", "tokens", size.alias("size"), F.posexplode(prefix).alias("i", "token"))
-    index = scratch.write(index.select("token", "profile", "lines", "n", "tokens", (F.col("i") + 1).alias("pos"), (F.col("size") - F.col("i") - 1).alias("rest")))
+    index = index.select("token", "profile", "lines", "n", "tokens", (F.col("i") + 1).alias("pos"), (F.col("size") - F.col("i") - 1).alias("rest"))
     a, b = index.alias("a"), index.alias("b")
     pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.profile") < F.col("b.profile")) & _linked(percent))
     ends = [F.struct(F.col(f"{x}.profile").alias("profile"), F.col(f"{y}.profile").alias("other"), F.col(f"{y}.lines").alias("lines")) for x, y in ("ab", "ba")]
@@ -165,12 +180,12 @@ def _judged(texts: DataFrame, words: int, percent: int) -> DataFrame:
         lines = parts.select(F.struct(*PLACE, "raw").alias("at"), "k1", "k2", "least")
         classes = scratch.write(lines.groupBy("k1", "k2").agg(F.min("at").alias("first"), F.count("*").alias("size"), F.max("least").alias("least")))
         # Ids in the order of the lines' places: the smaller is the earlier.
-        able = scratch.write(classes.join(_with_partner(parts), "k1").where("shared >= least").select("k1", "k2", "first"))
+        able = scratch.write(classes.join(_with_partner(parts).hint("shuffle_hash"), "k1").where("shared >= least").select("k1", "k2", "first"))
         known = scratch.write(able.orderBy("first").withColumn("id", F.monotonically_increasing_id()))
         # The first line of each class again, by its place and content: a repeated row may give it twice.
         place = ["doc_id", "line_no", "raw"]
         wanted = known.select("id", *[F.col(f"first.{c}").alias(f"first_{c}") for c in place])
-        met = every.select(*place, "line").join(wanted.hint("shuffle_hash"), [F.col(c).eqNullSafe(F.col(f"first_{c}")) for c in place])
+        met = _may_be_in(every.select(*place, "line"), known.select("first.raw")).join(wanted.hint("shuffle_hash"), [F.col(c).eqNullSafe(F.col(f"first_{c}")) for c in place])
         sets = scratch.write(_with_tokens(met.select("id", "line"), words).select("id", "tokens"))
         found = line_links(sets, scratch, percent)
         earlier = known.select(F.col("id").alias("earlier"), F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no")).alias("similar"))
@@ -180,7 +195,7 @@ def _judged(texts: DataFrame, words: int, percent: int) -> DataFrame:
         hot = scratch.write(classes.where(many).drop("size", "least").join(linked, ["k1", "k2"], "left"))
         rest = classes.where(~many).drop("size", "least")
         told = lines.drop("least").join(F.broadcast(hot), ["k1", "k2"]).unionByName(
-            lines.drop("least").join(F.broadcast(hot.select("k1", "k2")), ["k1", "k2"], "left_anti").join(rest, ["k1", "k2"]).join(linked, ["k1", "k2"], "left")
+            lines.drop("least").join(F.broadcast(hot.select("k1", "k2")), ["k1", "k2"], "left_anti").join(rest.hint("shuffle_hash"), ["k1", "k2"]).join(linked.hint("shuffle_hash"), ["k1", "k2"], "left")
         )
         return scratch.keep(
             told.select(
