@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, absent, small
+from .common import BROADCAST_ROWS, Scratch, absent, releasing, small
 
 #: log2 of the hashed feature space.
 BITS = 16
@@ -200,7 +200,7 @@ def predict(docs: DataFrame, models: list[Model], id_col: str = "doc_id", text_c
                 score[ok] = np.exp(np.minimum(top - whole, 0))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(releasing(run), "doc_id long, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, absent, small
+from .common import Scratch, absent, releasing, small
 from .components import connected_components
 
 #: Bands times registers a band. At a Jaccard similarity of 0.8 a pair shares no band with
@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
 def _components(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketch = scratch.write(texts.mapInArrow(_sketch(words), "doc_id long, n_shingles long, set_key binary, regs binary, bands array<long>"))
+    sketch = scratch.write(texts.mapInArrow(releasing(_sketch(words)), "doc_id long, n_shingles long, set_key binary, regs binary, bands array<long>"))
     known = sketch.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     classes = scratch.write(known.groupBy("set_key").agg(F.min("doc_id").alias("rep")))
     reps = scratch.write(
@@ -240,7 +240,7 @@ def _components(docs: DataFrame, words: int, percent: int, id_col: str, text_col
     shared = buckets.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("key")
     active = scratch.write(buckets.join(shared, "key"))
     wanted = active.select(F.col("rep").alias("doc_id")).distinct()
-    full = scratch.write(texts.join(small(wanted), "doc_id", "left_semi").mapInArrow(_sets(words), "rep long, shingles array<long>"))
+    full = scratch.write(texts.join(small(wanted), "doc_id", "left_semi").mapInArrow(releasing(_sets(words)), "rep long, shingles array<long>"))
     # Rows that repeat an id give its sets more than once: what is counted of them bounds nothing.
     often = full.groupBy("rep").agg(F.count("*").alias("sets")).where("sets > 1").select("rep")
     lone = (
@@ -275,7 +275,7 @@ def _components(docs: DataFrame, words: int, percent: int, id_col: str, text_col
             pairs.join(a, "a")
             .join(b, "b")
             .select("a", "b", "regs_a", "regs_b", "n_a", "n_b")
-            .mapInArrow(_estimated(percent / 100 - SLACK), "a long, b long")
+            .mapInArrow(releasing(_estimated(percent / 100 - SLACK)), "a long, b long")
         )
         x, y = (full.select(F.col("rep").alias(c), F.col("shingles").alias(f"set_{c}")) for c in ("a", "b"))
         both = F.size(F.array_intersect("set_a", "set_b"))

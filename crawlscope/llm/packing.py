@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain, islice
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -15,12 +18,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import releasing
+
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 LIMIT = 4096
 END_ID = 2
 #: Examples that compete for the places of a sequence, and the characters at which a pool is full.
 POOL, POOL_CHARS = 1024, 1 << 24
 #: Characters that are split into words at a time.
 BLOCK_CHARS = 1 << 20
+#: Words that the tokenizer gets at a time; what it returns takes far more memory than their ids.
+ENCODED = 2_000
 #: Words whose ids a Python worker remembers between blocks.
 MEMO = 700_000
 #: White space as the tokenizer sees it: four separators count as text.
@@ -29,6 +39,22 @@ _SPACE = re.compile(r"[^\S\x1c-\x1f]+")
 _memo: dict[str, dict[str, bytes]] = {}
 
 
+@lru_cache(maxsize=2)
+def _tokenizer(path: str) -> tuple[Tokenizer, np.ndarray]:
+    """The tokenizer, and which of its ids end a word; a worker loads them once, for all its tasks.
+
+    Tasks fill the cores already: threads of the tokenizer's own would each keep memory apart.
+    """
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    vocabulary = tokenizer.get_vocab()
+    ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+    ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+    return tokenizer, ends
+
+
 @dataclass
 class Example:
     """Tokens ``start..end`` of a document are still to place; those from ``loss_from`` bear loss."""
@@ -150,23 +176,20 @@ class Ids:
     """
 
     def __init__(self, path: str, end_id: int, most: int = MEMO):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.ends = _tokenizer(path)
         self.memo = _memo.setdefault(path, {})
         self.most = most
         self.end = np.array([end_id], dtype="<u4").tobytes()
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _each(self, words: list[str]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.memo[w] = np.array(e.ids, dtype="<u4").tobytes()
+        for at in range(0, len(words), ENCODED):
+            part = words[at : at + ENCODED]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.memo[w] = np.array(e.ids, dtype="<u4").tobytes()
 
     def _together(self, words: list[str]) -> None:
-        for at in range(0, len(words), 2_000):
-            part = words[at : at + 2_000]
+        for at in range(0, len(words), ENCODED):
+            part = words[at : at + ENCODED]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(cuts) != len(part) or cuts[-1] != 4 * len(ids):
@@ -309,8 +332,11 @@ def pack_texts(
                 found = rows(packer.pack(pool))
                 waiting = {key for key, _, _ in packer.open}
                 held = {k: v for k, v in held.items() if k in waiting}
+                del ids, prompts, pool
                 if found:
-                    yield batch_of(found)
+                    out, found = batch_of(found), []
+                    yield out
+                    del out
         found = rows(packer.finish())
         if found:
             yield batch_of(found)
@@ -318,4 +344,4 @@ def pack_texts(
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "n_loss", "ids"]
     schema = ", ".join(f"{c} long" for c in names[:8]) + (", ids binary" if with_ids else "")
     cols = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")] + ([F.col(prompt_col).alias("prompt")] if prompt_col else [])
-    return docs.select(*cols).mapInArrow(run, schema)
+    return docs.select(*cols).mapInArrow(releasing(run), schema)
