@@ -20,7 +20,8 @@ class AuditConfig:
 
     ``collation`` orders URLs where a bound or a tie takes the first of them: None by code point,
     ``UNICODE`` as web scripts compare texts. With ``ascii_hosts`` both spellings of an
-    internationalised host are one.
+    internationalised host are one. A full run without ``max_pages`` notes sites of more than
+    ``noted_pages`` entries as that bound would, though all their pages are checked.
     """
 
     profile: str = "full"
@@ -32,6 +33,7 @@ class AuditConfig:
     max_deep: int = checks.MAX_DEEP
     collation: str | None = None
     ascii_hosts: bool = False
+    noted_pages: int | None = None
 
 
 #: The preview with the bounds of an interactive run.
@@ -152,7 +154,8 @@ def _run(sites: DataFrame, fetch_log: DataFrame, config: AuditConfig, scratch: S
     facts = counts.join(blocked, "site", "left")
     facts = facts.join(dropped, "site", "left") if dropped is not None else facts.withColumn("dropped", F.lit(0))
     notes = scratch.write(sitemaps.sitemap_notes(site_files, docs)) if preview else None
-    root = scratch.write(site_level.site_issues(facts, sitemaps.failed_sitemaps(site_files), config.profile, config.max_pages, notes))
+    noted = config.noted_pages if config.max_pages is None else config.max_pages
+    root = scratch.write(site_level.site_issues(facts, sitemaps.failed_sitemaps(site_files), config.profile, noted, notes))
     pages = pages.drop("issues")
     stats = scores.site_stats(own, pages, issues, root)
     scored = scores.site_scores(own, pages, issues, root, config.profile)
