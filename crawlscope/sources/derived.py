@@ -140,9 +140,9 @@ def once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(ONCE, crawl=crawl(spark, sf_dir))
 
 
-def site_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sitemaps of whole audits: (site, part, sitemap_url, body)."""
-    return spark.sql(SITE_MAPS.replace("{agg}", "listagg(u, '') WITHIN GROUP (ORDER BY page_id)"), once=once(spark, sf_dir))
+def site_maps(spark: SparkSession, pages: DataFrame) -> DataFrame:
+    """Sitemaps of whole audits: (site, part, sitemap_url, body) of the ``pages`` of :func:`once`."""
+    return spark.sql(SITE_MAPS.replace("{agg}", "listagg(u, '') WITHIN GROUP (ORDER BY page_id)"), once=pages)
 
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,14 +166,14 @@ def stock_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maps.selectExpr("url", "true AS ok", "CAST(NULL AS string) AS error", "body")
 
 
-def site_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One fetch log with pages, robots files and sitemaps, for whole audits."""
-    pages = once(spark, sf_dir)
+def site_log(spark: SparkSession, sf_dir: str, pages: DataFrame | None = None) -> DataFrame:
+    """One fetch log with pages, robots files and sitemaps, for whole audits; of ``pages``, if :func:`once` is written."""
+    pages = once(spark, sf_dir) if pages is None else pages
     log = spark.sql(FETCH_LOG, crawl=pages)
     long = spark.sql(LONG_CHAINS, once=pages)
     log = log.join(long.select("url"), "url", "left_anti").select(*long.columns).unionByName(long)
     robots = spark.sql(SITE_ROBOTS, once=pages).selectExpr("concat('https://', site, '/robots.txt') AS url", "200 AS status", "CAST(NULL AS string) AS location", "body")
-    maps = site_maps(spark, sf_dir).selectExpr("sitemap_url AS url", "200 AS status", "CAST(NULL AS string) AS location", "body")
+    maps = site_maps(spark, pages).selectExpr("sitemap_url AS url", "200 AS status", "CAST(NULL AS string) AS location", "body")
     return log.unionByName(robots).unionByName(maps)
 
 
